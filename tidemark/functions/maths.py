@@ -13,13 +13,14 @@ def col(x: Column | str) -> Column:
 
 
 def is_finite(x: Column | str) -> Column:
-    x = col(x).cast("double")
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    # NaN sorts above infinity, so one comparison rules out both
+    return F.coalesce(F.abs(col(x).cast("double")) < F.lit(float("inf")), F.lit(False))
 
 
 def finite(x: Column | str) -> Column:
     """NaN and infinities become null."""
-    return F.when(is_finite(x), col(x).cast("double"))
+    x = col(x).cast("double")
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def safe_div(a: Column | str, b: Column | str) -> Column:

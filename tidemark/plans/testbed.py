@@ -116,8 +116,8 @@ def filings_flat(spark: SparkSession, sf: str) -> DataFrame:
     )
     quarter_end = F.date_sub(F.add_months(F.trunc("l_shipdate", "quarter"), 3), 1)
     q = li.groupBy("l_suppkey", quarter_end.alias("report_date")).agg(
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
-        F.round(F.sum(F.col("l_extendedprice") * (F.lit(0.12) - F.col("l_discount") - F.col("l_tax"))), 2).alias("net_income"),
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"),
+        F.round(F.sum(F.col("l_extendedprice") * (F.lit(0.12) - F.col("l_discount") - F.col("l_tax"))), 4).alias("net_income"),
         F.round(F.sum("l_extendedprice"), 2).alias("gross"),
         F.sum("l_quantity").alias("shares"),
     )
@@ -150,8 +150,8 @@ SELECT ticker, report_date, availability_date,
        round(net_income / shares, 6) AS eps, sector
 FROM (SELECT *, report_date + CAST(20 + l_suppkey % 40 AS INTEGER) AS availability_date
       FROM (SELECT l_suppkey, CAST(date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS report_date,
-             round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
-             round(sum(l_extendedprice * (0.12::DOUBLE - l_discount - l_tax)), 2) AS net_income,
+             round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue,
+             round(sum(l_extendedprice * (0.12::DOUBLE - l_discount - l_tax)), 4) AS net_income,
              round(sum(l_extendedprice), 2) AS gross, sum(l_quantity) AS shares
       FROM lineitem GROUP BY 1, 2))
 JOIN v_ticker_sectors ON ticker = 'S' || l_suppkey""")
