@@ -4,7 +4,8 @@ A plain window sorts a whole group in one task. Here equal values are counted
 first (a hot value becomes one row), a group with many distinct values is cut
 into value ranges by a hash-chosen sample of itself, each range is summed on its
 own, and the ranges are offset by their predecessors. The sample depends on the
-values only, so a recomputed task cuts at the same points.
+values only, so a recomputed task cuts at the same points. The counted values are
+stored once because four branches read them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 SPLITS = 256
 SMALL = 4096
 _HASH_SPACE = 2**30
@@ -19,7 +22,7 @@ _HASH_SPACE = 2**30
 
 def value_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per distinct (keys, value): `_n` equal rows, `_less` smaller rows, `_total` rows of the group."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    c = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "values")
     totals = c.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_m"))
     h = F.pmod(F.xxhash64(F.col(value)), F.lit(_HASH_SPACE))
     big = totals.where(F.col("_m") > SMALL)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # UTC keeps timestamps comparable across engines; AQE coalesces and splits skewed
 # partitions at run time; a broadcast happens only below the byte threshold, so
@@ -30,3 +33,24 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     """The shared checkpoint folder the cluster names; `fallback` only when none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     return configured or fallback
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's shared checkpoint folder; a temporary one only in local mode."""
+    root = checkpoint_dir(spark)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Used where one result feeds several branches: the branches share the stored
+    rows, the plan stays small, and a lost executor costs a re-read.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -6,14 +6,11 @@ prunes partitions and an upsert rewrites only the dates it touches.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.maths import first_per_key, latest_per_key
-from tidemark.session import checkpoint_dir
+from tidemark.session import scratch  # noqa: F401
 
 BAR_SCHEMA = ("date date, ticker string, open double, high double, low double, close double, volume bigint, adj_close double, dollar_volume double")
 ARTICLE_SCHEMA = ("id string, headline string, summary string, content string, author string, source string, url string, created_at string, updated_at string, "
@@ -21,16 +18,6 @@ ARTICLE_SCHEMA = ("id string, headline string, summary string, content string, a
 UNIVERSE_SCHEMA = "ticker string, in_universe string, tradable string, liquid string, halted string, data_quality_ok string, reason string, date string"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a temporary one only in local mode."""
-    root = checkpoint_dir(spark)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _between(start: str | None, end: str | None, column: str = "date") -> Column:
     cond = F.lit(True)
     if start:
