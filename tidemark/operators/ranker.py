@@ -18,6 +18,7 @@ from tidemark.functions.maths import finite, is_finite, safe_div
 from tidemark.functions.text import optional_text
 from tidemark.operators.backtest import WalkForward, fold_dates, fold_spans, rank_scores
 from tidemark.operators.labels import return_class
+from tidemark.session import cut
 
 # Label columns that must never be model inputs.
 LABEL_COLUMNS = [f"forward_return_{h}d" for h in (1, 5, 20)] + [f"forward_log_return_{h}d" for h in (1, 5, 20)] + [f"survives_to_t{h}" for h in (1, 5, 20)]
@@ -59,6 +60,7 @@ class Ranker:
 
     def fit(self, matrix: DataFrame) -> "Ranker":
         p = self.params
+        matrix = cut(matrix, "matrix")  # tree building reads it once per level
         self.columns = [c for c in matrix.columns if c not in ("date", "ticker", "target")]
         assemble = VectorAssembler(inputCols=self.columns, outputCol="_x")
         trees = GBTRegressor(featuresCol="_x", labelCol="target", predictionCol="return_score", maxIter=p.trees, maxDepth=p.depth, stepSize=p.rate,

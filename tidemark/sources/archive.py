@@ -102,13 +102,12 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 def write_features(df: DataFrame, path: str) -> None:
     """SK1: replace the dates present in `df`; duplicate (date, ticker) rows abort before anything is written.
 
-    Files are clustered by date: each date's rows go to a bounded number of tasks
-    (date plus a ticker salt), so a heavy date is still written in parallel.
+    The rebalance hint clusters rows by date and lets AQE split a heavy date over
+    several writers and join light ones.
     """
     if not duplicate_rows(df, ["date", "ticker"]).isEmpty():
         raise ValueError("duplicate (date, ticker) rows")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64("ticker"), F.lit(8)))
-    (salted.repartition("date", "_salt").drop("_salt").write.mode("overwrite")
+    (df.hint("rebalance", "date").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
 
 
@@ -131,7 +130,7 @@ def write_labels(df: DataFrame, path: str) -> None:
 def write_universe_masks(df: DataFrame, path: str) -> None:
     """SK4: one CSV folder per date, rows sorted by ticker inside files."""
     cols = ["ticker", "in_universe", "tradable", "liquid", "halted", "data_quality_ok", "reason"]
-    (df.select("date", *cols).repartition("date", F.pmod(F.xxhash64("ticker"), F.lit(8))).sortWithinPartitions("date", "ticker")
+    (df.select("date", *cols).hint("rebalance", "date").sortWithinPartitions("date", "ticker")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").option("header", True).csv(path))
 
 
@@ -145,7 +144,7 @@ def changed_masks(new: DataFrame, stored: DataFrame) -> DataFrame:
 def write_articles(df: DataFrame, path: str) -> None:
     """SK5: JSON Lines per publication day, sorted by (published, id) inside files."""
     out = df.withColumn("date", F.to_date("published_at"))
-    (out.repartition("date", F.pmod(F.xxhash64("article_id"), F.lit(8))).sortWithinPartitions("date", "published_at", "article_id")
+    (out.hint("rebalance", "date").sortWithinPartitions("date", "published_at", "article_id")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").json(path))
 
 
