@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,38 @@ COMPANY_NAMES = {
 }
 
 TEXT_FIELDS = ["headline", "summary", "content"]
+EVIDENCE = ["_text", "_tok", "_ent", "_known", "_fin", "_broad"]
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Words the relevance gate looks for."""
+
+    names: dict[str, list[str]] = field(default_factory=lambda: COMPANY_NAMES)
+    financial: list[str] = field(default_factory=lambda: FINANCIAL_TERMS)
+    broad: list[str] = field(default_factory=lambda: BROAD_MARKET_TERMS)
+
+
+def text_evidence(df: DataFrame, v: Vocabulary) -> DataFrame:
+    """Everything of the gate that depends on a sentence only: tokens, entities, known companies, matched terms."""
+    df = df.withColumn("_text", F.lower(X.squeeze(F.concat_ws(" ", F.when(F.col("headline") != "", F.col("headline")), F.when(F.col("text") != "", F.col("text"))))))
+    df = df.withColumn("_tok", F.array_distinct(F.regexp_extract_all("_text", F.lit(X.WORD_TOKEN), 0)))
+    df = df.withColumn("_ent", F.transform(F.coalesce("entity_mentions", F.array().cast("array<string>")), lambda s: F.lower(X.squeeze(s))))
+    df = df.withColumn("_pad", F.concat(F.lit(" "), F.col("_text"), F.lit(" ")))
+
+    def has(phrase: str) -> Column:
+        phrase = " ".join(phrase.lower().split())
+        return F.contains(F.col("_pad"), F.lit(f" {phrase} ")) if " " in phrase else F.array_contains("_tok", phrase)
+
+    def matched(terms: list[str]) -> Column:
+        return F.array_compact(F.array(*[F.when(has(t), F.lit(t)) for t in sorted(terms)]))
+
+    def any_of(conds: list[Column]) -> Column:
+        return reduce(lambda a, b: a | b, conds, F.lit(False))
+
+    known = [F.when(any_of([has(n) | F.array_contains("_ent", n) for n in ns]), F.lit(t)) for t, ns in v.names.items()]
+    df = df.withColumn("_known", F.array_compact(F.array(*known)) if known else F.array().cast("array<string>"))
+    return df.withColumn("_fin", matched(v.financial)).withColumn("_broad", matched(v.broad)).drop("_pad")
 
 
 def with_chunks(articles: DataFrame, *, fields: list[str] | None = None, min_chars: int = 2) -> DataFrame:
@@ -95,36 +128,49 @@ def ticker_mentions(text: Column, article_tickers: Column, known_tokens: Column)
     return F.array_distinct(F.concat(article_tickers, inline))
 
 
-def entity_mentions(headline: Column, text: Column, aliases: list[tuple[str, str]] | None = None) -> Column:
-    """T4: alias matches in rule order, else capitalised phrases minus stop words."""
-    combined = F.trim(F.concat_ws(" ", F.when(headline != "", headline), F.when(text != "", text)))
-    low = F.lower(combined)
-    named = F.array_distinct(F.array_compact(F.array(*[F.when(X.contains_term(low, a), F.lit(e)) for a, e in (aliases or ENTITY_ALIASES)])))
+def with_entity_mentions(df: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
+    """T4: alias matches in rule order, else capitalised phrases minus stop words.
+
+    Shared intermediate texts are columns of their own, so each is computed once per row.
+    """
     stop = F.array(*[F.lit(w) for w in ENTITY_STOP_WORDS])
-    phrases = F.regexp_extract_all(combined, F.lit(X.ENTITY_PHRASE), 0)
-    kept = F.filter(phrases, lambda p: F.size(F.array_except(F.split(F.lower(p), r"\s+"), stop)) > 0)
-    return F.when(F.size(named) > 0, named).otherwise(F.array_distinct(F.transform(kept, lambda p: F.trim(p))))
+    combined = F.trim(F.concat_ws(" ", F.when(F.col("headline") != "", F.col("headline")), F.when(F.col("text") != "", F.col("text"))))
+    df = df.withColumn("_both", combined)
+    df = df.withColumn("_low", F.lower("_both"))
+    named = [F.when(X.contains_term(F.col("_low"), a), F.lit(e)) for a, e in (aliases or ENTITY_ALIASES)]
+    df = df.withColumn("_named", F.array_distinct(F.array_compact(F.array(*named))))
+    kept = F.filter(F.regexp_extract_all("_both", F.lit(X.ENTITY_PHRASE), 0), lambda p: F.size(F.array_except(F.split(F.lower(p), r"\s+"), stop)) > 0)
+    phrases = F.array_distinct(F.transform(kept, lambda p: F.trim(p)))
+    return df.withColumn("entity_mentions", F.when(F.size("_named") > 0, F.col("_named")).otherwise(phrases)).drop("_both", "_low", "_named")
 
 
 def preprocess(articles: DataFrame, universe: DataFrame | None = None, *, fields: list[str] | None = None, min_chars: int = 2,
-               aliases: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row per (article, sentence, ticker) with provenance."""
+               aliases: list[tuple[str, str]] | None = None, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """One row per (article, sentence, ticker) with provenance.
+
+    With `vocabulary`, the gate's text evidence is found per sentence here, before
+    sentences are repeated per ticker. Articles must be de-duplicated (S7).
+    """
     a = articles.withColumn("article_id", X.article_identity())
     if "date" not in a.columns:
         a = a.withColumn("date", F.to_date("published_at"))
+    # whole articles move once, before they grow into sentences; the ticker join then needs no further shuffle
+    a = a.repartition("article_id")
     tickers = article_tickers(a, universe)
     base = a.select("date", "article_id", X.optional_text(F.col("headline")).alias("headline"), "summary", "content",
                     X.normalize_headline(X.optional_text(F.col("headline"))).alias("normalized_headline"),
                     X.optional_text(F.col("source")).alias("source"), X.optional_text(F.col("url")).alias("url"), "published_at")
     rows = with_chunks(base, fields=fields, min_chars=min_chars).drop("summary", "content").join(tickers, "article_id")
     rows = rows.withColumn("chunk_tickers", ticker_mentions(F.col("text"), F.col("article_tickers"), F.col("known_tokens")))
-    rows = rows.withColumn("entity_mentions", entity_mentions(F.col("headline"), F.col("text"), aliases))
+    rows = with_entity_mentions(rows, aliases)
+    if vocabulary is not None:
+        rows = text_evidence(rows, vocabulary)
     rows = rows.select("*", F.explode("article_tickers").alias("ticker"))
     return rows.select(
         "date", "ticker", "article_id", "headline", "normalized_headline", "text", F.col("chunk_index").alias("sentence_index"), "chunk_index", "source", "url",
         "published_at", "source_text_field", "source_text_order",
         F.array_distinct(F.concat(F.array("ticker"), F.col("chunk_tickers"))).alias("ticker_mentions"), "entity_mentions",
-        F.struct("article_tickers", "chunk_tickers", "entity_mentions").alias("provenance"))
+        F.struct("article_tickers", "chunk_tickers", "entity_mentions").alias("provenance"), *(EVIDENCE if vocabulary is not None else []))
 
 
 # ---- relevance gate -------------------------------------------------------------
@@ -138,34 +184,15 @@ class GateLimits:
     min_topic_probability: float = 0.20
 
 
-def _matches(text: Column, tokens: Column, phrase: str) -> Column:
-    phrase = " ".join(phrase.lower().split())
-    if " " in phrase:
-        return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(f" {phrase} "))
-    return F.array_contains(tokens, phrase)
-
-
-def _matched(text: Column, tokens: Column, terms: list[str]) -> Column:
-    return F.array_compact(F.array(*[F.when(_matches(text, tokens, t), F.lit(t)) for t in sorted(terms)]))
-
-
-def _any(conds: list[Column]) -> Column:
-    out = F.lit(False)
-    for c in conds:
-        out = out | c
-    return out
-
-
 def relevance_gate(rows: DataFrame, topics: DataFrame | None = None, embeddings: DataFrame | None = None, *, limits: GateLimits = GateLimits(),
-                   names: dict[str, list[str]] | None = None, financial: list[str] | None = None, broad: list[str] | None = None) -> DataFrame:
+                   vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
     """Ticker, financial and topic scores, decision and reason codes per row.
 
     `topics` holds one row per (date, ticker, article_id), `embeddings` one per
     (date, article_id). Vocabularies are parameters, so matching is expressions on
     the row; the two evidence tables are left equi-joins.
     """
-    names = COMPANY_NAMES if names is None else names
-    financial, broad = financial or FINANCIAL_TERMS, broad or BROAD_MARKET_TERMS
+    evident = set(EVIDENCE) <= set(rows.columns)
     df = rows.withColumn("ticker", F.upper(F.trim("ticker")))
     if topics is not None:
         t = topics.select("date", F.upper("ticker").alias("ticker"), "article_id", F.col("topic_id"), F.col("topic_probability"), F.lit(True).alias("_has_topic"))
@@ -178,17 +205,12 @@ def relevance_gate(rows: DataFrame, topics: DataFrame | None = None, embeddings:
     else:
         df = df.select("*", F.lit(None).cast("string").alias("embedding_cache_key"), F.lit(False).alias("has_embedding"))
 
-    df = df.withColumn("_text", F.lower(X.squeeze(F.concat_ws(" ", F.when(F.col("headline") != "", F.col("headline")), F.when(F.col("text") != "", F.col("text"))))))
-    df = df.withColumn("_tok", F.array_distinct(F.regexp_extract_all("_text", F.lit(X.WORD_TOKEN), 0)))
-    df = df.withColumn("_ent", F.transform(F.coalesce("provenance.entity_mentions", "entity_mentions", F.array().cast("array<string>")), lambda s: F.lower(X.squeeze(s))))
+    if not evident:
+        df = text_evidence(df, vocabulary)
     text, tok, ent, low = F.col("_text"), F.col("_tok"), F.col("_ent"), F.lower("ticker")
-    # one flag per known company: some of its names stand in the text or among the entities
-    named = [F.when(_any([_matches(text, tok, n) | F.array_contains(ent, n) for n in aliases]), F.lit(t)) for t, aliases in names.items()]
-    df = df.withColumn("_named", F.array_compact(F.array(*named)) if named else F.array().cast("array<string>"))
-    df = df.withColumn("_fin", _matched(text, tok, financial)).withColumn("_broad", _matched(text, tok, broad))
 
     direct = F.array_contains(tok, low) | F.contains(text, F.concat(F.lit("$"), low))
-    target = F.array_contains(F.col("_named"), F.col("ticker")) | F.array_contains(ent, low)
+    target = F.array_contains(F.col("_known"), F.col("ticker")) | F.array_contains(ent, low)
     tagged = F.array_contains(F.transform("provenance.article_tickers", lambda s: F.upper(F.trim(s))), F.col("ticker"))
     df = df.withColumn("ticker_relevance_score", F.when(direct | target, 1.0).when(tagged, 0.45).otherwise(0.0))
     ticker_reason = F.when(direct, "direct_ticker_mention").when(target, "target_entity_mention").when(tagged, "source_ticker_tag_only")
@@ -202,7 +224,7 @@ def relevance_gate(rows: DataFrame, topics: DataFrame | None = None, embeddings:
     topic_reason = (
         F.when(F.col("_has_topic").isNull(), "missing_topic_label").when(tid.isNull() | (tid < 0), "topic_outlier").when(p.isNull(), "missing_topic_probability")
         .when(p < limits.min_topic_probability, "low_topic_probability").otherwise("topic_probability_supported"))
-    others = F.array_sort(F.filter("_named", lambda t: (t != F.col("ticker")) & (t != "SPY")))
+    others = F.array_sort(F.filter("_known", lambda t: (t != F.col("ticker")) & (t != "SPY")))
     ts, fs = F.col("ticker_relevance_score"), F.col("financial_relevance_score")
     total = F.least(F.lit(1.0), 0.65 * ts + 0.25 * fs + 0.10 * F.col("topic_relevance_score"))
     df = df.withColumn("_others", others).withColumn("_raw", total)
@@ -224,7 +246,7 @@ def relevance_gate(rows: DataFrame, topics: DataFrame | None = None, embeddings:
         F.when(~accepted & borderline, "borderline_ticker_or_topic_evidence"),
         F.when(~accepted & ~borderline, "rejected_by_relevance_gate"),
     ))
-    keep = [c for c in rows.columns if c not in ("date", "ticker", "article_id")]
+    keep = [c for c in rows.columns if c not in ("date", "ticker", "article_id", *EVIDENCE)]
     return df.select("date", "ticker", "article_id", *keep, decision.alias("relevance_decision"), "relevance_score", "ticker_relevance_score",
                      "financial_relevance_score", "topic_relevance_score", F.array_sort(F.array_distinct(reasons)).alias("reason_codes"),
                      "topic_id", "topic_probability", "embedding_cache_key", "has_embedding")

@@ -19,7 +19,7 @@ def st1(spark, sf):
     fix = b.where(F.col("date") >= F.lit("2000-01-01").cast("date")).select("ticker", "date", (F.col("close") + 1).alias("close"), F.lit(2).alias("arrival"))
     b.unionByName(fix).write.mode("append").parquet(land)
     stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1000).parquet(land)
-    ST.upsert_bars(stream, store, chk).awaitTermination()
+    ST.upsert_bars(stream, store, chk, grain="month").awaitTermination()
     return rounded(spark.read.schema(b.schema).parquet(store).select("ticker", "date", "close"))
 
 

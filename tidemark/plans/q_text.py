@@ -116,15 +116,17 @@ def t6(spark, sf):
 NAMES = {"S1": ["than", "that the"], "S2": ["thing"], "S3": ["erst"], "SPY": ["the"]}
 FIN = ["of", "and", "in the", "heon", "on"]
 BROAD = ["there", "this", "re", "an the"]
+VOCABULARY = N.Vocabulary(NAMES, FIN, BROAD)
 
 
 def _gate_inputs(spark, sf):
-    rows = N.preprocess(ascii_articles(spark, sf), universe(spark, sf), aliases=ALIAS_TEST)
-    keys = rows.select("date", "ticker", "article_id").distinct()
+    rows = N.preprocess(ascii_articles(spark, sf), universe(spark, sf), aliases=ALIAS_TEST, vocabulary=VOCABULARY)
+    a = ascii_articles(spark, sf).withColumn("article_id", X.article_identity())
+    keys = N.article_tickers(a, universe(spark, sf)).join(a.select("article_id", "date"), "article_id").select("date", F.explode("article_tickers").alias("ticker"), "article_id")
     h = F.length("article_id") + F.length("ticker") * 3 + F.dayofmonth("date")
     topics = keys.where(h % 5 != 0).select("date", F.lower("ticker").alias("ticker"), "article_id", F.when(h % 5 == 1, -1).when(h % 7 == 2, F.lit(None)).otherwise(h % 5).cast("int").alias("topic_id"),
                                            F.when(h % 11 == 3, F.lit(None)).otherwise((h % 10) / F.lit(10.0)).alias("topic_probability"))
-    emb = rows.select("date", "article_id").distinct().where(F.dayofmonth("date") % 2 == 0).select("date", "article_id", F.lit("k").alias("embedding_cache_key"))
+    emb = a.where(F.dayofmonth("date") % 2 == 0).select("date", "article_id", F.lit("k").alias("embedding_cache_key"))
     return rows, topics, emb
 
 
@@ -170,7 +172,7 @@ SELECT date, ticker, article_id, chunk_index, decision AS relevance_decision, ro
 FROM v_gate_out""")
 def t7(spark, sf):
     rows, topics, emb = _gate_inputs(spark, sf)
-    g = N.relevance_gate(rows, topics, emb, names=NAMES, financial=FIN, broad=BROAD)
+    g = N.relevance_gate(rows, topics, emb, vocabulary=VOCABULARY)
     return rounded(g.select("date", "ticker", "article_id", "chunk_index", "relevance_decision", "relevance_score", "ticker_relevance_score", "financial_relevance_score", "topic_relevance_score",
                             F.array_join("reason_codes", ";").alias("reason_codes")))
 

@@ -11,26 +11,28 @@ from tidemark.operators.upsert import article_key, upsert
 from tidemark.session import cut
 
 
-def upsert_bars(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+def upsert_bars(stream: DataFrame, store: str, checkpoint: str, *, grain: str = "day") -> StreamingQuery:
     """ST1: landed bar files replace stored bars of the same (ticker, date).
 
-    A batch touches only the dates it brings: those partitions are read, merged
-    and rewritten. Replaying a batch after a failure gives the same store. Within
+    A batch touches only the partitions of the dates it brings: those are read,
+    merged and rewritten. `grain` sets the partition width: day for a large
+    universe, month or quarter for a small one. Replaying a batch after a failure gives the same store. Within
     a batch the row with the largest `arrival` wins.
     """
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("date", F.col("date").cast("date"))
-        days = new.select("date").distinct()
+        part = F.col("date") if grain == "day" else F.trunc("date", grain)
+        new = batch.withColumn("date", F.col("date").cast("date")).withColumn("part", part)
+        days = new.select("part").distinct()
         try:
-            old = spark.read.schema(new.schema).parquet(store).join(days, "date", "left_semi")
+            old = spark.read.schema(new.schema).parquet(store).join(days, "part", "left_semi")
         except Exception as exc:  # noqa: BLE001 - first batch: nothing stored yet
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
             old = new.limit(0)
         merged = cut(upsert(old.select(*new.columns), new, ["ticker", "date"], [F.col("arrival")]).select(*new.columns), "merge")
-        (merged.hint("rebalance", "date").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(store))
+        (merged.hint("rebalance", "part").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(store))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
