@@ -43,7 +43,8 @@ def macro_asof(macro: DataFrame, dates: DataFrame, series: list[str]) -> DataFra
     maximum over visibility days replaces the two-sided range join. Rows that
     become visible on one day are combined before the shuffle.
     """
-    known = macro.where(~F.col("is_missing") & F.col("value").isNotNull() & F.col("series_id").isin(sorted(set(series)))).withColumn(
+    dated = F.col("observation_date").isNotNull() & F.col("realtime_start").isNotNull()
+    known = macro.where(dated & ~F.col("is_missing") & F.col("value").isNotNull() & F.col("series_id").isin(sorted(set(series)))).withColumn(
         "visible_from", F.date_add(F.greatest("observation_date", "realtime_start"), 1))
     return asof_join(
         _with_series(dates, series), known, on=["series_id"], left_time="date", right_time="visible_from",

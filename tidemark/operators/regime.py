@@ -138,7 +138,8 @@ def _smooth(b: np.ndarray, top: np.ndarray, start: np.ndarray, move: np.ndarray)
     for t in range(n - 2, -1, -1):
         z[t] = move @ (b[t + 1] * z[t + 1]) / c[t + 1]
     moves = move * (a[:-1].T @ (b[1:] * z[1:] / c[1:, None]))
-    return a * z, moves, float(np.log(c).sum() + top.sum())
+    g = a * z
+    return g / g.sum(1, keepdims=True), moves, float(np.log(c).sum() + top.sum())
 
 
 def fit_hmm(x: np.ndarray, p: RegimeParams = RegimeParams()) -> dict:

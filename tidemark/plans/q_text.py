@@ -182,7 +182,7 @@ def t7(spark, sf):
 view("v_prep", """
 SELECT s.*, t.topic_id, t.topic_probability, t.topic_id IS NULL AS missing_topic, g.relevance_decision, g.reason_codes, g.relevance_decision IS NULL AS missing_relevance,
        CASE WHEN t.topic_id >= 0 AND t.topic_probability IS NOT NULL THEN greatest(t.topic_probability, 0) * ew ELSE 0 END AS tw
-FROM (SELECT *, CAST((published_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS bucket, sw * coalesce(greatest(relevance_score, 0), 1) AS ew
+FROM (SELECT *, CAST((published_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS bucket, sw * CASE WHEN relevance_score IS NULL THEN 1 ELSE greatest(relevance_score, 0) END AS ew
       FROM (SELECT *, CASE lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) WHEN 'dow jones' THEN 1.2::DOUBLE WHEN 'reuters' THEN 1.25::DOUBLE WHEN 'sec' THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS sw FROM v_scored)) s
 LEFT JOIN (SELECT * FROM v_topics QUALIFY row_number() OVER (PARTITION BY date, ticker, article_id ORDER BY topic_id, topic_probability) = 1) t ON t.date = s.date AND t.ticker = s.ticker AND t.article_id = s.article_id
 LEFT JOIN (SELECT * FROM v_gate QUALIFY row_number() OVER (PARTITION BY date, ticker, article_id, sentence_index, chunk_index ORDER BY seq) = 1) g
