@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import simhash
+from tidemark.llm import bpe, pii, simhash
 from tidemark.llm.common import Registered
 
 QUERIES: dict[str, Registered] = {
     "op3_simhash": Registered(simhash.op3_simhash, None),
+    "op6_bpe": Registered(bpe.op6_bpe, None),
+    "op7_pii": Registered(pii.op7_pii, None),
 }
