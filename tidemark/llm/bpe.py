@@ -232,35 +232,37 @@ def _mapper(vocabulary: str):
     def run(batches):
         tok = tokenizer(vocabulary)
         for batch in batches:
-            ids_of, out, size = batch.column(0), ([], []), 0
-            start = 0
-            for i, ids in encode_texts(batch.column(1).to_pylist(), tok):
-                out[0].append(ids)
-                out[1].append(tok.decode(ids))
+            kept, start, ids_out, decoded, size = batch.columns[:-1], 0, [], [], 0
+            for i, ids in encode_texts(batch.columns[-1].to_pylist(), tok):
+                ids_out.append(ids)
+                decoded.append(tok.decode(ids))
                 size += len(ids)
                 if size > 1 << 24 or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([ids_of.slice(start, len(out[0])), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["id", "token_ids", "decoded"])
-                    start, out, size = i + 1, ([], []), 0
+                    columns = [*(c.slice(start, len(ids_out)) for c in kept), pa.array(ids_out, pa.binary()), pa.array(decoded, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "token_ids", "decoded"])
+                    start, ids_out, decoded, size = i + 1, [], [], 0
 
     return run
 
 
-def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per row of `docs`: id, `token_ids` (little-endian unsigned 32-bit integers) and `decoded` (bytes).
+def encode_decode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row per row of `docs`: the `keep` columns, `token_ids` (little-endian unsigned 32-bit integers), `decoded` (bytes).
 
     No shuffle: every text is encoded where it is read, whole. Null texts count as empty and give no ids; null ids and
-    repeated rows are kept; other columns are ignored, whatever their names. Special tokens are ordinary text.
+    repeated rows are kept; columns outside `keep` are ignored, whatever their names. Special tokens are ordinary text.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_mapper(vocabulary), f"id {kind}, token_ids binary, decoded binary")
-    return out.withColumnRenamed("id", id_col)
+    placed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
+    kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    out = placed.mapInArrow(_mapper(vocabulary), ", ".join([*kinds, "token_ids binary", "decoded binary"]))
+    return out.toDF(*keep, "token_ids", "decoded")
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return encoded.select(id_col, F.floor(F.octet_length("token_ids") / F.lit(4)).cast("long").alias("n_tokens"),
-                          F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame) -> DataFrame:
+    """`encoded` with n_tokens, ids_sha256 and decoded_sha256 in place of `decoded`."""
+    return encoded.select("*", F.floor(F.octet_length("token_ids") / F.lit(4)).cast("long").alias("n_tokens"),
+                          F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")).drop("decoded")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes, for every document."""
-    return digests(encode_decode(table(spark, sf_dir, "documents")))
+    return digests(encode_decode(table(spark, sf_dir, "documents"))).drop("token_ids")

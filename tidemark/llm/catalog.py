@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, pii, simhash
+import corpus_pipeline
+
+from tidemark.llm import bpe, decontaminate, pii, simhash, toxicity
 from tidemark.llm.common import Registered
 
 QUERIES: dict[str, Registered] = {
+    "op1_decontamination": Registered(decontaminate.op1_decontamination, None),
     "op3_simhash": Registered(simhash.op3_simhash, None),
+    "op4_toxicity": Registered(toxicity.op4_toxicity, None),
     "op6_bpe": Registered(bpe.op6_bpe, None),
     "op7_pii": Registered(pii.op7_pii, None),
+    "pipeline": Registered(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
