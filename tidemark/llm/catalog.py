@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from tidemark.llm import bpe, decontaminate, pii, simhash, toxicity
+from tidemark.llm import bpe, decontaminate, licenses, neighbours, pii, simhash, toxicity, urls
 from tidemark.llm.common import Registered
 
 QUERIES: dict[str, Registered] = {
     "op1_decontamination": Registered(decontaminate.op1_decontamination, None),
     "op3_simhash": Registered(simhash.op3_simhash, None),
     "op4_toxicity": Registered(toxicity.op4_toxicity, None),
+    "op5_urls": Registered(urls.op5_urls, urls.SQL),
     "op6_bpe": Registered(bpe.op6_bpe, None),
     "op7_pii": Registered(pii.op7_pii, None),
+    "op9_licenses": Registered(licenses.op9_licenses, licenses.SQL),
+    "op10_neighbours": Registered(neighbours.op10_neighbours, None),
     "pipeline": Registered(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
