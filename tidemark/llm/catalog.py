@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from tidemark.llm import bpe, decontaminate, licenses, neighbours, pii, simhash, toxicity, urls
+from tidemark.llm import bpe, decontaminate, html, licenses, neighbours, pii, simhash, toxicity, urls
 from tidemark.llm.common import Registered
 
 QUERIES: dict[str, Registered] = {
     "op1_decontamination": Registered(decontaminate.op1_decontamination, None),
     "op3_simhash": Registered(simhash.op3_simhash, None),
+    "op2_html": Registered(html.op2_html, None),
     "op4_toxicity": Registered(toxicity.op4_toxicity, None),
     "op5_urls": Registered(urls.op5_urls, urls.SQL),
     "op6_bpe": Registered(bpe.op6_bpe, None),
