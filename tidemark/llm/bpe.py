@@ -170,13 +170,26 @@ class Tokenizer:
         if other:
             self.cache.update(zip(other, self.merge([p.encode() for p in other])))
 
-    def encode_many(self, lists: list[list[str]]) -> list[bytes]:
-        """Ids of every list of pre-tokens."""
-        new = set().union(*lists) - self.cache.keys()
+    def learn_all(self, lists) -> None:
+        """Put all pre-tokens of some lists into the cache, which starts anew when it would grow beyond CACHED."""
+        wanted = set().union(*lists)
+        new = wanted - self.cache.keys()
         if len(self.cache) + len(new) > CACHED:
             self.cache.clear()
-            new = set().union(*lists)
+            new = wanted
         self.learn(new)
+
+    def encode_each(self, pieces: list[str]) -> list[bytes]:
+        """Ids of every pre-token of a list."""
+        try:
+            return list(map(self.cache.__getitem__, pieces))
+        except KeyError:
+            self.learn_all([pieces])
+            return list(map(self.cache.__getitem__, pieces))
+
+    def encode_many(self, lists: list[list[str]]) -> list[bytes]:
+        """Ids of every list of pre-tokens."""
+        self.learn_all(lists)
         get = self.cache.__getitem__
         return [b"".join(map(get, pieces)) for pieces in lists]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from tidemark.llm import bpe, decontaminate, html, licenses, neighbours, pii, simhash, toxicity, urls
+from tidemark.llm import bpe, decontaminate, edits, html, licenses, neighbours, pii, simhash, toxicity, urls
 from tidemark.llm.common import Registered
 
 QUERIES: dict[str, Registered] = {
@@ -15,6 +15,7 @@ QUERIES: dict[str, Registered] = {
     "op5_urls": Registered(urls.op5_urls, urls.SQL),
     "op6_bpe": Registered(bpe.op6_bpe, None),
     "op7_pii": Registered(pii.op7_pii, None),
+    "op8_token_counts": Registered(edits.op8_token_counts, None),
     "op9_licenses": Registered(licenses.op9_licenses, licenses.SQL),
     "op10_neighbours": Registered(neighbours.op10_neighbours, None),
     "pipeline": Registered(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
