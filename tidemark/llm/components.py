@@ -27,11 +27,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in `edges` (u, v): root is the smallest node that can be reached.
+    """(node, root) of every node in `edges` (u, v) that can reach a smaller one: root is the smallest it reaches.
 
     Both stars keep the components and only lower the links, so the rounds end, after a logarithmic number of
     them in practice. A hot node is met by a partial minimum and by joins that AQE may split; nothing is collected
-    but a count and a checksum a round. Self links are dropped: a node without others is not listed.
+    but a count and a checksum a round. Nodes that are their own root are not listed.
     """
     now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
