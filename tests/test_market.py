@@ -86,13 +86,14 @@ def test_labels_at_the_end_of_history(spark):
     assert pd.isna(out["forward_return_5d"][0]) and out["survives_to_t5"].sum() == 0
 
 
-@pytest.mark.parametrize("small", [4096, 10])
-def test_group_ranks_equal_pandas_whether_or_not_a_group_is_split(spark, monkeypatch, small):
-    monkeypatch.setattr(ranking, "SMALL", small)
-    monkeypatch.setattr(ranking, "SPLITS", 16)
+@pytest.mark.parametrize("bounded", [True, False])
+def test_group_ranks_equal_pandas_either_way(spark, bounded):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"g": rng.choice(["hot", "a", "b"], 3000, p=[0.8, 0.1, 0.1]), "v": np.round(rng.normal(0, 1, 3000), 2), "i": range(3000)})
-    out = ranking.with_ranks(spark.createDataFrame(pdf), ["g"], "v", mid="midrank", pct="pct", n="count").toPandas().sort_values("i")
+    out = ranking.with_ranks(spark.createDataFrame(pdf), ["g"], "v", bounded=bounded, mid="midrank", pct="pct", n="count").toPandas().sort_values("i")
+    nulls = spark.createDataFrame([("x", 2.0), ("x", None), ("x", 1.0), ("y", None)], "g string, v double")
+    got = {(r.g, r.v): (r.mid, r.n) for r in ranking.with_ranks(nulls, ["g"], "v", bounded=bounded, mid="midrank", n="count").collect()}
+    assert got == {("x", 1.0): (0.0, 2), ("x", 2.0): (1.0, 2), ("x", None): (None, None), ("y", None): (None, None)}
     want = pdf.groupby("g")["v"].rank(method="average")
     np.testing.assert_allclose(out["mid"], want - 1)
     np.testing.assert_allclose(out["pct"], pdf.groupby("g")["v"].rank(pct=True))

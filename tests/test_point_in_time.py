@@ -117,3 +117,12 @@ def test_business_day_index(spark):
     r = [x.i for x in days(spark, "2024-01-05", "2024-01-06", "2024-01-07", "2024-01-08").select(D.business_day_index("date").alias("i")).collect()]
     assert r[0] == r[1] == r[2] == r[3] - 1
     assert F is not None
+
+
+def test_interval_join_over_the_whole_date_range(spark):
+    d = dt.date
+    iv = spark.createDataFrame([("A", d(1750, 1, 1), d(1760, 1, 1), "x"), ("B", d(2520, 1, 1), d(2530, 1, 1), "y"), ("C", None, d(1500, 1, 1), "z"), ("D", d(9000, 1, 1), None, "w")], "ticker string, s date, e date, id string")
+    probes = [("A", d(1795, 6, 1), False), ("A", d(1755, 6, 1), True), ("B", d(2600, 1, 1), False), ("B", d(2525, 1, 1), True), ("C", d(1, 1, 1), True), ("C", d(1500, 1, 2), False), ("D", d(9999, 12, 31), True), ("D", d(8999, 12, 31), False)]
+    left = spark.createDataFrame([p[:2] for p in probes], "ticker string, date date")
+    got = {(r.ticker, r.date): r.active for r in active_interval_join(left, iv, on="ticker", time="date", start="s", end="e", ident="id").collect()}
+    assert got == {p[:2]: p[2] for p in probes}

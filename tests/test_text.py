@@ -50,7 +50,7 @@ def test_weighted_sentiment(spark):
     f = SE.ticker_day_features(SE.prepare(s, t)).first()
     assert f.date == day and f.nlp_sentence_count == 3 and f.nlp_article_count == 2  # 03:00 UTC is still the 10th in New York
     assert f.nlp_sentiment_score == pytest.approx(0.8 * 1.25 / 2.25) and f.nlp_sentiment_dominant_topic_id == 7
-    assert f.nlp_contributing_article_ids == '["x","y"]' and "missing_source_default_weight" in f.nlp_semantic_warning_codes
+    assert {r.article_id for r in SE.contributing_articles(SE.prepare(s, t)).collect()} == {"x", "y"} and "missing_source_default_weight" in f.nlp_semantic_warning_codes
 
 
 def test_bar_contract_and_payloads(spark):
@@ -72,3 +72,11 @@ def test_observations_and_universe_text(spark):
 def test_canonical_and_dated_identity(spark):
     s = spark.createDataFrame([("fb", "2015-01-01"), ("UA", "2016-04-07"), ("UA", "2016-04-08"), ("q", "2017-08-29"), (" ", "2017-01-01")], "raw_ticker string, d string").withColumn("date", F.col("d").cast("date"))
     assert [(r.raw_ticker, r.ticker) for r in C.resolve_identity(s).collect()] == [("fb", "META"), ("UA", "UAA"), ("UA", "UA"), ("q", "IQV")]
+
+
+def test_every_article_of_a_busy_ticker_day_is_listed(spark):
+    base = spark.range(10_500).select(
+        F.lit("2024-01-10").cast("date").alias("date"), F.lit("A").alias("ticker"), F.col("id").cast("string").alias("article_id"), F.lit(0).alias("sentence_index"), F.lit(0).alias("chunk_index"),
+        F.lit("Reuters").alias("source"), F.lit("2024-01-10 15:00:00").cast("timestamp").alias("published_at"), *[F.lit(v).alias(c) for c, v in (("positive", 0.9), ("negative", 0.1), ("neutral", 0.0), ("score", 0.8), ("relevance_score", 1.0))])
+    rows = SE.prepare(base, None)
+    assert SE.contributing_articles(rows).count() == 10_500 and SE.ticker_day_features(rows).first().nlp_article_count == 10_500

@@ -59,12 +59,12 @@ def asof_join(
     )
 
 
-_EPOCH = "1800-01-01"
-_LEVELS = 18  # 2**18 days reach past the year 2500
+_EPOCH = "0001-01-01"
+_LEVELS = 22  # 2**22 days hold every date of the type, 0001-01-01 to 9999-12-31
 
 
 def _day(c: Column) -> Column:
-    return F.least(F.greatest(F.datediff(c, F.lit(_EPOCH).cast("date")), F.lit(0)), F.lit(2**_LEVELS - 1))
+    return F.datediff(c, F.lit(_EPOCH).cast("date"))
 
 
 def interval_nodes(start: Column, end: Column) -> Column:

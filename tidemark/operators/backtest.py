@@ -30,7 +30,7 @@ class WalkForward:
 def rank_scores(scores: DataFrame, *, score: str = "score", date: str = "date", ticker: str = "ticker") -> DataFrame:
     """0-based ascending rank by (score, ticker) inside the date over max(n - 1, 1)."""
     df = scores.withColumn("_k", F.when(F.col(score).isNotNull(), F.struct(F.col(score).alias("s"), F.col(ticker).alias("t"))))
-    df = with_ranks(df, [date], "_k", _ord="ordinal", _cnt="count")
+    df = with_ranks(df, [date], "_k", bounded=True, _ord="ordinal", _cnt="count")
     return df.withColumn("rank_score", F.col("_ord") / F.greatest(F.col("_cnt") - 1, F.lit(1))).drop("_k", "_ord", "_cnt")
 
 

@@ -43,7 +43,7 @@ RULES: dict[str, tuple] = {
               "nlp_missing_topic_count", "nlp_missing_relevance_evidence_count"], "sentiment", False, 0.0),
     **_rules(["nlp_sentiment_dominant_topic_id"], "sentiment", False),
     **_rules(["nlp_sentiment_dominant_topic_probability"], "sentiment", False, 0.0, 1.0),
-    **_rules(["nlp_contributing_article_ids", "nlp_topic_sentiment_summary", "nlp_source_weight_summary", "nlp_relevance_reason_codes",
+    **_rules(["nlp_topic_sentiment_summary", "nlp_source_weight_summary", "nlp_relevance_reason_codes",
               "nlp_semantic_warning_codes"], "sentiment", False, kind="string"),
     **_rules(["regime_label"], "regime", True, kind="string", nullable=False, allowed=["bear", "sideways", "bull"]),
     **_rules(["regime_confidence", "regime_prob_bear", "regime_prob_sideways", "regime_prob_bull"], "regime", True, 0.0, 1.0),

@@ -54,16 +54,31 @@ def acceptance(quality: DataFrame, best: DataFrame, *, feature_rows: DataFrame,
     return df.withColumn("accepted", ok).withColumn("recommendation", F.when(F.col("accepted"), "proceed").when(~hard, "do_not_proceed").otherwise("needs_human_review"))
 
 
-SAMPLE = 20
+def coverage_rows(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row per (date, ticker) on either side: how often it is there, and present, missing, unexpected or duplicate."""
+    keys = ["date", "ticker"]
+    e = expected.select(*keys).distinct().withColumn("_e", F.lit(True))
+    a = actual.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
+    j = e.join(a, keys, "full_outer")
+    n = F.coalesce("row_count", F.lit(0))
+    status = F.when(n == 0, "missing").when(F.col("_e").isNull(), "unexpected").when(n > 1, "duplicate").otherwise("present")
+    return j.select(*keys, n.alias("row_count"), status.alias("status"))
+
+
+def _status_counts(rows: DataFrame, key: str) -> DataFrame:
+    is_ = lambda *s: F.count_if(F.col("status").isin(*s))
+    return rows.groupBy(key).agg(is_("present", "missing", "duplicate").alias("expected"), is_("present", "duplicate").alias("present"), is_("missing").alias("missing"),
+                                 is_("unexpected").alias("unexpected"), is_("duplicate").alias("duplicate"), F.sum("row_count").alias("row_count"))
 
 
 def coverage_by_date(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Expected, present and missing tickers per date, with the first SAMPLE missing names."""
-    e, a = expected.select("date", "ticker").distinct(), actual.select("date", "ticker").distinct().withColumn("_p", F.lit(1))
-    j = e.join(a, ["date", "ticker"], "left")
-    g = j.groupBy("date").agg(F.count(F.lit(1)).alias("expected"), F.count("_p").alias("present"))
-    names = first_names(j.where(F.col("_p").isNull()), ["date"], "ticker", SAMPLE).withColumnRenamed("sample", "missing_sample")
-    return g.withColumn("missing", F.col("expected") - F.col("present")).join(names, "date", "left")
+    """Expected, present, missing, unexpected and duplicate tickers per date, with the number of rows."""
+    return _status_counts(coverage_rows(expected, actual), "date")
+
+
+def coverage_by_ticker(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Expected, present, missing, unexpected and duplicate dates per ticker, with the number of rows."""
+    return _status_counts(coverage_rows(expected, actual), "ticker")
 
 
 def first_names(rows: DataFrame, keys: list[str], name: str, n: int) -> DataFrame:

@@ -102,18 +102,23 @@ def inference_gaps(frame: DataFrame, train_end: str, columns: list[str]) -> Data
 # ---- model: numpy inside one (series, fold) group --------------------------------
 
 
-def _seed_states(x: np.ndarray, k: int) -> np.ndarray:
-    """k-means labels started at evenly spaced rows of the first column's order."""
-    at = np.argsort(x[:, 0])[np.linspace(0, len(x) - 1, k).astype(int)]
-    centre, label = x[at].copy(), np.zeros(len(x), dtype=int)
-    for _ in range(20):
-        nearest = np.argmin(np.stack([np.square(x - c).sum(1) for c in centre], 1), 1)
-        if (nearest == label).all():
+def _members(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """k-means as a 0/1 matrix (rows x clusters), seeded at evenly spaced ranks of the first column.
+
+    Squared distances are compared without the rows' own norms, which are the same for every centre.
+    """
+    n = len(x)
+    by_rank = x[:, 0].argsort()
+    centres = x[by_rank[[i * (n - 1) // max(k - 1, 1) for i in range(k)]]]
+    chosen = None
+    for _ in range(rounds):
+        gap = np.square(centres).sum(1) - 2 * x @ centres.T
+        one = np.eye(k)[gap.argmin(1)]
+        if chosen is not None and (one == chosen).all():
             break
-        label = nearest
-        for s in np.unique(label):
-            centre[s] = x[label == s].mean(0)
-    return label
+        chosen, size = one, one.sum(0)[:, None]
+        centres = np.where(size > 0, one.T @ x / np.maximum(size, 1), centres)
+    return chosen
 
 
 def _density(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,32 +147,32 @@ def _smooth(b: np.ndarray, top: np.ndarray, start: np.ndarray, move: np.ndarray)
     return g / g.sum(1, keepdims=True), moves, float(np.log(c).sum() + top.sum())
 
 
+def _maximise(x: np.ndarray, g: np.ndarray, moves: np.ndarray, mean: np.ndarray, var: np.ndarray, p: RegimeParams) -> tuple[np.ndarray, ...]:
+    """Chain parameters from state weights `g` and expected moves; a state without weight keeps its mean and variance."""
+    start, move = g[0] + p.smoothing, moves + p.smoothing
+    weight = g.sum(0)
+    live = (weight > p.variance_floor)[:, None]
+    share = g / np.where(live.T, weight, 1.0)
+    mean = np.where(live, share.T @ x, mean)
+    spread = np.einsum("ns,nsd->sd", share, np.square(x[:, None, :] - mean))
+    var = np.where(live, np.maximum(spread, p.variance_floor), var)
+    return start / start.sum(), move / move.sum(1, keepdims=True), mean, var
+
+
 def fit_hmm(x: np.ndarray, p: RegimeParams = RegimeParams()) -> dict:
-    """Diagonal-Gaussian chain by expectation maximisation from a k-means start."""
-    k, eps = p.states, p.smoothing
-    label = _seed_states(x, k)
-    start = np.bincount(label[:1], minlength=k) + eps
-    move = np.full((k, k), eps)
-    np.add.at(move, (label[:-1], label[1:]), 1.0)
-    used = [x[label == s] if (label == s).any() else None for s in range(k)]
-    mean = np.stack([x.mean(0) if u is None else u.mean(0) for u in used])
-    var = np.stack([x.var(0) + p.variance_floor if u is None else np.maximum(u.var(0), p.variance_floor) for u in used])
-    start, move = start / start.sum(), move / move.sum(1, keepdims=True)
+    """Diagonal-Gaussian chain by expectation maximisation; the k-means clusters are its first, hard expectation."""
+    g = _members(x, p.states)
+    whole = np.ones((p.states, 1))
+    model = _maximise(x, g, g[:-1].T @ g[1:], whole * x.mean(0), whole * (x.var(0) + p.variance_floor), p)
     last = -np.inf
     for _ in range(p.max_iterations):
+        start, move, mean, var = model
         g, moves, ll = _smooth(*_density(x, mean, var), start, move)
-        start, move = g[0] + eps, moves + eps
-        start, move = start / start.sum(), move / move.sum(1, keepdims=True)
-        w = g.sum(0)
-        live = w > p.variance_floor
-        m = (g.T @ x) / np.where(live, w, 1.0)[:, None]
-        mean = np.where(live[:, None], m, mean)
-        v = np.stack([(g[:, s, None] * np.square(x - mean[s])).sum(0) for s in range(k)]) / np.where(live, w, 1.0)[:, None]
-        var = np.where(live[:, None], np.maximum(v, p.variance_floor), var)
+        model = _maximise(x, g, moves, mean, var, p)
         if abs(ll - last) <= p.tolerance:
             break
         last = ll
-    return {"start": start, "move": move, "mean": mean, "var": var, "log_likelihood": ll}
+    return dict(zip(("start", "move", "mean", "var"), model), log_likelihood=ll)
 
 
 def _usable_columns(ok: np.ndarray, min_rows: int) -> list[int]:

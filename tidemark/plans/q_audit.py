@@ -332,11 +332,34 @@ def a13(spark, sf):
     return CO.adjusted_close_counts(T.bars(spark, sf), ["ticker"])
 
 
-@query("a19_coverage_by_date", """
-SELECT date, count(*) AS expected, count(b.ticker) AS present, count(*) - count(b.ticker) AS missing, array_to_string(list(q.ticker ORDER BY q.ticker) FILTER (b.ticker IS NULL)[1:20], ';') AS missing_sample FROM v_qpanel q LEFT JOIN (SELECT ticker, date FROM v_bars) b USING (ticker, date) GROUP BY 1""".replace("list(q.ticker ORDER BY q.ticker) FILTER (b.ticker IS NULL)[1:20]", "(list(q.ticker ORDER BY q.ticker) FILTER (b.ticker IS NULL))[1:20]"))
+view("v_stored_rows", "SELECT ticker, date FROM v_bars UNION ALL SELECT ticker, date FROM v_bars WHERE day(date) = 9 UNION ALL SELECT 'ZZ' || ticker, date FROM v_bars WHERE day(date) = 17")
+view("v_coverage", """
+SELECT date, ticker, coalesce(n, 0) AS row_count, CASE WHEN n IS NULL THEN 'missing' WHEN e IS NULL THEN 'unexpected' WHEN n > 1 THEN 'duplicate' ELSE 'present' END AS status
+FROM (SELECT DISTINCT date, ticker, true AS e FROM v_qpanel) FULL JOIN (SELECT date, ticker, count(*) AS n FROM v_stored_rows GROUP BY 1, 2) USING (date, ticker)""")
+_COVERAGE = """count(*) FILTER (status <> 'unexpected') AS expected, count(*) FILTER (status IN ('present', 'duplicate')) AS present, count(*) FILTER (status = 'missing') AS missing,
+ count(*) FILTER (status = 'unexpected') AS unexpected, count(*) FILTER (status = 'duplicate') AS duplicate, sum(row_count)::BIGINT AS row_count FROM v_coverage GROUP BY 1"""
+
+
+def _stored(spark, sf):
+    """The bars, with some rows twice and some under foreign tickers."""
+    b = T.bars(spark, sf).select("ticker", "date")
+    day = F.dayofmonth("date")
+    return b.unionByName(b.where(day == 9)).unionByName(b.where(day == 17).withColumn("ticker", F.concat(F.lit("ZZ"), "ticker")))
+
+
+@query("a19_coverage_by_date", f"SELECT date, {_COVERAGE}")
 def a19(spark, sf):
-    c = CO.coverage_by_date(quality_panel(spark, sf), T.bars(spark, sf))
-    return c.withColumn("missing_sample", F.array_join("missing_sample", ";"))
+    return CO.coverage_by_date(quality_panel(spark, sf), _stored(spark, sf))
+
+
+@query("a19_coverage_by_ticker", f"SELECT ticker, {_COVERAGE}")
+def a19b(spark, sf):
+    return CO.coverage_by_ticker(quality_panel(spark, sf), _stored(spark, sf))
+
+
+@query("a19_coverage_rows", "SELECT date, ticker, row_count, status FROM v_coverage WHERE status <> 'present'")
+def a19c(spark, sf):
+    return CO.coverage_rows(quality_panel(spark, sf), _stored(spark, sf)).where(F.col("status") != "present")
 
 
 @query("o4_capped_samples", "SELECT ticker, array_to_string((list(d ORDER BY d))[1:3], ';') AS sample FROM (SELECT DISTINCT ticker, CAST(date AS VARCHAR) AS d FROM v_bars) GROUP BY 1")

@@ -61,7 +61,7 @@ def w20(spark, sf):
 
 @query("w21_midranks", "SELECT date, ticker, score, rank() OVER (PARTITION BY date ORDER BY score) - 1 + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0::DOUBLE AS midrank FROM v_scores")
 def w21(spark, sf):
-    return with_ranks(_scores(spark, sf), ["date"], "score", midrank="midrank")
+    return with_ranks(_scores(spark, sf), ["date"], "score", bounded=True, midrank="midrank")
 
 
 @query("w21_midranks_all_rows", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0::DOUBLE AS midrank FROM lineitem".replace("l_shipdate, rank", "rank"))

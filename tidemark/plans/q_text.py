@@ -359,7 +359,7 @@ def a6(spark, sf):
 
 @query("a3_sentiment", f"""
 SELECT b.*, coalesce(d.topic_count, 0) AS nlp_sentiment_topic_count, t.topic_id AS nlp_sentiment_dominant_topic_id, round(t.sentiment_score, 6) AS nlp_sentiment_dominant_topic_score, round(t.mean_topic_probability, 6) AS nlp_sentiment_dominant_topic_probability,
- coalesce(i.ids, '') AS article_ids, coalesce(c.codes, '') AS reason_codes, coalesce(ts.l, '') AS topic_ids, ss.l AS sources,
+ coalesce(c.codes, '') AS reason_codes, coalesce(ts.l, '') AS topic_ids, ss.l AS sources,
  concat_ws(';', CASE WHEN nlp_missing_relevance_evidence_count > 0 THEN 'missing_relevance_evidence' END, CASE WHEN nlp_missing_source_count > 0 THEN 'missing_source_default_weight' END, CASE WHEN nlp_missing_topic_count > 0 THEN 'missing_topic_evidence' END) AS warnings
 FROM (SELECT bucket AS date, ticker, round({_wavg('positive', 'ew')}, 6) AS nlp_sentiment_positive, round({_wavg('negative', 'ew')}, 6) AS nlp_sentiment_negative, round({_wavg('neutral', 'ew')}, 6) AS nlp_sentiment_neutral,
   round({_wavg('score', 'ew')}, 6) AS nlp_sentiment_score, round({_wavg('greatest(positive, negative)', 'ew')}, 6) AS nlp_sentiment_strength, round(stddev_pop(score), 6) AS nlp_sentiment_std, {_ART} AS nlp_article_count, count(*) AS nlp_sentence_count,
@@ -368,7 +368,6 @@ FROM (SELECT bucket AS date, ticker, round({_wavg('positive', 'ew')}, 6) AS nlp_
   count(*) FILTER (missing_topic) AS nlp_missing_topic_count, count(*) FILTER (missing_relevance) AS nlp_missing_relevance_evidence_count FROM v_prep GROUP BY 1, 2) b
 LEFT JOIN (SELECT bucket AS date, ticker, count(DISTINCT topic_id) AS topic_count FROM v_prep WHERE topic_id >= 0 GROUP BY 1, 2) d USING (date, ticker)
 LEFT JOIN (SELECT * FROM v_topic_summary QUALIFY row_number() OVER (PARTITION BY date, ticker ORDER BY round(weight, 9) DESC, topic_id) = 1) t USING (date, ticker)
-LEFT JOIN (SELECT bucket AS date, ticker, string_agg(DISTINCT article_id, ';' ORDER BY article_id) AS ids FROM v_prep GROUP BY 1, 2) i USING (date, ticker)
 LEFT JOIN (SELECT date, ticker, string_agg(DISTINCT c, ';' ORDER BY c) AS codes FROM (SELECT bucket AS date, ticker, unnest(reason_codes) AS c FROM v_prep) GROUP BY 1, 2) c USING (date, ticker)
 LEFT JOIN (SELECT date, ticker, string_agg(topic_id || ':' || sentence_count || ':' || article_count, ';' ORDER BY round(weight, 9) DESC, topic_id) AS l FROM v_topic_summary GROUP BY 1, 2) ts USING (date, ticker)
 LEFT JOIN (SELECT date, ticker, string_agg(coalesce(source, '?') || ':' || sentence_count || ':' || article_count, ';' ORDER BY source NULLS LAST) AS l FROM v_source_summary GROUP BY 1, 2) ss USING (date, ticker)""")
@@ -378,9 +377,9 @@ def a3(spark, sf):
     topic = F.from_json("nlp_topic_sentiment_summary", "array<struct<topic_id:int,sentence_count:int,article_count:int>>")
     src = F.from_json("nlp_source_weight_summary", "array<struct<source:string,sentence_count:int,article_count:int>>")
     text = lambda s, k: F.concat_ws(":", F.coalesce(s[k].cast("string"), F.lit("?")), s["sentence_count"], s["article_count"])
-    out = f.withColumn("article_ids", arr("nlp_contributing_article_ids")).withColumn("reason_codes", arr("nlp_relevance_reason_codes")).withColumn("warnings", arr("nlp_semantic_warning_codes"))
+    out = f.withColumn("reason_codes", arr("nlp_relevance_reason_codes")).withColumn("warnings", arr("nlp_semantic_warning_codes"))
     out = out.withColumn("topic_ids", F.array_join(F.transform(topic, lambda s: text(s, "topic_id")), ";")).withColumn("sources", F.array_join(F.transform(src, lambda s: text(s, "source")), ";"))
-    return rounded(out.drop("nlp_contributing_article_ids", "nlp_relevance_reason_codes", "nlp_semantic_warning_codes", "nlp_topic_sentiment_summary", "nlp_source_weight_summary"), nlp_relevance_score=10)
+    return rounded(out.drop("nlp_relevance_reason_codes", "nlp_semantic_warning_codes", "nlp_topic_sentiment_summary", "nlp_source_weight_summary"), nlp_relevance_score=10)
 
 
 @query("a3_contributing_articles", "SELECT DISTINCT bucket AS date, ticker, article_id FROM v_prep WHERE article_id IS NOT NULL")
