@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.maths import by, finite, safe_div, warnings_array
+from tidemark.functions.maths import TRADING_DAYS_PER_YEAR, by, finite, safe_div, warnings_array
 from tidemark.operators.contracts import resolve_identity
 from tidemark.operators.sessions import previous_business_day
 
@@ -98,43 +98,61 @@ def leakage_boundaries(rows: DataFrame, dates: str, as_of: str, keys: list[str])
     return g.withColumn("status", F.when(F.col("rows_on_or_after") > 0, "warn").otherwise("pass"))
 
 
-SPOT_WINDOWS = {"returns_21d": 22, "momentum_21": 23, "price_vs_sma20": 20, "realized_vol_5d": 6, "volume_ratio_20": 20}
+# Checked features and the prior bars each needs.
+SPOT_BARS = {"returns_1d": 2, "returns_5d": 6, "realized_vol_21d": 22, "volume_ratio_20": 20, "rsi_14": 15}
 
 
-def spot_checks(bars: DataFrame, stored: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """V5: five features recomputed from their raw windows by array functions, compared with the stored ones.
+def spot_checks(bars: DataFrame, stored: DataFrame, *, absolute: float = ABS_TOL, relative: float = REL_TOL) -> DataFrame:
+    """V5: five features of every stored row recomputed from raw prior bars by array functions, beside the stored values.
 
-    A different route than the feature job: the last 23 bars before the date are
-    gathered per row (a bounded frame) and folded.
+    A different route than the feature job: the bars before the date are gathered per row (a bounded frame) and
+    folded. `raw_inputs` are the (date, value) pairs that went in. A row without a bar, with too few or unusable ones
+    (null, not finite), or with an undefined value warns; a stored value that is missing or off fails.
     """
-    w = by("ticker", order="date").rowsBetween(-23, -1)
-    b = bars.select("ticker", "date", F.collect_list(F.struct("date", "adj_close", "volume")).over(w).alias("h"))
-    px = F.transform("h", lambda x: x["adj_close"])
-    vol = F.transform("h", lambda x: x["volume"].cast("double"))
-    back = lambda arr, k: F.try_element_at(arr, F.lit(-k))
-    last_n = lambda arr, n: F.slice(arr, F.size(arr) - n + 1, n)
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
-    have = lambda n: F.size("h") >= n
-    b = b.withColumn("px", px).withColumn("vol", vol)
-    r5 = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.element_at("px", -i) / F.element_at("px", -i - 1) - 1.0)
-    mean5 = total(F.col("r5")) / 5.0
-    b = b.withColumn("r5", F.when(have(6), r5))
-    sd5 = F.sqrt(F.aggregate("r5", F.lit(0.0), lambda a, x: a + (x - mean5) * (x - mean5)) / 4.0)
-    values = {
-        "returns_21d": F.when(have(22), safe_div(back(F.col("px"), 1), back(F.col("px"), 22)) - 1.0),
-        "momentum_21": F.when(have(23), safe_div(back(F.col("px"), 2), back(F.col("px"), 23)) - 1.0),
-        "price_vs_sma20": F.when(have(20), safe_div(back(F.col("px"), 1), total(last_n(F.col("px"), 20)) / 20.0) - 1.0),
-        "realized_vol_5d": F.when(have(6), sd5 * 252.0**0.5),
-        "volume_ratio_20": F.when(have(20), safe_div(back(F.col("vol"), 1), total(last_n(F.col("vol"), 20)) / 20.0)),
-    }
-    items = [F.struct(F.lit(n).alias("feature"), v.alias("expected"), F.when(have(SPOT_WINDOWS[n]), F.element_at("h", -SPOT_WINDOWS[n])["date"]).alias("window_start"),
-                      F.try_element_at("h", F.lit(-1))["date"].alias("window_end")) for n, v in values.items()]
-    e = b.select("ticker", "date", F.explode(F.array(*items)).alias("s")).select("ticker", "date", "s.*")
-    s = to_long(stored.select("ticker", "date", *SPOT_WINDOWS), ["ticker", "date"], list(SPOT_WINDOWS)).select("ticker", "date", "feature", F.col("number").alias("stored"))
-    j = e.join(s, ["ticker", "date", "feature"], "left")
-    ok = F.abs(F.col("expected") - F.col("stored")) <= F.greatest(F.lit(tolerance), F.abs("expected") * 1e-7)
-    status = F.when(F.col("expected").isNull() & F.col("stored").isNull(), "warn").when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail")
-    return j.withColumn("status", status)
+    most = max(SPOT_BARS.values())
+    w = by("ticker", order="date").rowsBetween(-most, -1)
+    b = bars.select("ticker", "date", F.collect_list(F.struct("date", finite("adj_close").alias("p"), finite(F.col("volume").cast("double")).alias("v"))).over(w).alias("h"))
+    rows = stored.select("ticker", "date", *SPOT_BARS).join(b, ["ticker", "date"], "left")
+    last = lambda n: F.slice("h", -n, n)
+    mean = lambda xs, n: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / n
+    value_of = lambda c: lambda x: x[c]
+    input_of = lambda c: lambda x: F.struct(x["date"].alias("date"), x[c].alias("value"))
+    steps = lambda xs, n, f: F.zip_with(F.slice(xs, 1, n - 1), F.slice(xs, 2, n - 1), f)
+
+    def change(xs: Column, n: int) -> Column:
+        return safe_div(F.element_at(xs, n), F.element_at(xs, 1)) - 1.0
+
+    def volatility(xs: Column, n: int) -> Column:
+        r = steps(xs, n, lambda a, c: safe_div(c, a) - 1.0)
+        m = mean(r, n - 1)
+        return F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / (n - 2)) * F.sqrt(F.lit(float(TRADING_DAYS_PER_YEAR)))
+
+    def strength(xs: Column, n: int) -> Column:
+        d = steps(xs, n, lambda a, c: c - a)
+        up, down = mean(F.transform(d, lambda x: F.greatest(x, F.lit(0.0))), n - 1), mean(F.transform(d, lambda x: F.greatest(-x, F.lit(0.0))), n - 1)
+        return F.when((up == 0) & (down == 0), None).when(down == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + safe_div(up, down)))
+
+    formula = {"returns_1d": change, "returns_5d": change, "realized_vol_21d": volatility, "rsi_14": strength, "volume_ratio_20": lambda xs, n: safe_div(F.element_at(xs, n), mean(xs, n))}
+    have = F.coalesce(F.size("h"), F.lit(0))
+    items = []
+    for name, n in SPOT_BARS.items():
+        enough = have >= n
+        part = F.when(enough, last(n))
+        c = "v" if name.startswith("volume") else "p"
+        values = F.transform(part, value_of(c))
+        usable = enough & ~F.exists(values, lambda x: x.isNull())
+        reason = F.when(F.col("h").isNull(), "missing_bar").when(~enough, "insufficient_history").when(~usable, "invalid_input")
+        items.append(F.struct(
+            F.lit(name).alias("feature"), F.col(name).cast("double").alias("stored"), F.when(usable, formula[name](values, n)).alias("expected"), reason.alias("reason"), F.least(have, F.lit(n)).alias("bar_count"),
+            F.transform(part, input_of(c)).alias("raw_inputs")))
+    s = rows.select("ticker", "date", F.explode(F.array(*items)).alias("s")).select("ticker", "date", "s.*")
+    gap = F.abs(F.col("stored") - F.col("expected"))
+    s = s.select("*", gap.alias("absolute_difference"), (gap / F.greatest(F.abs("expected"), F.lit(absolute))).alias("relative_difference"))
+    ok = (F.col("absolute_difference") <= absolute) | (F.col("relative_difference") <= relative)
+    return s.withColumns({
+        "status": F.when(F.col("expected").isNull(), "warn").when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail"),
+        "reason": F.coalesce("reason", F.when(F.col("expected").isNull(), "undefined")),
+        "window_start": F.try_element_at("raw_inputs", F.lit(1))["date"], "window_end": F.try_element_at("raw_inputs", F.lit(-1))["date"]})
 
 
 def without_bar(expected: DataFrame, bars: DataFrame) -> DataFrame:

@@ -16,14 +16,24 @@ def adjusted_close_counts(bars: DataFrame, keys: list[str] | None = None) -> Dat
     return g.withColumn("consistent", F.col("observed_rows") == F.col("equal_rows") + F.col("different_rows"))
 
 
-def feature_quality(checked: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per owner observations, nulls, finite numbers, required nulls and failures over checked long rows."""
+def feature_quality(checked: DataFrame, rules: DataFrame, features: DataFrame) -> DataFrame:
+    """Per owner observations, nulls, finite numbers, required nulls and failures over checked long rows.
+
+    A required rule whose column `features` lacks is a required null of every row, and a failure unless it may be null.
+    """
     j = checked.join(rules.select("feature", "required"), "feature", "left")
     null = F.col("number").isNull() & F.col("text").isNull()
     req = F.coalesce("required", F.lit(False))
-    return j.groupBy(F.coalesce("owner", F.lit("uncataloged")).alias("family")).agg(
+    seen = j.groupBy(F.coalesce("owner", F.lit("uncataloged")).alias("family")).agg(
         F.count(F.lit(1)).alias("observations"), F.count_if(null).alias("nulls"), F.count_if(finite("number").isNotNull()).alias("finite_numeric"),
         F.count_if(req).alias("required_observations"), F.count_if(req & null).alias("required_nulls"), F.count_if(req & F.col("message").isNotNull()).alias("failures"))
+    absent = rules.where("required").where(~F.col("feature").isin(list(features.columns))).withColumn("_j", F.lit(0))
+    rows = features.agg(F.count(F.lit(1)).alias("_n")).withColumn("_j", F.lit(0))
+    none = F.lit(0).cast("long")
+    lost = absent.join(rows, "_j").select(F.col("owner").alias("family"), none.alias("observations"), none.alias("nulls"), none.alias("finite_numeric"), F.col("_n").alias("required_observations"),
+                                          F.col("_n").alias("required_nulls"), F.when(F.col("nullable"), none).otherwise(F.col("_n")).alias("failures"))
+    totals = [c for c in seen.columns if c != "family"]
+    return seen.unionByName(lost).groupBy("family").agg(*[F.sum(c).alias(c) for c in totals])
 
 
 def acceptance(quality: DataFrame, best: DataFrame, *, feature_rows: DataFrame, missing_keys: DataFrame, prices: DataFrame, min_rows: int = 1, max_null_rate: float = 0.35,

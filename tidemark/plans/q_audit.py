@@ -91,13 +91,15 @@ def v1b(spark, sf):
 
 
 RULES = {"returns_1d": ("market", "number", True, False, -0.05, 0.05, None), "atr_14": ("market", "number", True, True, 0.0, 60.0, None), "rsi_14": ("market", "number", True, True, 20.0, 80.0, None),
-         "sector": ("sector", "string", False, True, None, None, ["ASIA", "EUROPE"])}
+         "sector": ("sector", "string", False, True, None, None, ["ASIA", "EUROPE"]),
+         # required, but no column of the table
+         "macd_signal": ("market", "number", True, False, None, None, None), "vix_level": ("macro", "number", True, True, None, None, None)}
 
 
 def _checked(spark, sf):
     f = _market(spark, sf).select("date", "ticker", "returns_1d", "atr_14", "rsi_14", "returns_5d").join(T.ticker_sectors(spark, sf), "ticker")
     rules = CA.rules_table(spark, RULES)
-    return V.check_rules(f, rules), rules
+    return V.check_rules(f, rules), rules, f
 
 
 view("v_checked", """
@@ -111,34 +113,45 @@ UNION ALL SELECT date, ticker, 'sector', 'sector', NULL, CASE WHEN sector NOT IN
 
 @query("f16_value_rules", "SELECT date, ticker, feature, message FROM v_checked WHERE message IS NOT NULL AND owner IS NOT NULL")
 def f16(spark, sf):
-    c, _ = _checked(spark, sf)
+    c, _, _ = _checked(spark, sf)
     return c.where(F.col("message").isNotNull() & F.col("owner").isNotNull()).select("date", "ticker", "feature", "message")
 
 
 @query("v2_catalog_validation", "SELECT feature, message, count(*) AS n FROM v_checked GROUP BY 1, 2")
 def v2(spark, sf):
-    c, _ = _checked(spark, sf)
+    c, _, _ = _checked(spark, sf)
     return c.groupBy("feature", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a16_feature_quality", """
-SELECT coalesce(owner, 'uncataloged') AS family, count(*) AS observations, count(*) FILTER (number IS NULL AND feature <> 'sector') AS nulls, count(number) AS finite_numeric, count(*) FILTER (feature IN ('returns_1d', 'atr_14', 'rsi_14')) AS required_observations,
- count(*) FILTER (feature IN ('returns_1d', 'atr_14', 'rsi_14') AND number IS NULL) AS required_nulls, count(*) FILTER (feature IN ('returns_1d', 'atr_14', 'rsi_14') AND message IS NOT NULL) AS failures FROM v_checked GROUP BY 1""")
+view("v_quality", """
+SELECT family, sum(observations)::BIGINT AS observations, sum(nulls)::BIGINT AS nulls, sum(finite_numeric)::BIGINT AS finite_numeric, sum(required_observations)::BIGINT AS required_observations, sum(required_nulls)::BIGINT AS required_nulls, sum(failures)::BIGINT AS failures FROM (
+ SELECT coalesce(owner, 'uncataloged') AS family, count(*) AS observations, count(*) FILTER (number IS NULL AND feature <> 'sector') AS nulls, count(number) AS finite_numeric, count(*) FILTER (feature IN ('returns_1d', 'atr_14', 'rsi_14')) AS required_observations,
+  count(*) FILTER (feature IN ('returns_1d', 'atr_14', 'rsi_14') AND number IS NULL) AS required_nulls, count(*) FILTER (feature IN ('returns_1d', 'atr_14', 'rsi_14') AND message IS NOT NULL) AS failures FROM v_checked GROUP BY 1
+ UNION ALL SELECT 'market', 0, 0, 0, count(*), count(*), count(*) FROM v_checked WHERE feature = 'atr_14'
+ UNION ALL SELECT 'macro', 0, 0, 0, count(*), count(*), 0 FROM v_checked WHERE feature = 'atr_14') GROUP BY 1""")
+
+
+@query("a16_feature_quality", "SELECT * FROM v_quality")
 def a16(spark, sf):
-    return CO.feature_quality(*_checked(spark, sf))
+    c, rules, f = _checked(spark, sf)
+    return CO.feature_quality(c, rules, f)
 
 
 @query("a18_acceptance", """
-SELECT true AS has_raw_price_data, true AS has_min_feature_rows, (SELECT count(*) FROM (SELECT ticker, date FROM v_bars WHERE date < '1996-01-01' EXCEPT SELECT ticker, date FROM v_market_guarded)) = 0 AS has_no_missing_date_first_shards,
- (SELECT count(*) FILTER (number IS NULL) / count(*) FROM v_checked WHERE feature IN ('returns_1d', 'atr_14', 'rsi_14')) <= 0.35::DOUBLE AS required_feature_null_rate_ok, (SELECT count(*) FROM v_checked WHERE feature IN ('returns_1d', 'atr_14', 'rsi_14') AND message IS NOT NULL) = 0 AS catalog_validation_ok,
- true AS has_min_label_pairs, (SELECT max(score) FROM v_sweep) >= 0.1::DOUBLE AS best_candidate_correlation_ok, false AS accepted, 'do_not_proceed' AS recommendation""")
+SELECT *, has_raw_price_data AND has_min_feature_rows AND has_no_missing_date_first_shards AND required_feature_null_rate_ok AND catalog_validation_ok AND has_min_label_pairs AND best_candidate_correlation_ok AS accepted,
+ CASE WHEN has_raw_price_data AND has_min_feature_rows AND has_no_missing_date_first_shards AND required_feature_null_rate_ok AND catalog_validation_ok AND has_min_label_pairs AND best_candidate_correlation_ok THEN 'proceed'
+  WHEN NOT (has_raw_price_data AND has_no_missing_date_first_shards AND catalog_validation_ok) THEN 'do_not_proceed' ELSE 'needs_human_review' END AS recommendation
+FROM (SELECT (SELECT count(*) FROM v_bars) > 0 AS has_raw_price_data, (SELECT count(*) FROM v_market_guarded) >= 1 AS has_min_feature_rows,
+ (SELECT count(*) FROM (SELECT ticker, date FROM v_bars EXCEPT SELECT ticker, date FROM v_market_guarded)) = 0 AS has_no_missing_date_first_shards,
+ (SELECT sum(required_nulls) / sum(required_observations) FROM v_quality) <= 0.35::DOUBLE AS required_feature_null_rate_ok, (SELECT sum(failures) FROM v_quality) = 0 AS catalog_validation_ok,
+ (SELECT arg_max(label_pairs, score) FROM v_sweep) >= 3 AS has_min_label_pairs, (SELECT max(score) FROM v_sweep) >= 0.1::DOUBLE AS best_candidate_correlation_ok)""")
 def a18(spark, sf):
-    c, rules = _checked(spark, sf)
+    c, rules, f = _checked(spark, sf)
     bars = T.bars(spark, sf)
     best = M.best_candidate(M.sweep_candidates(bars, windows=SWEEP))
-    early = bars.where(F.col("date") < F.lit("1996-01-01").cast("date")).select("ticker", "date")
     m = _market(spark, sf)
-    return CO.acceptance(CO.feature_quality(c, rules), best, feature_rows=m, missing_keys=early.join(m, ["ticker", "date"], "left_anti"), prices=bars, min_score=0.1)
+    missing = bars.select("ticker", "date").join(m, ["ticker", "date"], "left_anti")
+    return CO.acceptance(CO.feature_quality(c, rules, f), best, feature_rows=m, missing_keys=missing, prices=bars, min_score=0.1)
 
 
 @query("v3_leakage", """
@@ -155,16 +168,25 @@ def v3b(spark, sf):
     return V.leakage_boundaries(T.macro(spark, sf), "realtime_start", "1998-06-30", ["series_id"])
 
 
+_SPOT = "(VALUES ('returns_1d', 2), ('returns_5d', 6), ('realized_vol_21d', 22), ('volume_ratio_20', 20), ('rsi_14', 15)) f(feature, k)"
+view("v_spot", f"""
+WITH b AS (SELECT ticker, date, adj_close, volume::DOUBLE AS volume, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM v_bars),
+m AS (UNPIVOT (SELECT ticker, date, returns_1d, returns_5d, realized_vol_21d, volume_ratio_20, rsi_14 FROM v_market_guarded) ON returns_1d, returns_5d, realized_vol_21d, volume_ratio_20, rsi_14 INTO NAME feature VALUE expected)
+SELECT b.ticker, b.date, f.feature, f.k, b.n, m.expected, CASE WHEN day(b.date) = 14 THEN NULL WHEN day(b.date) = 13 THEN m.expected + 0.001 ELSE m.expected END AS stored,
+ p.date AS window_start, q.date AS window_end, CASE WHEN f.feature = 'volume_ratio_20' THEN p.volume ELSE p.adj_close END AS first_input, CASE WHEN f.feature = 'volume_ratio_20' THEN q.volume ELSE q.adj_close END AS last_input
+FROM b, {_SPOT} LEFT JOIN m ON m.ticker = b.ticker AND m.date = b.date AND m.feature = f.feature LEFT JOIN b p ON p.ticker = b.ticker AND p.n = b.n - f.k AND b.n > f.k LEFT JOIN b q ON q.ticker = b.ticker AND q.n = b.n - 1 AND b.n > f.k""")
+
+
 @query("v5_spot_checks", """
-WITH w AS (SELECT ticker, date, returns_21d, momentum_21, price_vs_sma20, realized_vol_5d, volume_ratio_20, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM v_market_guarded),
-d AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM v_bars)
-SELECT x.feature, x.status, count(*) AS n, count(window_start) AS windows, min(window_start) AS first_window FROM (
- SELECT w.ticker, w.date, f.feature, CASE WHEN w.n > f.k THEN 'pass' ELSE 'warn' END AS status, d.date AS window_start FROM w, (VALUES ('returns_21d', 22), ('momentum_21', 23), ('price_vs_sma20', 20), ('realized_vol_5d', 6), ('volume_ratio_20', 20)) f(feature, k)
- LEFT JOIN d ON d.ticker = w.ticker AND d.n = w.n - f.k AND w.n > f.k) x GROUP BY 1, 2""")
+SELECT ticker, date, feature, CASE WHEN expected IS NULL THEN 'warn' WHEN stored IS NULL OR abs(stored - expected) > 0.0005 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN n <= k THEN 'insufficient_history' WHEN expected IS NULL THEN 'undefined' END AS reason,
+ CASE WHEN n > k THEN k ELSE n - 1 END::INTEGER AS bar_count, window_start, window_end, round(first_input, 6) AS first_input, round(last_input, 6) AS last_input, round(expected, 6) AS expected, round(stored, 6) AS stored, round(abs(stored - expected), 6) AS absolute_difference FROM v_spot""")
 def v5(spark, sf):
     b = T.bars(spark, sf)
-    s = V.spot_checks(b, M.market_features(b).select("date", "ticker", *V.SPOT_WINDOWS))
-    return s.groupBy("feature", "status").agg(F.count(F.lit(1)).alias("n"), F.count("window_start").alias("windows"), F.min("window_start").alias("first_window"))
+    day = F.dayofmonth("date")
+    m = M.market_features(b).select("date", "ticker", *[F.when(day == 14, None).when(day == 13, F.col(c) + 0.001).otherwise(F.col(c)).alias(c) for c in V.SPOT_BARS])
+    first, last = F.try_element_at("raw_inputs", F.lit(1))["value"], F.try_element_at("raw_inputs", F.lit(-1))["value"]
+    return rounded(V.spot_checks(b, m).select("ticker", "date", "feature", "status", "reason", "bar_count", "window_start", "window_end", first.alias("first_input"), last.alias("last_input"),
+                                              "expected", "stored", "absolute_difference"))
 
 
 @query("v6_price_coverage", "SELECT date, ticker FROM v_qpanel WHERE date BETWEEN '1997-01-01' AND '1997-03-31' EXCEPT SELECT date, ticker FROM v_bars")
@@ -340,7 +362,7 @@ _COVERAGE = """count(*) FILTER (status <> 'unexpected') AS expected, count(*) FI
  count(*) FILTER (status = 'unexpected') AS unexpected, count(*) FILTER (status = 'duplicate') AS duplicate, sum(row_count)::BIGINT AS row_count FROM v_coverage GROUP BY 1"""
 
 
-def _stored(spark, sf):
+def _stored_rows(spark, sf):
     """The bars, with some rows twice and some under foreign tickers."""
     b = T.bars(spark, sf).select("ticker", "date")
     day = F.dayofmonth("date")
@@ -349,17 +371,17 @@ def _stored(spark, sf):
 
 @query("a19_coverage_by_date", f"SELECT date, {_COVERAGE}")
 def a19(spark, sf):
-    return CO.coverage_by_date(quality_panel(spark, sf), _stored(spark, sf))
+    return CO.coverage_by_date(quality_panel(spark, sf), _stored_rows(spark, sf))
 
 
 @query("a19_coverage_by_ticker", f"SELECT ticker, {_COVERAGE}")
 def a19b(spark, sf):
-    return CO.coverage_by_ticker(quality_panel(spark, sf), _stored(spark, sf))
+    return CO.coverage_by_ticker(quality_panel(spark, sf), _stored_rows(spark, sf))
 
 
 @query("a19_coverage_rows", "SELECT date, ticker, row_count, status FROM v_coverage WHERE status <> 'present'")
 def a19c(spark, sf):
-    return CO.coverage_rows(quality_panel(spark, sf), _stored(spark, sf)).where(F.col("status") != "present")
+    return CO.coverage_rows(quality_panel(spark, sf), _stored_rows(spark, sf)).where(F.col("status") != "present")
 
 
 @query("o4_capped_samples", "SELECT ticker, array_to_string((list(d ORDER BY d))[1:3], ';') AS sample FROM (SELECT DISTINCT ticker, CAST(date AS VARCHAR) AS d FROM v_bars) GROUP BY 1")
