@@ -29,8 +29,12 @@ def _market(spark, sf):
     return M.market_features(T.bars(spark, sf)).select("date", "ticker", *FEATS)
 
 
+def _number(c="ticker"):
+    return F.substring(c, 2, 9).cast("int")
+
+
 def _even(c="ticker"):
-    return F.substring(c, 2, 9).cast("int") % 2 == 0
+    return _number(c) % 2 == 0
 
 
 # ---- assembly ------------------------------------------------------------------------
@@ -39,14 +43,15 @@ def _even(c="ticker"):
 @query("j14_assembly", """
 SELECT coalesce(m.date, f.date) AS date, coalesce(m.ticker, f.ticker) AS ticker, round(m.returns_1d, 6) AS returns_1d, round(coalesce(m.atr_14, f.atr_14), 6) AS atr_14, round(f.pe, 6) AS pe_ratio,
  CASE WHEN m.ticker IS NOT NULL AND f.ticker IS NOT NULL AND m.atr_14 IS DISTINCT FROM f.atr_14 THEN 'fundamentals:atr_14' ELSE '' END AS conflicts
-FROM (SELECT date, ticker, returns_1d, atr_14 FROM v_market_guarded WHERE date < '2000-01-01') m
-FULL JOIN (SELECT x.date, x.ticker, CASE WHEN CAST(substring(x.ticker, 2) AS INTEGER) % 2 = 0 THEN atr_14 ELSE 1.0::DOUBLE END AS atr_14, pe_ratio AS pe FROM v_market_guarded x JOIN v_fundamentals y ON x.date = y.date AND x.ticker = y.ticker WHERE x.date >= '1998-01-01') f ON m.date = f.date AND m.ticker = f.ticker""")
+FROM (SELECT date, ticker, returns_1d, atr_14 FROM v_market_guarded WHERE (dayofyear(date) + CAST(substring(ticker, 2) AS INTEGER)) % 5 <> 0) m
+FULL JOIN (SELECT x.date, x.ticker, CASE WHEN CAST(substring(x.ticker, 2) AS INTEGER) % 2 = 0 THEN atr_14 ELSE 1.0::DOUBLE END AS atr_14, pe_ratio AS pe FROM v_market_guarded x JOIN v_fundamentals y ON x.date = y.date AND x.ticker = y.ticker WHERE (dayofyear(x.date) + CAST(substring(x.ticker, 2) AS INTEGER)) % 7 <> 0) f ON m.date = f.date AND m.ticker = f.ticker""")
 def j14(spark, sf):
+    """Both branches lack some (date, ticker) keys of the whole table."""
     m = _market(spark, sf)
     f = FU.fundamental_features(T.filings(spark, sf), T.bars(spark, sf)).select("date", "ticker", "pe_ratio")
     other = m.select("date", "ticker", F.when(_even(), F.col("atr_14")).otherwise(1.0).alias("atr_14")).join(f, ["date", "ticker"])
-    a = AS.assemble({"market": m.select("date", "ticker", "returns_1d", "atr_14").where(F.col("date") < F.lit("2000-01-01").cast("date")),
-                     "fundamentals": other.where(F.col("date") >= F.lit("1998-01-01").cast("date"))})
+    a = AS.assemble({"market": m.select("date", "ticker", "returns_1d", "atr_14").where((F.dayofyear("date") + _number()) % 5 != 0),
+                     "fundamentals": other.where((F.dayofyear("date") + _number()) % 7 != 0)})
     return rounded(a.select("date", "ticker", "returns_1d", "atr_14", "pe_ratio", F.array_join("conflicts", ";").alias("conflicts")))
 
 
@@ -189,10 +194,9 @@ def v5(spark, sf):
                                               "expected", "stored", "absolute_difference"))
 
 
-@query("v6_price_coverage", "SELECT date, ticker FROM v_qpanel WHERE date BETWEEN '1997-01-01' AND '1997-03-31' EXCEPT SELECT date, ticker FROM v_bars")
+@query("v6_price_coverage", "SELECT date, ticker FROM v_qpanel EXCEPT SELECT date, ticker FROM v_bars")
 def v6(spark, sf):
-    q = quality_panel(spark, sf).where(F.col("date").between(F.lit("1997-01-01").cast("date"), F.lit("1997-03-31").cast("date")))
-    return V.without_bar(q.where(C.eligible()), T.bars(spark, sf))
+    return V.without_bar(quality_panel(spark, sf).where(C.eligible()), T.bars(spark, sf))
 
 
 @query("v7_sampled_keys")

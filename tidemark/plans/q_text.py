@@ -19,13 +19,13 @@ def ascii_articles(spark, sf):
     d = T.table(spark, sf, "documents")
     a = T.articles(spark, sf).withColumn("doc_id", F.regexp_extract("url", r"(\d+)$", 1).cast("bigint"))
     text = F.regexp_replace("content", r"[^\x00-\x7F]", "e")
-    head = F.concat(F.lit("About S"), F.col("doc_id") % 50, F.lit(". News: "), F.substring(text, 1, 60))
+    head = F.concat(F.lit("About S"), F.col("doc_id") % 50, F.lit(". News: "), F.substring_index(text, "\n", 1))
     return a.select("doc_id", "id", head.alias("headline"), "summary", text.alias("content"), "source", "url", "published_at", F.to_date("published_at").alias("date"), "symbols")
 
 
 view("v_ascii", """
 SELECT doc_id, id, url, source, published_at, CAST(published_at AS DATE) AS date, sym_a, sym_b, coalesce(id, url) AS article_id,
-       trim(regexp_replace('About S' || (doc_id % 50) || '. News: ' || substring(t, 1, 60), '^\\s+|\\s+$', '', 'g')) AS headline, t AS content
+       trim(regexp_replace('About S' || (doc_id % 50) || '. News: ' || split_part(t, chr(10), 1), '^\\s+|\\s+$', '', 'g')) AS headline, t AS content
 FROM (SELECT *, regexp_replace(content, '[^\\x00-\\x7F]', 'e', 'g') AS t FROM v_articles)""")
 
 
@@ -97,9 +97,9 @@ def t4(spark, sf):
     return r.select("article_id", "chunk_index", F.array_join(F.array_sort("entity_mentions"), ";").alias("entities")).distinct()
 
 
-@query("t5_normalized_headline", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) AS normalized_headline FROM documents")
+@query("t5_normalized_headline", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) AS normalized_headline FROM documents")
 def t5(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", X.normalize_headline(F.substring("text", 1, 80)).alias("normalized_headline"))
+    return T.table(spark, sf, "documents").select("doc_id", X.normalize_headline("text").alias("normalized_headline"))
 
 
 @query("t6_article_identity", """
@@ -297,11 +297,11 @@ def t14(spark, sf):
 
 
 @query("t14_batch_offsets", """
-SELECT vec_id, b AS batch, CASE WHEN label = 0 THEN -1 ELSE label + (SELECT coalesce(sum(m), 0) FROM (SELECT vec_id % 4 AS b2, max(label) + 1 AS m FROM embeddings WHERE label <= vec_id % 4 + 5 GROUP BY 1) WHERE b2 < b) END::INTEGER AS topic_id
-FROM (SELECT vec_id, vec_id % 4 AS b, label FROM embeddings) WHERE label <= b + 5""")
+SELECT vec_id, b AS batch, CASE WHEN label = 0 THEN -1 ELSE label + (SELECT coalesce(sum(m), 0) FROM (SELECT vec_id % 4 AS b2, max(label) + 1 AS m FROM embeddings GROUP BY 1) WHERE b2 < b) END::INTEGER AS topic_id
+FROM (SELECT vec_id, vec_id % 4 AS b, label FROM embeddings)""")
 def t14b(spark, sf):
     e = T.table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 4).alias("batch"), F.when(F.col("label") == 0, -1).otherwise(F.col("label")).alias("topic_id"))
-    return TP.offset_batch_topics(e.where(F.col("topic_id") <= F.col("batch") + 5))
+    return TP.offset_batch_topics(e)
 
 
 @query("t15_sentence_identity", "SELECT conv_id, turn, sha256('2000-01-03|c' || conv_id || '|' || turn || '|' || text) AS sentence_key FROM conversations")

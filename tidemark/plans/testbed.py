@@ -274,7 +274,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     )
     return d.select(
         F.when(F.col("doc_id") % 12 == 5, F.lit(None)).otherwise(F.concat(F.lit("d"), F.col("doc_id"))).alias("id"),
-        F.substring("text", 1, 80).alias("headline"),
+        F.substring_index("text", "\n", 1).alias("headline"),
         F.lit(None).cast("string").alias("summary"),
         F.col("text").alias("content"),
         F.when(F.col("doc_id") % 9 == 4, F.lit(None)).otherwise(F.col("source")).alias("source"),
@@ -285,7 +285,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 view("v_articles", f"""
-SELECT doc_id, CASE WHEN doc_id % 12 = 5 THEN NULL ELSE 'd' || doc_id END AS id, substring(text, 1, 80) AS headline,
+SELECT doc_id, CASE WHEN doc_id % 12 = 5 THEN NULL ELSE 'd' || doc_id END AS id, split_part(text, chr(10), 1) AS headline,
        text AS content, CASE WHEN doc_id % 9 = 4 THEN NULL ELSE source END AS source,
        'https://example.com/' || doc_id AS url, TIMESTAMP '2000-01-03 00:00:00' + to_hours(CAST(doc_id AS INTEGER)) AS published_at,
        'S' || (doc_id % {N_NEWS_TICKERS}) AS sym_a, 'S' || ((doc_id * 7) % {N_NEWS_TICKERS}) AS sym_b
