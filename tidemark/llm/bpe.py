@@ -12,11 +12,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-PIECES = 1_000_000  # pre-tokens that are encoded at once
-CACHED = 400_000  # pre-tokens a worker remembers
+PIECES = 300_000  # pre-tokens that are encoded at once
+CACHED = 300_000  # pre-tokens a worker remembers, the recent ones
 _LONG = 4_000_000  # characters of a text above which its pre-tokens are drawn in slices
 
 
@@ -94,6 +94,7 @@ class Tokenizer:
         order = np.argsort(keys)
         self._keys, self._merged = np.array(keys, np.int64)[order], np.array(merged, np.int64)[order]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self._base + right
@@ -171,13 +172,17 @@ class Tokenizer:
             self.cache.update(zip(other, self.merge([p.encode() for p in other])))
 
     def learn_all(self, lists) -> None:
-        """Put all pre-tokens of some lists into the cache, which starts anew when it would grow beyond CACHED."""
+        """Put all pre-tokens of some lists into the cache.
+
+        When it holds half of CACHED it becomes the older half, from which what is met again moves over.
+        """
         wanted = set().union(*lists)
         new = wanted - self.cache.keys()
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = wanted
-        self.learn(new)
+        if len(self.cache) + len(new) > CACHED // 2:
+            self.older, self.cache, new = self.cache, {}, wanted
+        again = new & self.older.keys()
+        self.cache.update((p, self.older[p]) for p in again)
+        self.learn(new - again)
 
     def encode_each(self, pieces: list[str]) -> list[bytes]:
         """Ids of every pre-token of a list."""
@@ -264,9 +269,10 @@ def encode_decode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     No shuffle: every text is encoded where it is read, whole. Null texts count as empty and give no ids; null ids and
     repeated rows are kept; columns outside `keep` are ignored, whatever their names. Special tokens are ordinary text.
     """
+    small_batches(docs.sparkSession)
     placed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    out = placed.mapInArrow(_mapper(vocabulary), ", ".join([*kinds, "token_ids binary", "decoded binary"]))
+    out = placed.mapInArrow(tidy(_mapper(vocabulary)), ", ".join([*kinds, "token_ids binary", "decoded binary"]))
     return out.toDF(*keep, "token_ids", "decoded")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +25,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in Arrow batches of 16 MB, unless the session says otherwise: long texts don't pile up."""
+    if spark.conf.get(_BATCH) in ("64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(_BATCH, "16m")
+
+
+def tidy(mapper: Callable) -> Callable:
+    """The mapper, giving memory back to the machine at its end: workers are kept for other tasks."""
+
+    def run(batches):
+        yield from mapper(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 class Memo(dict):
     """A dict that computes missing values and forgets everything when it holds `bound` entries."""
 
-    def __init__(self, fn: Callable, bound: int = 300_000):
+    def __init__(self, fn: Callable, bound: int = 200_000):
         super().__init__()
         self.fn, self.bound = fn, bound
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, Memo, table, word_hash
+from tidemark.llm.common import WORD, Memo, small_batches, table, tidy, word_hash
 from tidemark.session import cut
 
 #: Masks of five words; a zero ignores the word at that place. Together they hit every passage of 12 words or more of
@@ -16,7 +16,7 @@ MASKS = ("11111", "111011", "101111", "110111")
 WINDOW = 13  # words that must agree; the whole item or document where it is shorter
 SHARE = 0.8
 SHORTEST = 5  # items and documents of fewer words hold no seed: they match only as a whole, word by word
-_TOKENS = 1_000_000  # words hashed at once
+_TOKENS = 500_000  # words hashed at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _WHOLE = len(MASKS)  # mask number of the hash of a whole short text
@@ -99,7 +99,7 @@ def _scanner(shared, bits: int):
 
     def run(batches):
         table_ = np.frombuffer(shared.value, np.uint8)
-        memo = Memo(word_hash, 600_000)
+        memo = Memo(word_hash, 250_000)
 
         def passes(h: np.ndarray) -> np.ndarray:
             a = h & limit
@@ -169,6 +169,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     text, so that rows which repeat an id, or have none, are told apart. Null and empty texts overlap nothing; null
     items are skipped; repeated items and rows give the same spans once. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL").distinct()
     distinct_texts = items.groupBy("text").agg(F.min("item").alias("item"))
@@ -178,11 +179,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(_filter_words(hashes, bits))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     ids = texts.withColumn("id", F.col("id").cast("string"))
-    regions = cut(ids.mapInPandas(_scanner(shared, bits), "id string, key long, start long, n_words long, tokens array<long>, at array<long>, hash array<long>"), "regions")
+    regions = cut(ids.mapInPandas(tidy(_scanner(shared, bits)), "id string, key long, start long, n_words long, tokens array<long>, at array<long>, hash array<long>"), "regions")
     hits = regions.select("id", "key", "start", F.explode(F.arrays_zip("at", "hash")).alias("hit")).select("id", "key", "start", F.col("hit.at").alias("at"), F.col("hit.hash").alias("hash"))
     pairs = hits.join(hashes.select("item", "q", "hash"), "hash").select("id", "key", "start", "item", (F.col("at") - F.col("q")).alias("diagonal")).distinct()
     tokens = distinct_texts.mapInPandas(_token_arrays, f"item {item_type}, item_tokens array<long>")
-    r = regions.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), F.col("start").alias("r_start"), "n_words", "tokens").distinct()
+    r = regions.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), F.col("start").alias("r_start"), "n_words", "tokens")
     laid = (pairs.join(tokens, "item").join(r, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("key") == F.col("r_key")) & (F.col("start") == F.col("r_start")))
             .select("id", "key", "item", "diagonal", "start", "n_words", "tokens", "item_tokens"))
     found = laid.mapInPandas(_verify, f"id string, key long, item {item_type}, word_start long, word_end long").distinct()
@@ -201,7 +202,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFra
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that overlap no benchmark item, columns unchanged."""
-    bad = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("id").alias("__id"), F.col("key").alias("__key"))
+    # stored, so that its size is known before the documents would be dealt by it
+    bad = cut(contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("id").alias("__id"), F.col("key").alias("__key")), "contaminated")
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text_col]) == bad["__key"]), "left_anti")
 
 

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import pii
 from tidemark.llm.bpe import VOCABULARY, Tokenizer, tokenizer
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table, tidy
 
 #: Pre-tokens before an edit that are read again: a run of white space is cut by what follows it, and gives at most
 #: two pre-tokens and the space of the next.
 CONTEXT = 3
 AHEAD = 4  # slots read beyond an edit at first; doubled until the new cuts meet the old ones
-PIECES = 400_000  # pre-tokens whose trees are held at once
+PIECES = 200_000  # pre-tokens whose trees are held at once
 
 Edit = tuple[int, int, str]
 
@@ -213,9 +213,10 @@ def count_edited(docs: DataFrame, edits_of: Callable[[str], list[Edit]] = cleani
     an earlier one is left out. n_pieces_read tells how many pre-tokens were cut and encoded again. No shuffle. Null
     texts count as empty; null ids and repeated rows are kept; other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        _mapper(vocabulary, edits_of), "id string, n_edits long, n_tokens long, n_tokens_edited long, n_pieces long, n_pieces_read long")
+        tidy(_mapper(vocabulary, edits_of)), "id string, n_edits long, n_tokens long, n_tokens_edited long, n_pieces long, n_pieces_read long")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table, tidy
 from tidemark.llm.urls import host_of
 
 LEAST_PAGES = 3  # same-host pages that must share a token before it can belong to the template
@@ -38,7 +38,7 @@ _MARKS = frozenset(
 _HEADER = frozenset(("header", "masthead", "topbar"))
 _CONTENT_MARKS = frozenset("articlebody content maincontent article post entry story".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|[^<]+|<(?![A-Za-z/])", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
@@ -149,10 +149,11 @@ def parse(source: str | None) -> Page:
 
 @dataclass
 class EquivalenceClass:
-    """Tokens with one occurrence vector, in page order; `children` nest in its slots."""
+    """Tokens with one occurrence vector, in page order; `children` nest in its slots (slot i ends at token i)."""
 
     tokens: list[int]
     spots: list[float]
+    slot: int = 0
     children: list[EquivalenceClass] = field(default_factory=list)
 
 
@@ -172,18 +173,20 @@ def nest(tokens: list[tuple[int, int, float]]) -> list[EquivalenceClass]:
     classes.sort(key=lambda c: (-len(c.tokens), c.spots[0], c.tokens[0]))
     outer: list[EquivalenceClass] = []
 
-    def place(new: EquivalenceClass, level: list[EquivalenceClass]) -> None:
-        for old in level:
-            if new.spots[0] > old.spots[-1] or new.spots[-1] < old.spots[0]:
-                continue
-            slot = np.searchsorted(old.spots, [new.spots[0], new.spots[-1]])
-            if slot[0] == slot[1] and 0 < slot[0] < len(old.spots):
-                place(new, old.children)
-            return
-        level.append(new)
+    def place(new: EquivalenceClass) -> None:
+        level = outer
+        while True:
+            around = next((c for c in level if new.spots[0] <= c.spots[-1] and new.spots[-1] >= c.spots[0]), None)
+            if around is None:
+                level.append(new)
+                return
+            slot = np.searchsorted(around.spots, [new.spots[0], new.spots[-1]])
+            if slot[0] != slot[1] or not 0 < slot[0] < len(around.spots):
+                return
+            new.slot, level = int(slot[0]), around.children
 
     for c in classes:
-        place(c, outer)
+        place(c)
     return outer
 
 
@@ -194,14 +197,16 @@ def template_tokens(page: Page, outer: list[EquivalenceClass]) -> set[int]:
         first.setdefault(t, i)
     found: set[int] = set()
 
-    def walk(level: list[EquivalenceClass], low: int, high: int) -> None:
-        for c in level:
-            at = [first.get(t, -1) for t in c.tokens]
-            if all(low <= x <= high for x in at) and all(x < y for x, y in zip(at, at[1:])):
-                found.update(c.tokens)
-                walk(c.children, at[0], at[-1])
+    def holds(c: EquivalenceClass, low: int, high: int) -> list[int]:
+        at = [first.get(t, -1) for t in c.tokens]
+        return at if all(low <= x <= high for x in at) and all(x < y for x, y in zip(at, at[1:])) else []
 
-    walk(outer, 0, len(page.tokens))
+    todo = [(c, 0, len(page.tokens)) for c in outer]
+    while todo:
+        c, low, high = todo.pop()
+        if at := holds(c, low, high):
+            found.update(c.tokens)
+            todo += [(child, at[child.slot - 1], at[child.slot]) for child in c.children]
     return found
 
 
@@ -269,7 +274,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", sh
     """
     keyed = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(F.col(url_col), F.col(html_col)).alias("key"), F.col(html_col).alias("html"))
     counted = keyed.filter(F.col("html").isNotNull())
-    seen = counted.mapInPandas(_occurrences, "host string, token long, part long, spot long")
+    seen = counted.mapInPandas(tidy(_occurrences), "host string, token long, part long, spot long")
     tokens = seen.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.bit_xor("part").alias("vector"), F.avg("spot").alias("spot"))
     sizes = counted.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
     common = tokens.filter(F.col("pages") >= least).join(sizes, "host").filter(F.col("pages") >= F.col("size") * F.lit(share))
@@ -288,10 +293,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     The templates join on host without a hint: they are broadcast only while they are small, else both sides are dealt
     by host and AQE splits a hot one.
     """
+    small_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     joined = rows.join(templates(pages, url_col, html_col), "host", "left").select("id", "url", "host", "html", "template")
-    out = joined.mapInPandas(_extract, "id string, url string, text string")
+    out = joined.mapInPandas(tidy(_extract), "id string, url string, text string")
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -5,19 +5,22 @@ from __future__ import annotations
 import re
 from array import array
 from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 _AT = re.compile("@")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# a match can only begin where its run of digits begins, which keeps long runs linear
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -87,11 +90,12 @@ _INVISIBLE = re.compile("[​-‍⁠﻿­]")
 # Digit names and the spoken forms of @ and the dot.
 _NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NAME = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_NUMBER = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus[\s.-]+)?(?:{_NAME}|[0-9]+)(?:[\s.,-]{{1,3}}(?:{_NAME}|[0-9]+)(?![A-Za-z]))*(?:[\s.,-]{{1,3}}{_NAME}(?![A-Za-z]))")
+_UNIT = rf"(?:{_NAME}|[0-9]++)(?![A-Za-z])"
+_NUMBER = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus[\s.-]+)?{_UNIT}(?:[\s.,-]{{1,3}}{_UNIT})++")
 _NAME_TOKEN = re.compile(rf"(?i)plus|{_NAME}|[0-9]+|[\s.,-]+")
-_HAS_NAME = re.compile(rf"(?i)(?<![A-Za-z]){_NAME}[\s.,-]{{1,3}}(?:{_NAME}|[0-9])")
+_HAS_NAME = re.compile(rf"(?i)(?<![A-Za-z]){_NAME}[\s.,-]{{1,3}}(?:{_NAME}|[0-9])")  # cheap test before the runs are sought
 _DISGUISE = re.compile(
-    r"(?i)(?P<local>[A-Za-z0-9._%+-]+)(?P<at>\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s(?:at)\s)(?P<host>[A-Za-z0-9-]+)"
+    r"(?i)(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]++)(?P<at>\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s(?:at)\s)(?P<host>[A-Za-z0-9-]+)"
     r"(?P<rest>(?:(?:\s?[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]\s?|\sdot\s|\.)[A-Za-z0-9-]+)+)")
 _DOT = re.compile(r"(?i)\s?[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]\s?|\sdot\s|\.")
 _BRACKET = re.compile(r"(?i)[\[({<]\s?(?:at|@)\s?[\])}>]|\sdot\s")
@@ -133,7 +137,7 @@ def deobfuscate(text: str) -> Tape | None:
     if not text.isascii() and _FOLDED.search(text):
         tape.rewrite([(m.start(), m.end(), "" if _INVISIBLE.match(m.group()) else _FOLD[ord(m.group())]) for m in _FOLDED.finditer(text)])
     if _HAS_NAME.search(tape.text):
-        tape.rewrite([(m.start(), m.end(), _spoken(m)) for m in _NUMBER.finditer(tape.text)])
+        tape.rewrite([(m.start(), m.end(), _spoken(m)) for m in _NUMBER.finditer(tape.text) if any(c.isalpha() for c in m.group())])
     if _BRACKET.search(tape.text):
         edits = []
         for m in _DISGUISE.finditer(tape.text):
@@ -187,9 +191,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is read whole. Null texts count as empty; null ids and repeated rows are kept; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     ids = F.col(id_col).cast("string")  # as text, so that null ids of a batch stay exact
     out = docs.select(ids.alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        _find, "id string, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_added long")
+        tidy(_find), "id string, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_added long")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
@@ -211,11 +216,14 @@ def redact(text: str | None) -> str | None:
 
 
 def redacted_column(text_col: str):
-    from pyspark.sql.types import StringType
+    @tidy
+    def redacted(batches):
+        for texts in batches:
+            yield pd.Series([redact(t) for t in texts], dtype=object)
 
     @F.pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t) for t in texts], dtype=object)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return redacted(texts)
 
     return run(F.col(text_col))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table, tidy
 from tidemark.llm.components import connected_components
 from tidemark.session import cut
 
@@ -45,13 +46,15 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view("<i8")[0])
 
 
-@F.pandas_udf(LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+@tidy
+def _fingerprints(batches):
+    for texts in batches:
+        yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
 
-def fingerprint_column(text: Column | str) -> Column:
-    return _fingerprints(text)
+@F.pandas_udf(LongType())
+def fingerprint_column(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    return _fingerprints(texts)
 
 
 def _block_keys(fp: Column, blocks: int, max_bits: int) -> Column:
@@ -141,6 +144,7 @@ def close_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, max_bits: int, blocks: int) -> DataFrame:
     """(id, fp, root, component_id) of every row; root is the smallest fingerprint of the component."""
+    small_batches(docs.sparkSession)
     marked = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp")), "fingerprints")
     reps = cut(marked.groupBy("fp").agg(F.min("id").alias("low")), "classes")
     roots = connected_components(close_links(reps.select("fp"), max_bits, blocks))
@@ -168,8 +172,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     whatever their names.
     """
     groups = _groups(docs, id_col, text_col, max_bits, blocks)
-    kept = groups.filter("id = component_id").select(F.col("id").alias("__id")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["__id"], "left_semi").dropDuplicates([id_col])
+    kept = groups.filter("id = component_id").groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    # the ids are the small side, hashed; so the texts are dealt once and not sorted, but for those of repeated ids
+    joined = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["__id"])
+    named = joined.filter("__n = 1").select(*docs.columns).unionByName(joined.filter("__n > 1").select(*docs.columns).dropDuplicates([id_col]))
     bare = groups.filter("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("__fp")).select("__fp")
     loose = docs.filter(docs[id_col].isNull()).withColumn("__fp", fingerprint_column(F.col(text_col)))
     return named.unionByName(loose.join(bare, "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.llm.common import WORD, Memo, table
+from tidemark.llm.common import WORD, Memo, small_batches, table, tidy
 from tidemark.session import cut
 
 #: Order of the chain. Every label column is 0 or 1; later models see the probabilities of the earlier ones.
@@ -152,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Without labelled documents the model gives probability zero. The driver holds `sample` sparse rows of at most
     FEATURES places, and the weights.
     """
+    small_batches(docs.sparkSession)
     usable = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(c) for c in chain]).dropna()
     chosen = usable.groupBy("id").agg(*[F.max(c).alias(c) for c in chain]).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
@@ -175,12 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scores_column(model: Chain, text_col: str) -> Column:
     """Struct of the category probabilities of a text; null texts count as empty."""
 
+    @tidy
+    def scored(batches):
+        memo, zero = Memo(model.word_weights()), np.zeros(len(model.names))
+        for texts in batches:
+            logits = np.array([sum((v for w in _words(t) if (v := memo[w]) is not None), zero) for t in texts]).reshape(-1, len(zero))
+            yield pd.DataFrame(model.probabilities(logits), columns=list(model.names))
+
     @F.pandas_udf(StructType([StructField(n, DoubleType()) for n in model.names]))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        memo = Memo(model.word_weights(), 500_000)
-        zero = np.zeros(len(model.names))
-        logits = np.array([sum((v for w in _words(t) if (v := memo[w]) is not None), zero) for t in texts]).reshape(-1, len(zero))
-        return pd.DataFrame(model.probabilities(logits), columns=list(model.names))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return scored(texts)
 
     return run(F.col(text_col))
 
