@@ -144,3 +144,40 @@ def test_every_query_has_sql_or_is_known_not_to():
     from tidemark.registry import QUERIES
     rows_only = set(QUERIES) - set(entry.oracle_sql())
     assert rows_only == {"m2_walk_forward_scores", "m4_scores", "m5_saved_model", "r2_regimes", "t13_embeddings", "t14_topic_labels", "v7_sampled_keys"}
+
+
+def test_walk_forward_without_folds_gives_no_rows(spark):
+    from tidemark.operators import ranker as R
+    days = [DAY + dt.timedelta(days=i) for i in range(10)]
+    f = spark.createDataFrame([(d, "A", 1.0) for d in days], "date date, ticker string, x double")
+    y = spark.createDataFrame([(d, "A", 0.1) for d in days], "date date, ticker string, forward_return_5d double")
+    out = R.walk_forward_scores(f, y, f.select("date"), B.WalkForward(train_days=100, test_days=10))
+    assert out.count() == 0 and out.columns == ["date", "ticker", "regime", "return_score", "pos_prob", "rank_score", "confidence", "model_version"]
+
+
+def test_stored_tables_are_removed_by_their_owner(spark):
+    from tidemark.session import cut, path_exists, stored_tables
+    with stored_tables(spark):
+        stored = cut(spark.range(5))
+        path = stored.inputFiles()[0].rsplit("/", 1)[0]
+        assert stored.count() == 5 and path_exists(spark, path)
+    assert not path_exists(spark, path)
+
+
+def test_portfolio_fold_equals_a_walk(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(p, DAY, i, rnd.choice(["tech", "oil", None, ""]), 1000.0, round(rnd.uniform(-300, 300), 2), 0.0) for p in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "portfolio int, date date, proposal_id int, sector string, equity double, target_dollars double, adv_dollars double").withColumn("change_dollars", F.col("target_dollars"))
+    lim = K.RiskLimits(max_position_pct=0.9, min_position_dollars=0.0, max_gross_exposure=0.8, max_sector_pct=0.3)
+    got = {(r.portfolio, r.proposal_id): r.rules for r in K.apply_rules(df, lim).collect()}
+    want = {}
+    for p in range(3):
+        gross, held = 0.0, {}
+        for _, _, i, s, eq, t, _ in sorted((r for r in rows if r[0] == p), key=lambda r: (-abs(r[5]), r[2])):
+            hit = ["max_gross_exposure"] if (gross + abs(t)) / eq > 0.8 else []
+            hit += ["max_sector_pct"] if s and (held.get(s, 0.0) + abs(t)) / eq > 0.3 else []
+            if not hit:
+                gross, held = gross + abs(t), {**held, s: held.get(s, 0.0) + abs(t)}
+            want[p, i] = hit
+    assert got == want

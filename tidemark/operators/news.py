@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.functions.maths import first_per_key
 from tidemark.operators.contracts import canonical_ticker
 
 # Entity aliases in match order.
@@ -195,12 +196,13 @@ def relevance_gate(rows: DataFrame, topics: DataFrame | None = None, embeddings:
     evident = set(EVIDENCE) <= set(rows.columns)
     df = rows.withColumn("ticker", F.upper(F.trim("ticker")))
     if topics is not None:
-        t = topics.select("date", F.upper("ticker").alias("ticker"), "article_id", F.col("topic_id"), F.col("topic_probability"), F.lit(True).alias("_has_topic"))
+        t = topics.select("date", F.upper("ticker").alias("ticker"), "article_id", "topic_id", "topic_probability")
+        t = first_per_key(t, ["date", "ticker", "article_id"], [F.col("topic_id"), F.col("topic_probability")]).withColumn("_has_topic", F.lit(True))
         df = df.join(t, ["date", "ticker", "article_id"], "left")
     else:
         df = df.select("*", F.lit(None).cast("int").alias("topic_id"), F.lit(None).cast("double").alias("topic_probability"), F.lit(None).cast("boolean").alias("_has_topic"))
     if embeddings is not None:
-        e = embeddings.select("date", "article_id", F.col("embedding_cache_key"), F.lit(True).alias("has_embedding"))
+        e = first_per_key(embeddings.select("date", "article_id", "embedding_cache_key"), ["date", "article_id"], [F.col("embedding_cache_key")]).withColumn("has_embedding", F.lit(True))
         df = df.join(e, ["date", "article_id"], "left").withColumn("has_embedding", F.coalesce("has_embedding", F.lit(False)))
     else:
         df = df.select("*", F.lit(None).cast("string").alias("embedding_cache_key"), F.lit(False).alias("has_embedding"))
@@ -249,4 +251,6 @@ def relevance_gate(rows: DataFrame, topics: DataFrame | None = None, embeddings:
     keep = [c for c in rows.columns if c not in ("date", "ticker", "article_id", *EVIDENCE)]
     return df.select("date", "ticker", "article_id", *keep, decision.alias("relevance_decision"), "relevance_score", "ticker_relevance_score",
                      "financial_relevance_score", "topic_relevance_score", F.array_sort(F.array_distinct(reasons)).alias("reason_codes"),
+                     F.to_json(F.struct(F.col("provenance.chunk_tickers").alias("chunk_tickers"), F.col("provenance.article_tickers").alias("source_tickers"))).alias("ticker_evidence"),
+                     F.to_json(F.coalesce("provenance.entity_mentions", F.array().cast("array<string>"))).alias("entity_evidence"),
                      "topic_id", "topic_probability", "embedding_cache_key", "has_embedding")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.maths import by, safe_div
@@ -41,18 +41,25 @@ def latest_bar_asof(panel: DataFrame, bars: DataFrame, window: int = 20) -> Data
 
 
 def missing_streak(panel: DataFrame, bars: DataFrame, window: int = 20) -> DataFrame:
-    """Longest run of business days without a bar among the last `window`.
+    """Longest run of business days without a bar among the last `window` (63 at most).
 
-    Days are numbered by business-day index; a range frame holds at most `window`
-    present indexes, and the longest gap between neighbours is the answer.
+    Days are numbered by business-day index. The bars of a range frame are or-ed into one word, a bit per day, and
+    the longest run of zero bits is the answer: no array is built or sorted per row.
     """
-    left = panel.select("ticker", "date").distinct().select("ticker", business_day_index("date").alias("i"), F.lit(None).cast("int").alias("p"), "date")
-    have = bars.where(is_weekday("date")).select("ticker", business_day_index("date").alias("i"), business_day_index("date").alias("p"), F.lit(None).cast("date").alias("date"))
+    day = business_day_index("date")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64)).cast("int"))
+    left = panel.select("ticker", "date").distinct().select("ticker", day.alias("i"), F.lit(None).cast("long").alias("b"), "date")
+    have = bars.where(is_weekday("date")).select("ticker", day.alias("i"), F.lit(None).cast("date").alias("date")).withColumn("b", bit(F.col("i")))
     frame = Window.partitionBy("ticker").orderBy("i").rangeBetween(-(window - 1), 0)
-    df = left.unionByName(have).select("ticker", "date", "i", F.sort_array(F.collect_set("p").over(frame)).alias("seen")).where(F.col("date").isNotNull())
-    marks = F.concat(F.array(F.col("i") - window), F.col("seen"), F.array(F.col("i") + 1))
-    gaps = F.transform(F.sequence(F.lit(1), F.size("marks") - 1), lambda k: F.element_at("marks", k + 1) - F.element_at("marks", k) - 1)
-    return df.withColumn("marks", marks).select("ticker", "date", F.array_max(gaps).alias("missing_streak"))
+    df = left.unionByName(have).select("ticker", "date", "i", F.coalesce(F.bit_or("b").over(frame), F.lit(0).cast("long")).alias("seen")).where(F.col("date").isNotNull())
+    zero = F.lit(0)
+
+    def step(s: Column, k: Column) -> Column:
+        run = F.when(F.col("seen").bitwiseAND(bit(F.col("i") - k)) == 0, s["run"] + 1).otherwise(zero)
+        return F.struct(run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    longest = F.aggregate(F.sequence(F.lit(0), F.lit(window - 1)), F.struct(zero.alias("run"), zero.alias("best")), step, lambda s: s["best"])
+    return df.select("ticker", "date", longest.alias("missing_streak"))
 
 
 def quality_flags(universe: DataFrame, bars: DataFrame, limits: QualityLimits = QualityLimits(), shares: DataFrame | None = None) -> DataFrame:

@@ -49,6 +49,9 @@ class RankerParams:
     seed: int = 42
 
 
+SCORES = "date date, ticker string, regime string, return_score double, pos_prob double, rank_score double, confidence double, model_version string"
+
+
 @dataclass
 class Ranker:
     """M2-M5: gradient-boosted 5-day return with a logistic probability of a positive outcome."""
@@ -58,7 +61,8 @@ class Ranker:
     version: str = ""
     model: PipelineModel | None = None
 
-    def fit(self, matrix: DataFrame) -> "Ranker":
+    def fit(self, matrix: DataFrame, features: DataFrame | None = None) -> "Ranker":
+        """Fit on the matrix; the version names the dates of `features`, labelled or not (else those of the matrix)."""
         p = self.params
         matrix = cut(matrix, "matrix")  # tree building reads it once per level
         self.columns = [c for c in matrix.columns if c not in ("date", "ticker", "target")]
@@ -71,8 +75,8 @@ class Ranker:
         one = VectorAssembler(inputCols=["return_score"], outputCol="_r")
         logit = LogisticRegression(featuresCol="_r", labelCol="_up", probabilityCol="_p", predictionCol="_c", rawPredictionCol="_q").fit(one.transform(raw))
         self.model = PipelineModel([assemble, gbt, one, logit])
-        span = matrix.agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count(F.lit(1)).alias("n")).first()
-        self.version = model_version(p, self.columns, str(span["a"]), str(span["b"]), span["n"])
+        span = (matrix if features is None else features).agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+        self.version = model_version(p, self.columns, str(span["a"]), str(span["b"]), matrix.count())
         return self
 
     def score(self, features: DataFrame) -> DataFrame:
@@ -105,19 +109,20 @@ def model_version(params: RankerParams, columns: list[str], start: str, end: str
 
 
 def walk_forward_scores(features: DataFrame, labels: DataFrame, dates: DataFrame, cfg: WalkForward, make_ranker=Ranker, target: str = "forward_return_5d") -> DataFrame:
-    """Refit per fold on all earlier dates and score its test dates.
+    """Refit per fold on all earlier dates and score its test dates; no rows if no fold has enough.
 
     Only the fold list (a few rows) comes to the driver; fitting and scoring are
-    distributed.
+    distributed. Features and matrix are stored once, by date, so that each fold
+    reads its own dates.
     """
-    folds = fold_dates(dates, cfg)
+    features = cut(features, "features", by="date")
+    matrix = cut(training_matrix(features, labels, target), "matrix", by="date")
     counts = features.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
-    matrix = training_matrix(features, labels, target)
-    out = None
-    for span in fold_spans(folds, counts, cfg).orderBy("fold").collect():
-        ranker = make_ranker().fit(matrix.where(F.col("date").between(span["train_start"], span["train_end"])))
-        part = ranker.score(features.where(F.col("date").between(span["test_start"], span["test_end"])))
-        out = part if out is None else out.unionByName(part)
+    out = features.sparkSession.createDataFrame([], SCORES)
+    for span in fold_spans(fold_dates(dates, cfg), counts, cfg).orderBy("fold").collect():
+        train, test = (F.col("date").between(span[f"{s}_start"], span[f"{s}_end"]) for s in ("train", "test"))
+        ranker = make_ranker().fit(matrix.where(train), features.where(train))
+        out = out.unionByName(ranker.score(features.where(test)))
     return out
 
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.maths import safe_div
 
@@ -36,41 +33,34 @@ def order_rules(limits: RiskLimits = RiskLimits()) -> Column:
 def apply_rules(proposals: DataFrame, limits: RiskLimits = RiskLimits(), *, keys: list[str] | None = None, ident: str = "proposal_id") -> DataFrame:
     """K1-K3: one decision per proposal.
 
-    Pass 2 walks each portfolio's survivors from the largest down, because an
-    approval changes what fits next. Portfolios run in parallel; inside one the
-    rows stream through in sort order with two running totals, so memory stays
-    flat. A portfolio proposes a security at most once per decision, which bounds
-    its rows by the universe.
+    Pass 2 folds each portfolio's survivors of a date from the largest down, because
+    an approval changes what fits next. A portfolio proposes a security at most once
+    a date, so the universe bounds the array; portfolios and dates run in parallel.
     """
     keys = keys or ["portfolio", "date"]
     p = proposals.withColumn("rules", order_rules(limits))
     rejected = p.where(F.size("rules") > 0)
     alive = p.where(F.size("rules") == 0).drop("rules")
-    schema = T.StructType([*alive.schema.fields, T.StructField("rules", T.ArrayType(T.StringType()))])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, gross, sectors = None, 0.0, {}
-        for b in batches:
-            fired = []
-            for row in zip(*[b[k] for k in keys], b["target_dollars"].abs(), b["equity"], b["sector"]):
-                key, (size, equity, sector) = row[:-3], row[-3:]
-                if key != current:
-                    current, gross, sectors = key, 0.0, {}
-                named = sector is not None and sector == sector and sector != ""
-                hit = []
-                if (gross + size) / equity > limits.max_gross_exposure:
-                    hit.append("max_gross_exposure")
-                if named and (sectors.get(sector, 0.0) + size) / equity > limits.max_sector_pct:
-                    hit.append("max_sector_pct")
-                if not hit:
-                    gross += size
-                    if named:
-                        sectors[sector] = sectors.get(sector, 0.0) + size
-                fired.append(hit)
-            yield b.assign(rules=fired)
-
-    ordered = alive.repartition(*keys).sortWithinPartitions(*keys, F.abs("target_dollars").desc(), ident)
-    walked = ordered.mapInPandas(walk, schema)
+    row = F.struct(F.abs("target_dollars").alias("size"), F.col("equity"), F.when(F.col("sector") != "", F.col("sector")).alias("named"), F.struct(*alive.columns).alias("row"))
+    ordered = alive.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.abs("target_dollars")).alias("k"), F.col(ident).alias("i"), row.alias("x")))).alias("l"))
+
+    def step(state: Column, item: Column) -> Column:
+        x = item["x"]
+        held = F.coalesce(F.try_element_at(state["sectors"], F.coalesce(x["named"], F.lit(""))), F.lit(0.0))
+        gross = (state["gross"] + x["size"]) / x["equity"] > limits.max_gross_exposure
+        sector = x["named"].isNotNull() & ((held + x["size"]) / x["equity"] > limits.max_sector_pct)
+        fired = F.array_compact(F.array(F.when(gross, "max_gross_exposure"), F.when(sector, "max_sector_pct")))
+        fits = F.size(fired) == 0
+        name = F.coalesce(x["named"], F.lit(""))
+        others = F.map_filter(state["sectors"], lambda k, _: k != name)
+        return F.struct(
+            F.when(fits, state["gross"] + x["size"]).otherwise(state["gross"]).alias("gross"),
+            F.when(fits & x["named"].isNotNull(), F.map_concat(others, F.create_map(name, held + x["size"]))).otherwise(state["sectors"]).alias("sectors"),
+            F.concat(state["fired"], F.array(fired)).alias("fired"))
+
+    empty = F.struct(F.lit(0.0).alias("gross"), F.create_map().cast("map<string,double>").alias("sectors"), F.array().cast("array<array<string>>").alias("fired"))
+    walked = ordered.select(F.explode(F.arrays_zip(F.col("l"), F.aggregate("l", empty, step, lambda s: s["fired"]).alias("fired"))).alias("z"))
+    walked = walked.select("z.l.x.row.*", F.col("z.fired").alias("rules"))
     return with_action(walked.unionByName(rejected))
 
 

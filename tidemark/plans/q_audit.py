@@ -128,7 +128,7 @@ def v2(spark, sf):
     return c.groupBy("feature", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
-view("v_quality", """
+view("v_feature_quality", """
 SELECT family, sum(observations)::BIGINT AS observations, sum(nulls)::BIGINT AS nulls, sum(finite_numeric)::BIGINT AS finite_numeric, sum(required_observations)::BIGINT AS required_observations, sum(required_nulls)::BIGINT AS required_nulls, sum(failures)::BIGINT AS failures FROM (
  SELECT coalesce(owner, 'uncataloged') AS family, count(*) AS observations, count(*) FILTER (number IS NULL AND feature <> 'sector') AS nulls, count(number) AS finite_numeric, count(*) FILTER (feature IN ('returns_1d', 'atr_14', 'rsi_14')) AS required_observations,
   count(*) FILTER (feature IN ('returns_1d', 'atr_14', 'rsi_14') AND number IS NULL) AS required_nulls, count(*) FILTER (feature IN ('returns_1d', 'atr_14', 'rsi_14') AND message IS NOT NULL) AS failures FROM v_checked GROUP BY 1
@@ -136,7 +136,7 @@ SELECT family, sum(observations)::BIGINT AS observations, sum(nulls)::BIGINT AS
  UNION ALL SELECT 'macro', 0, 0, 0, count(*), count(*), 0 FROM v_checked WHERE feature = 'atr_14') GROUP BY 1""")
 
 
-@query("a16_feature_quality", "SELECT * FROM v_quality")
+@query("a16_feature_quality", "SELECT * FROM v_feature_quality")
 def a16(spark, sf):
     c, rules, f = _checked(spark, sf)
     return CO.feature_quality(c, rules, f)
@@ -148,7 +148,7 @@ SELECT *, has_raw_price_data AND has_min_feature_rows AND has_no_missing_date_fi
   WHEN NOT (has_raw_price_data AND has_no_missing_date_first_shards AND catalog_validation_ok) THEN 'do_not_proceed' ELSE 'needs_human_review' END AS recommendation
 FROM (SELECT (SELECT count(*) FROM v_bars) > 0 AS has_raw_price_data, (SELECT count(*) FROM v_market_guarded) >= 1 AS has_min_feature_rows,
  (SELECT count(*) FROM (SELECT ticker, date FROM v_bars EXCEPT SELECT ticker, date FROM v_market_guarded)) = 0 AS has_no_missing_date_first_shards,
- (SELECT sum(required_nulls) / sum(required_observations) FROM v_quality) <= 0.35::DOUBLE AS required_feature_null_rate_ok, (SELECT sum(failures) FROM v_quality) = 0 AS catalog_validation_ok,
+ (SELECT sum(required_nulls) / sum(required_observations) FROM v_feature_quality) <= 0.35::DOUBLE AS required_feature_null_rate_ok, (SELECT sum(failures) FROM v_feature_quality) = 0 AS catalog_validation_ok,
  (SELECT arg_max(label_pairs, score) FROM v_sweep) >= 3 AS has_min_label_pairs, (SELECT max(score) FROM v_sweep) >= 0.1::DOUBLE AS best_candidate_correlation_ok)""")
 def a18(spark, sf):
     c, rules, f = _checked(spark, sf)

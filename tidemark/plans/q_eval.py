@@ -157,24 +157,24 @@ def k1(spark, sf):
     return T.proposals(spark, sf).select("proposal_id", F.array_join(K.order_rules(LIMITS), ";").alias("rules"))
 
 
-view("v_alive", "SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY abs(target_dollars) DESC, proposal_id) AS n, abs(target_dollars) AS size, CAST(substring(sector, 1, 1) AS INTEGER) AS si FROM v_k1 WHERE rules = ''")
+view("v_alive", "SELECT *, row_number() OVER (PARTITION BY portfolio, date ORDER BY abs(target_dollars) DESC, proposal_id) AS n, abs(target_dollars) AS size, CAST(substring(sector, 1, 1) AS INTEGER) AS si FROM v_k1 WHERE rules = ''")
 view("v_walk", """
-SELECT portfolio, 0::BIGINT AS n, 0::BIGINT AS proposal_id, 0.0::DOUBLE AS gross, [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS sec, false AS g, false AS s FROM (SELECT DISTINCT portfolio FROM v_alive)
+SELECT portfolio, date, 0::BIGINT AS n, 0::BIGINT AS proposal_id, 0.0::DOUBLE AS gross, [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS sec, false AS g, false AS s FROM (SELECT DISTINCT portfolio, date FROM v_alive)
 UNION ALL
-SELECT portfolio, n, proposal_id, CASE WHEN NOT hg AND NOT hs THEN gross + size ELSE gross END, CASE WHEN NOT hg AND NOT hs THEN list_transform(sec, lambda x, i: CASE WHEN i = si THEN x + size ELSE x END) ELSE sec END, hg, hs
-FROM (SELECT a.portfolio, a.n, a.proposal_id, a.size, a.si, w.gross, w.sec, (w.gross + a.size) / a.equity > 0.45::DOUBLE AS hg, (w.sec[a.si] + a.size) / a.equity > 0.2::DOUBLE AS hs FROM v_walk w JOIN v_alive a ON a.portfolio = w.portfolio AND a.n = w.n + 1)""")
+SELECT portfolio, date, n, proposal_id, CASE WHEN NOT hg AND NOT hs THEN gross + size ELSE gross END, CASE WHEN NOT hg AND NOT hs THEN list_transform(sec, lambda x, i: CASE WHEN i = si THEN x + size ELSE x END) ELSE sec END, hg, hs
+FROM (SELECT a.portfolio, a.date, a.n, a.proposal_id, a.size, a.si, w.gross, w.sec, (w.gross + a.size) / a.equity > 0.45::DOUBLE AS hg, (w.sec[a.si] + a.size) / a.equity > 0.2::DOUBLE AS hs FROM v_walk w JOIN v_alive a ON a.portfolio = w.portfolio AND a.date = w.date AND a.n = w.n + 1)""")
 view("v_decided", """
-SELECT proposal_id, change_dollars, rules FROM v_k1 WHERE rules <> '' UNION ALL SELECT w.proposal_id, a.change_dollars, concat_ws(';', CASE WHEN g THEN 'max_gross_exposure' END, CASE WHEN s THEN 'max_sector_pct' END) FROM v_walk w JOIN v_alive a USING (portfolio, n) WHERE w.n > 0""")
+SELECT proposal_id, change_dollars, rules FROM v_k1 WHERE rules <> '' UNION ALL SELECT w.proposal_id, a.change_dollars, concat_ws(';', CASE WHEN g THEN 'max_gross_exposure' END, CASE WHEN s THEN 'max_sector_pct' END) FROM v_walk w JOIN v_alive a USING (portfolio, date, n) WHERE w.n > 0""")
 
 
 @query("k2_portfolio_rules", "SELECT proposal_id, rules FROM v_decided")
 def k2(spark, sf):
-    return K.apply_rules(T.proposals(spark, sf), LIMITS, keys=["portfolio"]).select("proposal_id", F.array_join("rules", ";").alias("rules"))
+    return K.apply_rules(T.proposals(spark, sf), LIMITS).select("proposal_id", F.array_join("rules", ";").alias("rules"))
 
 
 @query("k3_order_actions", "SELECT proposal_id, rules = '' AS approved, CASE WHEN rules <> '' THEN 'REJECT' WHEN change_dollars > 0 THEN 'BUY' WHEN change_dollars < 0 THEN 'SELL' ELSE 'HOLD' END AS action, CASE WHEN rules <> '' THEN replace(rules, ';', '; ') END AS reason FROM v_decided")
 def k3(spark, sf):
-    return K.apply_rules(T.proposals(spark, sf), LIMITS, keys=["portfolio"]).select("proposal_id", "approved", "action", "reason")
+    return K.apply_rules(T.proposals(spark, sf), LIMITS).select("proposal_id", "approved", "action", "reason")
 
 
 @query("k4_gross_exposure", "SELECT portfolio, round(sum(abs(target_dollars)), 4) AS gross_dollars, max(equity) AS equity, max(equity) <= 0 OR coalesce(sum(abs(target_dollars)) / nullif(max(equity), 0) > 0.45::DOUBLE, false) AS exceeded FROM v_proposals GROUP BY 1")
@@ -210,7 +210,7 @@ SMALL = R.RankerParams(trees=5, depth=3)
 def _fitted(spark, sf):
     cut = F.lit("2000-01-01").cast("date")
     f = _features(spark, sf)
-    ranker = R.Ranker(SMALL).fit(R.training_matrix(f.where(F.col("date") < cut), _labels(spark, sf)))
+    ranker = R.Ranker(SMALL).fit(R.training_matrix(f.where(F.col("date") < cut), _labels(spark, sf)), f.where(F.col("date") < cut))
     return ranker, f.where(F.col("date") >= cut)
 
 

@@ -24,6 +24,8 @@ VIEWS: dict[str, str] = {}
 
 def view(name: str, body: str) -> None:
     """Name a SQL subquery that oracle statements may refer to."""
+    if name in VIEWS:
+        raise ValueError(f"duplicate view {name}")
     VIEWS[name] = body.strip()
 
 

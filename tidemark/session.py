@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,12 +47,41 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def cut(df: DataFrame, name: str = "cut", *, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back; `by` names a column whose ranges become files.
 
     Used where one result feeds several branches: the branches share the stored
-    rows, the plan stays small, and a lost executor costs a re-read.
+    rows, the plan stays small, and a lost executor costs a re-read. With `by` a
+    filter on the column skips files by their statistics. `stored_tables` removes
+    what was written inside it.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.repartitionByRange(by).sortWithinPartitions(by) if by else df).write.parquet(path)
+    for held in _OPEN:
+        held.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that `cut` stored inside the block when it ends: finish reading the results before.
+
+    The shared folder outlives the session, so a job that runs again and again should have an owner for them.
+    """
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

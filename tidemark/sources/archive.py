@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.maths import first_per_key, latest_per_key
-from tidemark.session import scratch  # noqa: F401
+from tidemark.session import cut, scratch  # noqa: F401
 
 BAR_SCHEMA = ("date date, ticker string, open double, high double, low double, close double, volume bigint, adj_close double, dollar_volume double")
 ARTICLE_SCHEMA = ("id string, headline string, summary string, content string, author string, source string, url string, created_at string, updated_at string, "
@@ -105,6 +105,7 @@ def write_features(df: DataFrame, path: str) -> None:
     The rebalance hint clusters rows by date and lets AQE split a heavy date over
     several writers and join light ones.
     """
+    df = cut(df, "features")
     if not duplicate_rows(df, ["date", "ticker"]).isEmpty():
         raise ValueError("duplicate (date, ticker) rows")
     (df.hint("rebalance", "date").write.mode("overwrite")

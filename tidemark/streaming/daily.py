@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.orderbook import spread_columns, valid_preopen
 from tidemark.operators.upsert import article_key, upsert
-from tidemark.session import cut
+from tidemark.session import cut, path_exists
 
 
 def upsert_bars(stream: DataFrame, store: str, checkpoint: str, *, grain: str = "day") -> StreamingQuery:
@@ -23,12 +23,11 @@ def upsert_bars(stream: DataFrame, store: str, checkpoint: str, *, grain: str =
         spark = batch.sparkSession
         part = F.col("date") if grain == "day" else F.trunc("date", grain)
         new = batch.withColumn("date", F.col("date").cast("date")).withColumn("part", part)
-        days = new.select("part").distinct()
-        try:
-            old = spark.read.schema(new.schema).parquet(store).join(days, "part", "left_semi")
-        except Exception as exc:  # noqa: BLE001 - first batch: nothing stored yet
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
+        if path_exists(spark, store):
+            # the parts of a batch, which the calendar bounds, as a list: the scan then reads their folders only
+            parts = [r["part"] for r in new.select("part").distinct().collect()]
+            old = spark.read.schema(new.schema).parquet(store).where(F.col("part").isin(parts))
+        else:
             old = new.limit(0)
         merged = cut(upsert(old.select(*new.columns), new, ["ticker", "date"], [F.col("arrival")]).select(*new.columns), "merge")
         (merged.hint("rebalance", "part").write.mode("overwrite")
