@@ -7,7 +7,9 @@ key's window is bounded by the calendar whatever the raw row count was.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -59,6 +61,44 @@ def asof_join(
     )
 
 
+@dataclass(frozen=True)
+class Look:
+    """One right side of `asof_many`: columns (name, output) of its nearest row before or after each left row.
+
+    strict_before / strict_after exclude a row at the same time; of the rows of one key and time the largest `tie` counts.
+    """
+
+    right: DataFrame
+    time: str
+    before: dict[str, str] = field(default_factory=dict)
+    after: dict[str, str] = field(default_factory=dict)
+    strict_before: bool = False
+    strict_after: bool = False
+    tie: tuple[str, ...] = ()
+
+
+def asof_many(left: DataFrame, looks: list[Look], *, on: list[str], left_time: str) -> DataFrame:
+    """Several as-of joins in one pass: all sides meet in one union that is dealt once, by `on`.
+
+    Backward looks share one running window, forward looks another. `left` must hold one row per (on, left_time).
+    """
+    both = left.select(*on, F.col(left_time).alias("_t"), F.lit(1).alias("_s"), F.lit(1).alias("_f"), F.struct(*left.columns).alias("_l"))
+    for i, k in enumerate(looks):
+        names = list(dict.fromkeys([*k.before, *k.after]))
+        reduced = k.right.where(F.col(k.time).isNotNull()).groupBy(*on, k.time).agg(F.max_by(F.struct(*names), F.struct(*(k.tie or names))).alias("_p"))
+        other = reduced.select(*on, F.col(k.time).alias("_t"), F.lit(2 if k.strict_before else 0).alias("_s"), F.lit(2 if k.strict_after else 0).alias("_f"), F.col("_p").alias(f"_p{i}"))
+        both = both.unionByName(other, allowMissingColumns=True)
+
+    def running(*order: Column) -> WindowSpec:
+        return Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+    back, ahead = running(F.col("_t").asc(), F.col("_s").asc()), running(F.col("_t").desc(), F.col("_f").asc())
+    seen = [F.last(f"_p{i}", ignorenulls=True).over(back).alias(f"_b{i}") for i, k in enumerate(looks) if k.before]
+    seen += [F.last(f"_p{i}", ignorenulls=True).over(ahead).alias(f"_a{i}") for i, k in enumerate(looks) if k.after]
+    out = [F.col(f"_b{i}.{c}").alias(n) for i, k in enumerate(looks) for c, n in k.before.items()] + [F.col(f"_a{i}.{c}").alias(n) for i, k in enumerate(looks) for c, n in k.after.items()]
+    return both.select("_l", *seen).where(F.col("_l").isNotNull()).select("_l.*", *out)
+
+
 _EPOCH = "0001-01-01"
 _LEVELS = 22  # 2**22 days hold every date of the type, 0001-01-01 to 9999-12-31
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.maths import finite, safe_div
-from tidemark.operators.asof import asof_join
+from tidemark.operators.asof import Look, asof_join, asof_many
 
 # Accepted names per field, tried in this order.
 FIELD_NAMES = {
@@ -70,27 +70,25 @@ def fiscal_periods(filings: DataFrame) -> DataFrame:
     """A4: one row per fiscal period with the latest availability and the merged values.
 
     Later rows win per value name; the union is built from (period, name) pairs,
-    so no map is concatenated and the merge combines map-side.
+    so no map is concatenated and the merge combines map-side. A nameless pair per
+    filing carries periods that have no values.
     """
     rows = filings.where(F.col("availability_date").isNotNull())
-    spans = rows.groupBy(*PERIOD).agg(F.max("availability_date").alias("availability_date"))
-    entries = rows.select(*PERIOD, F.struct("availability_date", "seq").alias("_o"), F.explode(raw_map()).alias("name", "text"))
-    latest = entries.groupBy(*PERIOD, "name").agg(F.max_by("text", "_o").alias("text"))
-    merged = latest.groupBy(*PERIOD).agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("financials"))
-    same = [spans[c].eqNullSafe(merged[c]) for c in PERIOD]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return spans.join(merged, cond, "left").select(*[spans[c] for c in PERIOD], "availability_date", "financials")
+    nameless = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+    pairs = F.coalesce(F.concat(F.map_entries(raw_map()), nameless), nameless)
+    entries = rows.select(*PERIOD, "availability_date", F.struct("availability_date", "seq").alias("_o"), F.explode(pairs).alias("e"))
+    latest = entries.groupBy(*PERIOD, F.col("e.key").alias("name")).agg(F.max_by("e.value", "_o").alias("text"), F.max("availability_date").alias("_a"))
+    named = F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "text")))
+    merged = latest.groupBy(*PERIOD).agg(F.max("_a").alias("availability_date"), named.alias("_n"))
+    return merged.select(*PERIOD, "availability_date", F.when(F.size("_n") > 0, F.map_from_entries("_n")).alias("financials"))
 
 
 def period_ratios(periods: DataFrame) -> DataFrame:
     """Everything of a period that does not depend on the day's price, with its prior year."""
     p = periods.select(*PERIOD, "availability_date", *[number("financials", names).alias(f) for f, names in FIELD_NAMES.items()])
-    prior = p.where(F.col("fiscal_year").isNotNull()).groupBy("ticker", (F.col("fiscal_year") + 1).alias("_fy"), F.col("fiscal_period").alias("_fp")).agg(
-        F.min_by(F.struct("revenue"), F.struct("availability_date", "report_date")).alias("_prior")).withColumnRenamed("ticker", "_tk")
-    p = p.join(prior, (F.col("ticker") == F.col("_tk")) & (F.col("fiscal_year") == F.col("_fy")) & F.col("fiscal_period").eqNullSafe(F.col("_fp")), "left")
-    p = p.withColumn("prior_revenue", F.col("_prior.revenue")).drop("_tk", "_fy", "_fp", "_prior")
+    year = Window.partitionBy("ticker", "fiscal_period").orderBy("fiscal_year").rangeBetween(-1, -1)
+    prior = F.min_by("revenue", F.struct("availability_date", "report_date")).over(year)
+    p = p.withColumn("prior_revenue", F.when(F.col("fiscal_year").isNotNull(), prior))
     p = p.withColumn("total_equity", F.coalesce("total_equity", F.col("total_assets") - F.col("total_liabilities")))
     p = p.withColumn("book_value_ps", F.coalesce(F.when(F.col("book_value_ps") != 0, F.col("book_value_ps")), safe_div("total_equity", "shares")))
     growth = F.when(F.col("prior_revenue") != 0, safe_div(F.col("revenue") - F.col("prior_revenue"), F.abs("prior_revenue")))
@@ -116,27 +114,34 @@ def latest_period_asof(panel: DataFrame, periods: DataFrame, take: list[str], *,
 
 def earnings_calendar(panel: DataFrame, filings: DataFrame) -> DataFrame:
     """Next earnings date on or after the day, last one before it, and the flags."""
-    ed = filings.where(F.col("earnings_date").isNotNull()).select("ticker", "earnings_date").distinct()
-    nxt = ed.select("ticker", "earnings_date", F.col("earnings_date").alias("next_earnings"))
-    prv = ed.select("ticker", "earnings_date", F.col("earnings_date").alias("last_earnings"))
-    df = asof_join(panel, nxt, on=["ticker"], left_time="date", right_time="earnings_date", take=["next_earnings"], forward=True)
-    df = asof_join(df, prv, on=["ticker"], left_time="date", right_time="earnings_date", take=["last_earnings"], strict=True)
+    return _earnings_flags(asof_many(panel, [_earnings(filings)], on=["ticker"], left_time="date"), panel.columns)
+
+
+def _earnings(filings: DataFrame) -> Look:
+    return Look(filings.select("ticker", "earnings_date", F.col("earnings_date").alias("day")), "earnings_date", before={"day": "last_earnings"}, after={"day": "next_earnings"}, strict_before=True)
+
+
+def _earnings_flags(df: DataFrame, keep: list[str]) -> DataFrame:
     days = F.datediff("next_earnings", "date")
     since = F.datediff("date", "last_earnings")
     return df.select(
-        *panel.columns, days.alias("days_to_next_earnings"),
+        *keep, days.alias("days_to_next_earnings"),
         (days <= PRE_EARNINGS_DAYS).cast("int").alias("pre_earnings_flag"),
         (since <= POST_EARNINGS_DAYS).cast("int").alias("post_earnings_flag"),
     )
 
 
 def fundamental_features(filings: DataFrame, bars: DataFrame) -> DataFrame:
-    """14 fundamentals features per (ticker, date), from filings available before the day."""
+    """14 fundamentals features per (ticker, date), from filings available before the day.
+
+    Periods and earnings days meet the panel in one union, so the panel moves once.
+    """
     panel = bars.select("ticker", "date", "adj_close")
     ratios = period_ratios(fiscal_periods(filings))
     take = [c for c in ratios.columns if c not in (*PERIOD, "availability_date", "revenue", "prior_revenue")]
-    df = latest_period_asof(panel, ratios, take)
-    df = earnings_calendar(df, filings)
+    periods = Look(ratios, "availability_date", before={c: c for c in take}, strict_before=True, tie=("report_date", "fiscal_year", "fiscal_period"))
+    df = asof_many(panel, [periods, _earnings(filings)], on=["ticker"], left_time="date")
+    df = _earnings_flags(df, [*panel.columns, *take])
     return df.select(
         "date", "ticker",
         safe_div("adj_close", "eps").alias("pe_ratio"),
