@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import small_batches, table, tidy
 from tidemark.llm.urls import host_of
+from tidemark.session import cut
 
 LEAST_PAGES = 3  # same-host pages that must share a token before it can belong to the template
 SHARE = 0.5  # and their share of the host's pages: a host has at most 1 / SHARE times the tokens of a mean page
@@ -290,13 +291,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     role, class and id. Null html gives an empty text; null ids and repeated rows are kept; pages without host (null
     url) share the host "". Other columns are ignored, whatever their names.
 
-    The templates join on host without a hint: they are broadcast only while they are small, else both sides are dealt
-    by host and AQE splits a hot one.
+    The templates are stored and join on host without a hint: while their files are below Spark's threshold they are
+    broadcast and no page moves, else both sides are dealt by host and AQE splits a hot one.
     """
     small_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    joined = rows.join(templates(pages, url_col, html_col), "host", "left").select("id", "url", "host", "html", "template")
+    joined = rows.join(cut(templates(pages, url_col, html_col), "templates"), "host", "left").select("id", "url", "host", "html", "template")
     out = joined.mapInPandas(tidy(_extract), "id string, url string, text string")
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
 
