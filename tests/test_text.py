@@ -80,3 +80,11 @@ def test_every_article_of_a_busy_ticker_day_is_listed(spark):
         F.lit("Reuters").alias("source"), F.lit("2024-01-10 15:00:00").cast("timestamp").alias("published_at"), *[F.lit(v).alias(c) for c, v in (("positive", 0.9), ("negative", 0.1), ("neutral", 0.0), ("score", 0.8), ("relevance_score", 1.0))])
     rows = SE.prepare(base, None)
     assert SE.contributing_articles(rows).count() == 10_500 and SE.ticker_day_features(rows).first().nlp_article_count == 10_500
+
+
+def test_rows_without_an_article_id_are_counted_not_gathered(spark):
+    from tidemark.operators import review as RV
+    day = dt.date(2024, 1, 10)
+    rows = spark.createDataFrame([(day, "a", 0, "x"), (day, "a", 1, "y"), (day, "b", 0, None), (day, None, 0, "p"), (day, None, 1, "q")], "date date, article_id string, sentence_index int, text string")
+    got = {r.article_id: (r.rows, r.rows_without_text, r.article_text) for r in RV.text_gaps(rows).collect()}
+    assert got == {"a": (2, 0, "x y"), "b": (1, 1, None), None: (2, 0, None)}

@@ -51,11 +51,12 @@ def flag_frequency(articles: DataFrame) -> DataFrame:
 def text_gaps(rows: DataFrame) -> DataFrame:
     """Rows without text per article, and the full text only where no row lacks it.
 
-    Repeated (sentence, text) rows collapse before the text is gathered.
+    Repeated (sentence, text) rows collapse before the text is gathered. Rows without an
+    article id are no article: they are counted per date, their text is not gathered.
     """
     text = optional_text(F.col("text"))
     counts = rows.groupBy(*ARTICLE).agg(F.count(F.lit(1)).alias("rows"), F.count_if(text.isNull()).alias("rows_without_text"))
-    pieces = rows.where(text.isNotNull()).select(*ARTICLE, "sentence_index", text.alias("text")).distinct()
+    pieces = rows.where(text.isNotNull() & F.col("article_id").isNotNull()).select(*ARTICLE, "sentence_index", text.alias("text")).distinct()
     full = pieces.groupBy(*ARTICLE).agg(F.sort_array(F.collect_list(F.struct("sentence_index", "text"))).alias("l"))
     on = counts["date"].eqNullSafe(full["date"]) & counts["article_id"].eqNullSafe(full["article_id"])
     j = counts.join(full, on, "left").select(counts["date"], counts["article_id"], "rows", "rows_without_text", "l")
