@@ -143,7 +143,7 @@ def test_every_query_has_sql_or_is_known_not_to():
     import __spark_entry__ as entry
     from tidemark.registry import QUERIES
     rows_only = set(QUERIES) - set(entry.oracle_sql())
-    assert rows_only == {"m2_walk_forward_scores", "m4_scores", "m5_saved_model", "r2_regimes", "t13_embeddings", "t14_topic_labels", "v7_sampled_keys"}
+    assert rows_only == {"b11_model_backtest", "m2_walk_forward_scores", "m4_scores", "m5_saved_model", "r2_regimes", "t13_embeddings", "t14_topic_labels", "v7_sampled_keys"}
 
 
 def test_walk_forward_without_folds_gives_no_rows(spark):
@@ -181,3 +181,20 @@ def test_portfolio_fold_equals_a_walk(spark):
                 gross, held = gross + abs(t), {**held, s: held.get(s, 0.0) + abs(t)}
             want[p, i] = hit
     assert got == want
+
+
+def test_model_through_backtest(spark):
+    from tidemark.operators import ranker as R
+    rng = np.random.default_rng(5)
+    days = [DAY + dt.timedelta(days=i) for i in range(60)]
+    rows = [(d, f"T{k}", float(x), float(0.5 * x + rng.normal(0, 0.01))) for d in days for k, x in enumerate(rng.normal(0, 0.1, 12))]
+    f = spark.createDataFrame([r[:3] for r in rows], "date date, ticker string, x double")
+    y = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "date date, ticker string, forward_return_5d double")
+    cfg = B.WalkForward(train_days=30, test_days=15, min_train_samples=100, top_n=3)
+    scores, folds, whole = R.model_backtest(f, y, f.select("date"), cfg, lambda: R.Ranker(R.RankerParams(trees=3, depth=2)))
+    assert scores.count() == 30 * 12 and scores.where("pos_prob < 0 OR pos_prob > 1 OR rank_score < 0 OR rank_score > 1").count() == 0
+    assert scores.groupBy("date").agg(F.count_distinct("rank_score").alias("n")).where("n < 12").count() == 0
+    assert scores.select("model_version").distinct().count() == 2
+    per = {r.fold: r for r in folds.collect()}
+    assert sorted(per) == [0, 1] and all(r.hit_rate > 0.8 and r.n_test_dates == 15 and r.train_end < r.test_start for r in per.values())
+    assert whole.first().n_dates == 30 and whole.first().annual_return > 0

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.maths import finite, is_finite, safe_div
 from tidemark.functions.text import optional_text
-from tidemark.operators.backtest import WalkForward, fold_dates, fold_spans, rank_scores
+from tidemark.operators.backtest import WalkForward, fold_dates, fold_spans, fold_summary, overall_summary, picks_with_returns, rank_scores
 from tidemark.operators.labels import return_class
 from tidemark.session import cut
 
@@ -126,6 +126,18 @@ def walk_forward_scores(features: DataFrame, labels: DataFrame, dates: DataFrame
     return out
 
 
+def model_backtest(features: DataFrame, labels: DataFrame, dates: DataFrame, cfg: WalkForward, make_ranker=Ranker, label: str = "forward_return_5d") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole run: fit and score per fold, pick the best, measure. Gives scores, metrics per fold and over all folds.
+
+    Scores are stored once; every metric reads them or the stored picks.
+    """
+    scores = cut(walk_forward_scores(features, labels, dates, cfg, make_ranker, label), "scores")
+    counts = features.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+    spans = fold_spans(fold_dates(dates, cfg), counts, cfg)
+    picks = picks_with_returns(scores, labels, dates, cfg, label=label, scored_rows=features)
+    return scores, fold_summary(picks, spans), overall_summary(picks, cfg)
+
+
 # ---- labelled text -------------------------------------------------------------
 
 

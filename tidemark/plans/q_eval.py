@@ -235,6 +235,14 @@ def m2(spark, sf):
     return R.walk_forward_scores(_features(spark, sf), _labels(spark, sf), _dates(spark, sf), cfg, lambda: R.Ranker(SMALL))
 
 
+@query("b11_model_backtest")
+def b11(spark, sf):
+    """Model to metrics in one run: refit per fold, score, pick, measure."""
+    cfg = B.WalkForward(train_days=1500, test_days=500, min_train_samples=50, top_n=5)
+    _, folds, _ = R.model_backtest(_features(spark, sf), _labels(spark, sf), _dates(spark, sf), cfg, lambda: R.Ranker(SMALL))
+    return folds
+
+
 def _news_rows(spark, sf):
     d = T.table(spark, sf, "documents")
     return d.select(F.date_add(F.lit("1995-06-01").cast("date"), (F.col("doc_id") * 5 % 2300).cast("int")).alias("date"), F.concat(F.lit("S"), F.col("doc_id") % 100).alias("ticker"),
