@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import small_batches, table, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-PIECES = 300_000  # pre-tokens that are encoded at once
-CACHED = 300_000  # pre-tokens a worker remembers, the recent ones
+PIECES = 200_000  # pre-tokens that are encoded at once
+CACHED = 200_000  # pre-tokens a worker remembers, the recent ones
 _LONG = 4_000_000  # characters of a text above which its pre-tokens are drawn in slices
 
 
@@ -255,7 +255,7 @@ def _mapper(vocabulary: str):
                 ids_out.append(ids)
                 decoded.append(tok.decode(ids))
                 size += len(ids)
-                if size > 1 << 24 or i + 1 == batch.num_rows:
+                if size > 1 << 22 or i + 1 == batch.num_rows:
                     columns = [*(c.slice(start, len(ids_out)) for c in kept), pa.array(ids_out, pa.binary()), pa.array(decoded, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "token_ids", "decoded"])
                     start, ids_out, decoded, size = i + 1, [], [], 0

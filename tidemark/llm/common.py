@@ -29,9 +29,9 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in Arrow batches of 16 MB, unless the session says otherwise: long texts don't pile up."""
+    """Hand texts to Python in Arrow batches of 4 MB, unless the session says otherwise: long texts don't pile up."""
     if spark.conf.get(_BATCH) in ("64m", "64MB", "67108864", "67108864b"):
-        spark.conf.set(_BATCH, "16m")
+        spark.conf.set(_BATCH, "4m")
 
 
 def tidy(mapper: Callable) -> Callable:
