@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
@@ -134,7 +134,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_
     Candidates are dealt into stripes and queries into blocks by a hash of the id; every (stripe, block) pair is one
     group of at most about stripe + query_tile rows, so memory is bounded and the work is spread evenly however alike
     the vectors are. int8 products with an error bound rule out what cannot be among a query's k; the rest is computed
-    in double on the original vectors. The result is exact. Ties go to the smaller id.
+    in double on the original vectors. The result is exact. Ties go to the smaller id. Of many equal vectors only those
+    of the smallest ids are candidates: the others can't be among any query's k nearest.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without id.
     Of rows that repeat an id the smallest vector counts. Vectors of different length are compared with their like
@@ -151,7 +152,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     hashed = F.xxhash64("vec_id")
-    held = rows.select("vec_id", "vector", "size", F.lit(False).alias("query"), F.pmod(hashed, F.lit(stripes)).cast("int").alias("stripe"), numbers(blocks).alias("block"))
+    # equal vectors tie for every query, so only the k + 1 smallest ids of one vector can be among the k nearest
+    equal = Window.partitionBy("vector").orderBy("vec_id")
+    first = rows.withColumn("n", F.row_number().over(equal)).filter(F.col("n") <= k + 1)
+    held = first.select("vec_id", "vector", "size", F.lit(False).alias("query"), F.pmod(hashed, F.lit(stripes)).cast("int").alias("stripe"), numbers(blocks).alias("block"))
     asked = rows.filter("query").select("vec_id", "vector", "size", "query", numbers(stripes).alias("stripe"), F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"))
     found = held.unionByName(asked).groupBy("size", "stripe", "block").applyInPandas(_search(k, stripe // 4), "query_id long, vec_id long, score double")
     dealt = found.repartition("query_id").sortWithinPartitions("query_id")
