@@ -23,7 +23,7 @@ FOLDS = 3
 LEAST = 5  # documents of the sample that must hold a feature
 LEAST_G2 = 15.0  # log-likelihood ratio below which a feature is noise
 THRESHOLD = 0.5
-RIDGE = 1.0
+RIDGE = 0.1
 
 
 def features_of(word: str) -> list[str]:
