@@ -143,7 +143,7 @@ def test_every_query_has_sql_or_is_known_not_to():
     import __spark_entry__ as entry
     from tidemark.registry import QUERIES
     rows_only = set(QUERIES) - set(entry.oracle_sql())
-    assert rows_only == {"b11_model_backtest", "m2_walk_forward_scores", "m4_scores", "m5_saved_model", "r2_regimes", "t13_embeddings", "t14_topic_labels", "v7_sampled_keys"}
+    assert rows_only == {"b11_model_backtest", "m2_walk_forward_scores", "m4_scores", "m5_saved_model", "r2_regimes", "t13_embeddings", "t14_topic_labels"}
 
 
 def test_walk_forward_without_folds_gives_no_rows(spark):

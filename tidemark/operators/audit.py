@@ -161,9 +161,10 @@ def without_bar(expected: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def deterministic_sample(keys: DataFrame, k: int, seed: int = 7) -> DataFrame:
-    """V7: the k keys with the smallest seeded hash; a top-k, so no full sort."""
+    """V7: the k keys with the smallest SHA-256 of seed and key text, the same in any engine; a top-k, so no full sort."""
     cols = keys.columns
-    return keys.select(*cols, F.xxhash64(F.lit(seed), *cols).alias("_h")).orderBy("_h", *cols).limit(k).drop("_h")
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]), 256)
+    return keys.select(*cols, digest.alias("_h")).orderBy("_h", *cols).limit(k).drop("_h")
 
 
 def membership_events(changes: DataFrame, members: DataFrame) -> DataFrame:

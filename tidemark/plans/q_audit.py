@@ -199,7 +199,7 @@ def v6(spark, sf):
     return V.without_bar(quality_panel(spark, sf).where(C.eligible()), T.bars(spark, sf))
 
 
-@query("v7_sampled_keys")
+@query("v7_sampled_keys", "SELECT date, ticker FROM v_bars ORDER BY sha256('7|' || CAST(date AS VARCHAR) || '|' || ticker), date, ticker LIMIT 25")
 def v7(spark, sf):
     """A report of 25 hash-chosen keys."""
     return V.deterministic_sample(T.bars(spark, sf).select("date", "ticker"), 25)
