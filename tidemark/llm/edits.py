@@ -38,7 +38,7 @@ class CountTree:
         np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)), out=self.starts[1:])
         self.width = 1 << max(0, (len(pieces) - 1).bit_length())
         self.chars = self._tree(np.diff(self.starts))
-        self.tokens = self._tree(np.fromiter((len(b) // 4 for b in tok.encode_each(pieces)), np.int64, len(pieces)))
+        self.tokens = self._tree(np.fromiter(map(len, tok.encode_each(pieces)), np.int64, len(pieces)) // 4)
         self.parts: dict[int, list[str]] = {}  # pre-tokens of the slots that were touched
         self.open: set[int] = set()
         self.read = 0
@@ -161,13 +161,16 @@ def _edited(jobs: list[tuple[str, list[str], list[Edit]]], tok: Tokenizer) -> li
     tok.learn_all(p for _, p, _ in jobs)
     rows, changed = [], []
     for i, (text, pieces, edits) in enumerate(jobs):
+        if not edits:  # a tree serves edits only
+            count = sum(map(len, tok.encode_each(pieces))) // 4
+            rows.append((0, count, count, len(pieces), 0))
+            continue
         tree = CountTree(text, pieces, tok)
         before = tree.count
         for a, b, new in reversed(edits):  # from the end, so that positions stay true
             tree.edit(a, b, new)
         rows.append((len(edits), before, before, len(pieces), tree.read))
-        if edits:
-            changed.append((i, tree))
+        changed.append((i, tree))
     tok.learn_all(t.open_pieces() for _, t in changed)
     for i, tree in changed:
         tree.settle()
@@ -182,7 +185,8 @@ def _mapper(vocabulary: str, edits_of: Callable[[str], list[Edit]]):
             rows, jobs, size = [], [], 0
             for text in pdf["text"]:
                 text = text or ""
-                pieces = [p for part in tok.slices(text) for p in part]
+                parts = list(tok.slices(text))
+                pieces = parts[0] if len(parts) == 1 else [p for part in parts for p in part]
                 jobs.append((text, pieces, in_order(edits_of(text), len(text))))
                 size += len(pieces)
                 if size >= PIECES:
@@ -202,7 +206,9 @@ _BLANKS = re.compile(r"[ \t]{2,}")
 def cleaning_edits(text: str) -> list[Edit]:
     """Personal data becomes its kind in brackets, a run of blanks one space."""
     found = [(a, b, f"[{pii.KINDS[k].upper()}]") for a, k, b in pii.all_spans(text)[1]]
-    return found + [(m.start(), m.end(), " ") for m in _BLANKS.finditer(text)]
+    if "  " in text or "\t" in text:
+        found += [(m.start(), m.end(), " ") for m in _BLANKS.finditer(text)]
+    return found
 
 
 def count_edited(docs: DataFrame, edits_of: Callable[[str], list[Edit]] = cleaning_edits, id_col: str = "doc_id", text_col: str = "text",

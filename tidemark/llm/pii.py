@@ -93,11 +93,12 @@ _NAME = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _UNIT = rf"(?:{_NAME}|[0-9]++)(?![A-Za-z])"
 _NUMBER = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus[\s.-]+)?{_UNIT}(?:[\s.,-]{{1,3}}{_UNIT})++")
 _NAME_TOKEN = re.compile(rf"(?i)plus|{_NAME}|[0-9]+|[\s.,-]+")
-_HAS_NAME = re.compile(rf"(?i)(?<![A-Za-z]){_NAME}[\s.,-]{{1,3}}(?:{_NAME}|[0-9])")  # cheap test before the runs are sought
+_NAMES_ALONE = frozenset(_NAMES)
 _DISGUISE = re.compile(
     r"(?i)(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]++)(?P<at>\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s(?:at)\s)(?P<host>[A-Za-z0-9-]+)"
     r"(?P<rest>(?:(?:\s?[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]\s?|\sdot\s|\.)[A-Za-z0-9-]+)+)")
 _DOT = re.compile(r"(?i)\s?[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]\s?|\sdot\s|\.")
+_FAR = re.compile("[^\x00-\u024f]")  # every folded character but two lies beyond
 _BRACKET = re.compile(r"(?i)[\[({<]\s?(?:at|@)\s?[\])}>]|\sdot\s")
 
 
@@ -134,11 +135,12 @@ def _spoken(m: re.Match) -> str:
 def deobfuscate(text: str) -> Tape | None:
     """The text after the three transducers, or None if none of them changes it."""
     tape = Tape(text)
-    if not text.isascii() and _FOLDED.search(text):
+    if not text.isascii() and ("\xb7" in text or "\xad" in text or _FAR.search(text)):
         tape.rewrite([(m.start(), m.end(), "" if _INVISIBLE.match(m.group()) else _FOLD[ord(m.group())]) for m in _FOLDED.finditer(text)])
-    if _HAS_NAME.search(tape.text):
+    low = tape.text.lower()
+    if not _NAMES_ALONE.isdisjoint(low.replace(".", " ").replace(",", " ").replace("-", " ").split()):
         tape.rewrite([(m.start(), m.end(), _spoken(m)) for m in _NUMBER.finditer(tape.text) if any(c.isalpha() for c in m.group())])
-    if _BRACKET.search(tape.text):
+    if ("dot" in low or any(b in low for b in "[({<")) and _BRACKET.search(tape.text):
         edits = []
         for m in _DISGUISE.finditer(tape.text):
             a, b = m.span("at")
