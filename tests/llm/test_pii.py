@@ -54,6 +54,38 @@ def test_disguises_map_back_to_the_source():
     assert added("１９２.１６８.0.1") == [("ip", "１９２.１６８.0.1")]
 
 
+def test_disguised_dots_and_digit_names_at_any_boundary():
+    for text in ("john at example [dot] com", "john at example(dot)com", "john at example (punkt) de", "john@example[dot]com", "john@example dot com", "j@mail.example (dot) org"):
+        tape = pii.deobfuscate(text)
+        assert ("email", text) in [(pii.KINDS[k], text[slice(*tape.source(a, b))]) for a, k, b in pii.base_spans(tape.text)]
+    assert added("x john@example[dot]com y") == [("email", "john@example[dot]com")]
+    assert added("(plus 1 415 555 01 nine)") == [("phone", "plus 1 415 555 01 nine")]
+    assert added("call plus 1 415 555 0199") == [("phone", "plus 1 415 555 0199")]
+    assert added("(four 111 1111 1111 1111)") == [("card", "four 111 1111 1111 1111")]
+    assert added("a@b.c dotted, c@d.e [1]") == []
+
+
+def test_pre_tests_agree_with_their_patterns():
+    rnd = random.Random(7)
+    parts = ["one", "Six", "ſeven", "nıne", "oh", "plus", "PLUS", "at", "dot", "Punkt", "point", "john", "ex", "com", "1", "555", *"[](){}<>@.,-  \n_/'", "é", "ſ", "İ", "\u212a"]
+    numbers = disguises = 0
+    for _ in range(60_000):
+        text = "".join(rnd.choices(parts, k=rnd.randint(1, 14)))
+        if rnd.random() < 0.3:
+            dots = [".", " dot ", "[dot]", "(.)", " {Punkt} ", "<poınt>", " . "]
+            text += rnd.choice(" (") + "jo" + rnd.choice([" at ", "@", "[at]", " ( @ ) ", "at"]) + "ex" + rnd.choice(dots) + "co" + rnd.choice(dots) + rnd.choice(["uk", ""])
+        low = pii._lower(text)
+        if any(any(c.isalpha() for c in m.group()) for m in pii._NUMBER.finditer(text)):
+            numbers += 1
+            assert pii.may_number(low), text
+        for m in pii._DISGUISE.finditer(text):
+            if m.group("at").strip().lower() != "at" or any(d.group() != "." for d in pii._DOT.finditer(m.group("rest"))):
+                disguises += 1
+                assert pii.may_disguise(text, low), text
+    assert numbers > 500 and disguises > 50
+    assert pii.deobfuscate("ſix nıne").text == "69"
+
+
 def test_prose_and_base_are_left_alone():
     for text in ("look at example.com today", "one or two of them", "meet me at noon dot", "plain text", "a@b.c and +1 (555) 123-4567"):
         assert added(text) == []

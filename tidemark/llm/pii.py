@@ -93,13 +93,16 @@ _NAME = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _UNIT = rf"(?:{_NAME}|[0-9]++)(?![A-Za-z])"
 _NUMBER = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus[\s.-]+)?{_UNIT}(?:[\s.,-]{{1,3}}{_UNIT})++")
 _NAME_TOKEN = re.compile(rf"(?i)plus|{_NAME}|[0-9]+|[\s.,-]+")
-_NAMES_ALONE = frozenset(_NAMES)
+_PLUS = re.compile(r"plus[\s.-]++[0-9]")
+# a plain @ counts only with a disguised dot behind it
 _DISGUISE = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]++)(?P<at>\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s(?:at)\s)(?P<host>[A-Za-z0-9-]+)"
+    r"(?i)(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]++)(?P<at>\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s(?:at)\s|"
+    r"@(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?:\s?[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]\s?|\sdot\s)[A-Za-z0-9-]))(?P<host>[A-Za-z0-9-]+)"
     r"(?P<rest>(?:(?:\s?[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]\s?|\sdot\s|\.)[A-Za-z0-9-]+)+)")
 _DOT = re.compile(r"(?i)\s?[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]\s?|\sdot\s|\.")
 _FAR = re.compile("[^\x00-\u024f]")  # every folded character but two lies beyond
-_BRACKET = re.compile(r"(?i)[\[({<]\s?(?:at|@)\s?[\])}>]|\sdot\s")
+_BRACKET = re.compile(r"(?i)[\[({<]\s?(?:at|@|dot|\.|punkt|punto|point)\s?[\])}>]|\sdot\s")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 
 
 class Tape:
@@ -127,9 +130,31 @@ class Tape:
         return (a, b) if self.start is None else (self.start[a], self.end[b - 1])
 
 
+def _lower(text: str) -> str:
+    """Lower case, with the other letters that patterns without case take for i and s."""
+    return text.lower() if text.isascii() else text.replace("İ", "i").lower().replace("ı", "i").replace("ſ", "s")
+
+
 def _spoken(m: re.Match) -> str:
     """Digits of a run of digit names; separators go, a leading "plus" stays as +."""
-    return "".join(_NAMES.get(t.lower(), "+" if t.lower() == "plus" else t if t.isdigit() else "") for t in _NAME_TOKEN.findall(m.group()))
+    return "".join(_NAMES.get(t, "+" if t == "plus" else t if t.isdigit() else "") for t in map(_lower, _NAME_TOKEN.findall(m.group())))
+
+
+def may_number(low: str) -> bool:
+    """Whether a digit name stands in the lower-case text between other than letters, or "plus" before a digit: all that _NUMBER needs."""
+    for name in _NAMES:
+        at = low.find(name)
+        while at >= 0:
+            end = at + len(name)
+            if (not at or low[at - 1] not in _LETTERS) and (end == len(low) or low[end] not in _LETTERS):
+                return True
+            at = low.find(name, end)
+    return "plus" in low and _PLUS.search(low) is not None
+
+
+def may_disguise(text: str, low: str) -> bool:
+    """Whether a bracketed at or a bracketed or spoken dot stands in the text: what every disguise that counts holds."""
+    return ("dot" in low or any(b in low for b in "[({<")) and _BRACKET.search(text) is not None
 
 
 def deobfuscate(text: str) -> Tape | None:
@@ -137,10 +162,10 @@ def deobfuscate(text: str) -> Tape | None:
     tape = Tape(text)
     if not text.isascii() and ("\xb7" in text or "\xad" in text or _FAR.search(text)):
         tape.rewrite([(m.start(), m.end(), "" if _INVISIBLE.match(m.group()) else _FOLD[ord(m.group())]) for m in _FOLDED.finditer(text)])
-    low = tape.text.lower()
-    if not _NAMES_ALONE.isdisjoint(low.replace(".", " ").replace(",", " ").replace("-", " ").split()):
+    low = _lower(tape.text)
+    if may_number(low):
         tape.rewrite([(m.start(), m.end(), _spoken(m)) for m in _NUMBER.finditer(tape.text) if any(c.isalpha() for c in m.group())])
-    if ("dot" in low or any(b in low for b in "[({<")) and _BRACKET.search(tape.text):
+    if may_disguise(tape.text, low):
         edits = []
         for m in _DISGUISE.finditer(tape.text):
             a, b = m.span("at")
