@@ -86,6 +86,15 @@ def test_pre_tests_agree_with_their_patterns():
     assert pii.deobfuscate("ſix nıne").text == "69"
 
 
+def test_wider_added_spans_stay_beside_base_spans():
+    assert pii.all_spans("jоhn@example.com") == ([(2, 0, 16)], [(0, 0, 16), (2, 0, 16)])  # a Cyrillic o
+    assert added("see jоhn@exаmple.com") == [("email", "jоhn@exаmple.com")]
+    assert pii.redact("see jоhn@example.com, jоe@exаmple.com") == "see [EMAIL], [EMAIL]"
+    assert added("john@mail.example dot com") == [("email", "john@mail.example dot com")] and pii.redact("john@mail.example dot com") == "[EMAIL]"
+    assert added("a@b.c é and x@y.z sаid") == []  # the base spans themselves are not added again
+    assert pii.merged([(0, 0, 4), (2, 1, 3), (3, 2, 9), (9, 3, 12)]) == [(0, 0, 9), (9, 3, 12)]
+
+
 def test_prose_and_base_are_left_alone():
     for text in ("look at example.com today", "one or two of them", "meet me at noon dot", "plain text", "a@b.c and +1 (555) 123-4567"):
         assert added(text) == []

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -180,22 +179,34 @@ def deobfuscate(text: str) -> Tape | None:
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and base plus those that only the deobfuscated text shows, in source positions.
 
-    An added span must not overlap a base span.
+    An added span is dropped only if base spans cover it; one that reaches beyond them stays beside them.
     """
     base = base_spans(text)
     tape = deobfuscate(text)
     if tape is None:
         return base, base
-    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    covered = merged(base)
+    starts = [a for a, _, _ in covered]
     added = []
     for a, kind, b in base_spans(tape.text):
         s, e = tape.source(a, b)
-        before = bisect_left(starts, e)
-        if not before or reach[before - 1] <= s:
+        at = bisect_right(starts, s) - 1
+        if at < 0 or covered[at][2] < e:
             added.append((s, kind, e))
     return base, sorted([*base, *added])
 
 
+def merged(spans: list[Span]) -> list[Span]:
+    """Spans in order, those that overlap as one of the first one's kind."""
+    out: list[Span] = []
+    for a, k, b in spans:
+        if out and a < out[-1][2]:
+            out[-1] = (out[-1][0], out[-1][1], max(out[-1][2], b))
+        else:
+            out.append((a, k, b))
+    return out
+
+
 def _written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -229,14 +240,8 @@ def redact(text: str | None) -> str | None:
     """The text with every span replaced by its kind in brackets; overlapping spans become one."""
     if not text:
         return text
-    merged: list[list] = []
-    for a, k, b in all_spans(text)[1]:
-        if merged and a < merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b, k])
     out, low = [], 0
-    for a, b, k in merged:
+    for a, k, b in merged(all_spans(text)[1]):
         out += text[low:a], f"[{KINDS[k].upper()}]"
         low = b
     return "".join([*out, text[low:]])
