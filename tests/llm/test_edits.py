@@ -42,6 +42,16 @@ def test_order_of_edits():
     assert E.in_order([(5, 9, "x"), (0, 3, "y"), (2, 4, "z"), (20, 30, "w"), (-5, 0, "v")], 8) == [(0, 0, "v"), (0, 3, "y"), (5, 8, "x")]
 
 
+def test_overlapping_personal_data_is_one_edit():
+    from tidemark.llm import pii
+    for text in ("at 10.0.0.1@host.com  now", "john@mail.example dot com", "jоhn@example.com"):
+        now = text
+        for a, b, new in reversed(E.in_order(E.cleaning_edits(text), len(text))):
+            now = now[:a] + new + now[b:]
+        assert now == pii.redact(text).replace("  ", " ")
+    assert E.cleaning_edits("10.0.0.1@host.com") == [(0, 17, "[EMAIL]")]
+
+
 def test_rows_nulls_and_clashing_columns(spark):
     tok = tokenizer()
     rows = [(1, "mail a@b.c  now"), (1, "mail a@b.c  now"), (None, "x   y"), (2, None), (3, ""), (4, "plain text"), (5, "a@b.c " * 3000)]

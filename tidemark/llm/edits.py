@@ -204,8 +204,8 @@ _BLANKS = re.compile(r"[ \t]{2,}")
 
 
 def cleaning_edits(text: str) -> list[Edit]:
-    """Personal data becomes its kind in brackets, a run of blanks one space."""
-    found = [(a, b, f"[{pii.KINDS[k].upper()}]") for a, k, b in pii.all_spans(text)[1]]
+    """Personal data becomes its kind in brackets (overlapping spans as one, as in pii.redact), a run of blanks one space."""
+    found = [(a, b, f"[{pii.KINDS[k].upper()}]") for a, k, b in pii.merged(pii.all_spans(text)[1])]
     if "  " in text or "\t" in text:
         found += [(m.start(), m.end(), " ") for m in _BLANKS.finditer(text)]
     return found
