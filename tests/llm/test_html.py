@@ -46,6 +46,18 @@ def test_classes_nest_and_hold():
     assert H.template_tokens(H.Page(tokens=[2, 1, 3]), outer) == set()
 
 
+def test_names_in_an_article_count_as_a_whole(spark):
+    kept = ('<section id="related-work">a</section>', '<p class="share-price">a</p>', '<div class="social-history">a</div>', '<div class="comment-on-results">a</div>')
+    gone = ('<div class="related-posts">b</div>', '<div id="shareBar2">b</div>', '<p class="x ad">b</p>', '<div class="newsletter-signup">b</div>')
+    for k in kept:
+        assert text(f"<article><p>x</p>{k}</article>") == "x\n\na" and text(f"<p>x</p>{k}") == "x"
+    for g in gone:
+        assert text(f"<article><p>x</p>{g}</article>") == "x"
+    rows = [(i, f"http://h.example/{i}", f'<article><p>x{i}</p><div class="related-teasers">t{i}</div></article>') for i in range(6)]
+    rows += [(9, "http://one.example/", '<article><p>x9</p><div class="related-teasers">t9</div></article>')]
+    assert {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, PAGES)).collect()} == {**{i: f"x{i}" for i in range(6)}, 9: "x9\n\nt9"}
+
+
 def test_template_text_of_a_host_is_no_content(spark):
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choices("abcdefgh", k=6))

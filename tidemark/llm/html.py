@@ -36,6 +36,10 @@ _MARKS = frozenset(
     "navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification banner popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social comment comments disqus respond reply replies related recommended recommendations footer "
     "masthead toolbar pagination pager skip alert paywall widget".split())
+# words that may stand beside a mark in a name that is a known boilerplate name as a whole
+_BOXES = frozenset(
+    "after area article bar before block body bottom box btn button buttons container content entry form group header icon icons inline inner item items "
+    "label left link links list main outer page panel post posts articles stories right row section site slot thread title tools top unit wp wrap wrapper".split())
 _HEADER = frozenset(("header", "masthead", "topbar"))
 _CONTENT_MARKS = frozenset("articlebody content maincontent article post entry story".split())
 
@@ -55,6 +59,7 @@ class Node:
     position: int
     dropped: bool  # inside an element that never holds the article
     inside: frozenset  # which of article, main, content it stands in
+    doubtful: frozenset = frozenset()  # elements around it, in an article, of whose names only a part tells of boilerplate
 
 
 @dataclass
@@ -71,6 +76,15 @@ def _marks(at: dict[str, str]) -> set[str]:
     return {p.lower() for p in _PART.split(f"{at.get('class', '')} {at.get('id', '')}") if p}
 
 
+def _known(at: dict[str, str]) -> bool:
+    """Whether a class or the id is a boilerplate name as a whole: marks, numbers and words for boxes."""
+    for name in f"{at.get('class', '')} {at.get('id', '')}".split():
+        parts = {p.rstrip("0123456789") for p in _marks({"class": name})} - {""}
+        if parts & _MARKS and parts <= _MARKS | _BOXES:
+            return True
+    return False
+
+
 def _drops(tag: str, at: dict[str, str], inside: frozenset) -> bool:
     if tag in _DROPPED:
         return True
@@ -84,15 +98,16 @@ def _drops(tag: str, at: dict[str, str], inside: frozenset) -> bool:
     style = at.get("style", "").replace(" ", "").lower()
     if "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
         return True
-    marks = _marks(at)
-    return at.get("role", "").lower() in _ROLES or bool(marks & _MARKS) or (not in_article and bool(marks & _HEADER))
+    if at.get("role", "").lower() in _ROLES:
+        return True
+    return _known(at) if in_article else bool(_marks(at) & (_MARKS | _HEADER))
 
 
 def parse(source: str | None) -> Page:
     """Texts and tag tokens of a page. Unclosed, crossed and stray tags are met as browsers meet them."""
     page, block = Page(), 0
-    # open elements: name, path hash, dropped, inside
-    stack: list[tuple[str, int, bool, frozenset]] = [("", 0, False, frozenset())]
+    # open elements: name, path hash, dropped, inside, doubtful
+    stack: list[tuple[str, int, bool, frozenset, frozenset]] = [("", 0, False, frozenset(), frozenset())]
     text, digest = source or "", xxhash.xxh64_intdigest
     at, end = 0, len(text)
     while at < end:
@@ -104,12 +119,12 @@ def parse(source: str | None) -> Page:
         if tag is None:
             if text.startswith(("<!", "<?"), m.start()):
                 continue
-            _, path, dropped, inside = stack[-1]
+            _, path, dropped, inside, doubtful = stack[-1]
             words = _SPACE.sub(" ", unescape(m[0]))
             token = digest(words.strip().encode("utf-8", "surrogatepass"), path)
             if words != " ":
                 page.tokens.append(token)
-            page.nodes.append(Node(block, words, token, len(page.tokens), dropped, inside))
+            page.nodes.append(Node(block, words, token, len(page.tokens), dropped, inside, doubtful))
             continue
         tag = tag.lower()
         if m[1]:
@@ -129,19 +144,21 @@ def parse(source: str | None) -> Page:
                 break
         if tag in _BLOCK:
             block += 1
-        _, path, dropped, inside = stack[-1]
+        _, path, dropped, inside, doubtful = stack[-1]
         attributes = _attributes(m[3])
         key = digest(f"{tag} {attributes.get('class', '')} {attributes.get('id', '')}".encode("utf-8", "surrogatepass"), path)
         page.tokens.append(key)
         if tag == "br":
-            page.nodes.append(Node(block, " ", 0, len(page.tokens), dropped, inside))
+            page.nodes.append(Node(block, " ", 0, len(page.tokens), dropped, inside, doubtful))
         if tag in _VOID or m[3].rstrip().endswith("/"):
             continue
+        if attributes and inside & {"article", "main"} and tag not in ("article", "main") and _marks(attributes) & _MARKS:
+            doubtful = doubtful | {key}
         if tag in ("article", "main") or attributes.get("role") == "main":
             inside = inside | {"article" if tag == "article" else "main"}
         elif attributes and ("articleBody" in attributes.get("itemprop", "") or {"".join(_marks({"class": c})) for c in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()} & _CONTENT_MARKS):
             inside = inside | {"content"}
-        stack.append((tag, key, dropped or _drops(tag, attributes, stack[-1][3]), inside))
+        stack.append((tag, key, dropped or _drops(tag, attributes, stack[-1][3]), inside, doubtful))
         if tag in _RAW:
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
             at = stop.start() if stop else end
@@ -215,9 +232,10 @@ def main_text(page: Page, template: set[int]) -> str:
     """Blocks of the article, white space in one space, joined by an empty line.
 
     The slots of an article (a main element, a content element) are taken whole. A page without such an element gives
-    all slots outside dropped elements; there, text of the template itself is no content.
+    all slots outside dropped elements; there, text of the template itself is no content. An element in an article of whose
+    class or id only a part tells of boilerplate ("related-work") goes only if the template holds it.
     """
-    nodes = [n for n in page.nodes if not n.dropped]
+    nodes = [n for n in page.nodes if not n.dropped and n.doubtful.isdisjoint(template)]
     words = lambda some: any(n.text.strip() for n in some)
     inner = [n for n in nodes if {"article", "main"} <= n.inside]
     for chosen in (inner, [n for n in nodes if "article" in n.inside], [n for n in nodes if "main" in n.inside], [n for n in nodes if "content" in n.inside]):
