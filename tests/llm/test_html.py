@@ -76,6 +76,19 @@ def test_template_text_of_a_host_is_no_content(spark):
     assert H.extract(df).count() == len(rows) and H.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_template_text_in_an_article_is_no_content(spark):
+    words = lambda i, j: " ".join(f"w{i}x{j}n{k}" for k in range(12))
+    page = lambda i: f"<body><article><h1>T{i}</h1><p>{words(i, 0)}</p><p>Read more on our site</p><p>{words(i, 1)}</p><div>By the desk</div></article></body>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)]
+    rows += [(10 + i, f"http://h.example/copy/{i}", page(0)) for i in range(9)] + [(30, "http://alone.example/", page(30))]
+    rows += [(40 + i, f"http://near.example/{i}", page(40).replace("T40", f"T{i}")) for i in range(4)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(6):
+        assert got[i] == f"T{i}\n\n{words(i, 0)}\n\n{words(i, 1)}"
+    assert {got[10 + i] for i in range(9)} == {got[0]}
+    assert "Read more on our site" in got[30] and all(words(40, 0) in got[40 + i] for i in range(4))
+
+
 def test_copies_of_an_article_stay_whole(spark):
     body = "<article><h1>Same</h1><p>Every word of it</p></article><p>Every word of it</p>"
     rows = [(i, f"http://h.example/{i}", body) for i in range(8)]

@@ -17,8 +17,8 @@ from tidemark.llm.common import small_batches, table, tidy
 from tidemark.llm.urls import host_of
 from tidemark.session import cut
 
-LEAST_PAGES = 3  # same-host pages that must share a token before it can belong to the template
-SHARE = 0.5  # and their share of the host's pages: a host has at most 1 / SHARE times the tokens of a mean page
+LEAST_PAGES = 3  # same-host pages of different text that must share a token before it can belong to the template
+SHARE = 0.5  # and their share of the host's such pages: a host has at most 1 / SHARE times the tokens of a mean page
 
 # Element names of HTML by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -228,11 +228,16 @@ def template_tokens(page: Page, outer: list[EquivalenceClass]) -> set[int]:
     return found
 
 
+def _length(nodes: list[Node]) -> int:
+    return sum(len(n.text.strip()) for n in nodes)
+
+
 def main_text(page: Page, template: set[int]) -> str:
     """Blocks of the article, white space in one space, joined by an empty line.
 
-    The slots of an article (a main element, a content element) are taken whole. A page without such an element gives
-    all slots outside dropped elements; there, text of the template itself is no content. An element in an article of whose
+    Content is what stands in the slots of the article (a main element, a content element), or on a page without such an
+    element in all slots outside dropped elements; text of the template itself is none. An article of which the template
+    holds half the text or more is a near copy of others and stays whole. An element in an article of whose
     class or id only a part tells of boilerplate ("related-work") goes only if the template holds it.
     """
     nodes = [n for n in page.nodes if not n.dropped and n.doubtful.isdisjoint(template)]
@@ -240,6 +245,9 @@ def main_text(page: Page, template: set[int]) -> str:
     inner = [n for n in nodes if {"article", "main"} <= n.inside]
     for chosen in (inner, [n for n in nodes if "article" in n.inside], [n for n in nodes if "main" in n.inside], [n for n in nodes if "content" in n.inside]):
         if words(chosen):
+            own = [n for n in chosen if n.token not in template]
+            if 2 * _length(own) > _length(chosen):
+                chosen = own
             break
     else:
         chosen = [n for n in nodes if n.token not in template]
@@ -255,20 +263,23 @@ def main_text(page: Page, template: set[int]) -> str:
 
 
 def _occurrences(batches):
-    """Tokens of every page with a hash of (page, count), the page's part of the token's occurrence vector."""
+    """Tokens of every page, and token 0, with a hash of its text and one of (text, count), the page's part of the token's occurrence vector."""
     for pdf in batches:
-        hosts, tokens, parts, spots = [], [], [], []
-        for host, key, source in zip(pdf["host"], pdf["key"], pdf["html"]):
-            first: dict[int, int] = {}
+        hosts, tokens, articles, parts, spots = [], [], [], [], []
+        for host, source in zip(pdf["host"], pdf["html"]):
+            page = parse(source)
+            article = xxhash.xxh64_intdigest(main_text(page, set()).encode("utf-8", "surrogatepass"))
+            first: dict[int, int] = {0: 0}
             count: dict[int, int] = defaultdict(int)
-            for i, t in enumerate(parse(source).tokens):
+            for i, t in enumerate(page.tokens):
                 first.setdefault(t, i)
                 count[t] += 1
             hosts += [host] * len(first)
             tokens += first
-            parts += [xxhash.xxh64_intdigest(str(count[t]), int(key) & 0xFFFFFFFFFFFFFFFF) for t in first]
+            articles += [article] * len(first)
+            parts += [xxhash.xxh64_intdigest(str(count[t]), article) for t in first]
             spots += first.values()
-        yield pd.DataFrame({"host": hosts, "token": np.array(tokens, np.uint64).view(np.int64), "part": np.array(parts, np.uint64).view(np.int64), "spot": np.array(spots, np.int64)})
+        yield pd.DataFrame({"host": hosts, "token": np.array(tokens, np.uint64).view(np.int64), "article": np.array(articles, np.uint64).view(np.int64), "part": np.array(parts, np.uint64).view(np.int64), "spot": np.array(spots, np.int64)})
 
 
 def _extract(batches):
@@ -288,15 +299,16 @@ def _extract(batches):
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
     """(host, template): per host the tokens on at least `share` of its pages, with occurrence vector and mean position.
 
-    A token's occurrence vector over the host's pages is kept as the xor of a hash of page and count, so it is summed
-    map-side and a hot host is dealt by token. Copies of one page (equal url and html) count as one.
+    Pages of equal text count as one, so copies of an article are no template. A token's occurrence vector over the
+    host's pages is kept as the xor of a hash of text and count; a hot host is dealt by token and text.
     """
-    keyed = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(F.col(url_col), F.col(html_col)).alias("key"), F.col(html_col).alias("html"))
-    counted = keyed.filter(F.col("html").isNotNull())
-    seen = counted.mapInPandas(tidy(_occurrences), "host string, token long, part long, spot long")
-    tokens = seen.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.bit_xor("part").alias("vector"), F.avg("spot").alias("spot"))
-    sizes = counted.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    common = tokens.filter(F.col("pages") >= least).join(sizes, "host").filter(F.col("pages") >= F.col("size") * F.lit(share))
+    counted = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter(F.col("html").isNotNull())
+    seen = counted.mapInPandas(tidy(_occurrences), "host string, token long, article long, part long, spot long")
+    once = seen.groupBy("host", "token", "article").agg(F.min("part").alias("part"), F.min("spot").alias("spot"))
+    tokens = once.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.bit_xor("part").alias("vector"), F.avg("spot").alias("spot"))
+    kept = cut(tokens.filter(F.col("pages") >= least), "tokens")  # token 0 counts the host's pages
+    sizes = kept.filter(F.col("token") == 0).select("host", F.col("pages").alias("size"))
+    common = kept.filter(F.col("token") != 0).join(sizes, "host").filter(F.col("pages") >= F.col("size") * F.lit(share))
     return common.groupBy("host").agg(F.collect_list(F.struct("token", "vector", "spot")).alias("template"))
 
 
@@ -304,7 +316,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of `pages`: id, url, `text` (empty if none) and `n_chars`.
 
     Tags and texts are tokens under their element path. Tokens with equal occurrence vectors over the pages of a host
-    form a class; classes that hold together on a page and nest are the template, what stands in its slots is content.
+    form a class; classes that hold together on a page and nest are the template, what stands in its slots is content,
+    within an article too.
     Menus, page headers, footers, sidebars, notices, adverts, forms, scripts and reader comments are told by element,
     role, class and id. Null html gives an empty text; null ids and repeated rows are kept; pages without host (null
     url) share the host "". Other columns are ignored, whatever their names.
