@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from tidemark.llm import bpe, decontaminate, edits, html, licenses, neighbours, pii, simhash, toxicity, urls
+from tidemark.llm import bpe, chat, decontaminate, edits, html, infill, licenses, neighbours, pii, simhash, toxicity, trie, urls
 from tidemark.llm.common import Registered
 
 QUERIES: dict[str, Registered] = {
@@ -18,5 +18,8 @@ QUERIES: dict[str, Registered] = {
     "op8_token_counts": Registered(edits.op8_token_counts, None),
     "op9_licenses": Registered(licenses.op9_licenses, licenses.SQL),
     "op10_neighbours": Registered(neighbours.op10_neighbours, None),
+    "op11_infill": Registered(infill.op11_infill, infill.SQL),
+    "op12_prefix_trie": Registered(trie.op12_prefix_trie, trie.SQL),
+    "op13_chat": Registered(chat.op13_chat, chat.SQL),
     "pipeline": Registered(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
