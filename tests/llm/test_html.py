@@ -50,9 +50,9 @@ def test_names_in_an_article_count_as_a_whole(spark):
     kept = ('<section id="related-work">a</section>', '<p class="share-price">a</p>', '<div class="social-history">a</div>', '<div class="comment-on-results">a</div>')
     gone = ('<div class="related-posts">b</div>', '<div id="shareBar2">b</div>', '<p class="x ad">b</p>', '<div class="newsletter-signup">b</div>')
     for k in kept:
-        assert text(f"<article><p>x</p>{k}</article>") == "x\n\na" and text(f"<p>x</p>{k}") == "x"
+        assert text(f"<article><p>x</p>{k}</article>") == text(f"<p>x</p>{k}") == "x\n\na"
     for g in gone:
-        assert text(f"<article><p>x</p>{g}</article>") == "x"
+        assert text(f"<article><p>x</p>{g}</article>") == text(f"<p>x</p>{g}") == "x"
     rows = [(i, f"http://h.example/{i}", f'<article><p>x{i}</p><div class="related-teasers">t{i}</div></article>') for i in range(6)]
     rows += [(9, "http://one.example/", '<article><p>x9</p><div class="related-teasers">t9</div></article>')]
     assert {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, PAGES)).collect()} == {**{i: f"x{i}" for i in range(6)}, 9: "x9\n\nt9"}
@@ -76,17 +76,36 @@ def test_template_text_of_a_host_is_no_content(spark):
     assert H.extract(df).count() == len(rows) and H.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def test_template_text_in_an_article_is_no_content(spark):
+def test_wrappers_with_marks_hold_their_article():
+    for wrapper in ('div class="layout has-sidebar"', 'div class="content-with-sidebar"', 'div class="page no-comments"', 'form id="aspnetForm"'):
+        close = wrapper.split()[0]
+        assert text(f"<{wrapper}><article><p>One</p></article></{close}><p>x</p>") == "One"
+        assert text(f"<{wrapper}><main><p>One</p><form><p>Name</p></form></main></{close}>") == "One"
+    assert text("<form><p>Name</p></form><p>One</p>") == "One"
+    assert text('<article><p>One</p><form><article>no</article></form></article>') == "One"
+    assert text('<div class="sidebar"><article>teaser</article></div><p>One</p>') == "One"
+
+
+def test_end_tag_without_a_name_is_a_comment():
+    assert text("<p>One </3 two.</p><p>Three.</p>") == "One\n\nThree."
+    assert text("<p>One </ two</p><p>Three.</p>") == "One\n\nThree." and text("<p>One</> two</p>") == "One two"
+    assert text("<p>One </3 two") == "One"
+
+
+def test_recurring_article_text_stays_and_boxes_go(spark):
     words = lambda i, j: " ".join(f"w{i}x{j}n{k}" for k in range(12))
-    page = lambda i: f"<body><article><h1>T{i}</h1><p>{words(i, 0)}</p><p>Read more on our site</p><p>{words(i, 1)}</p><div>By the desk</div></article></body>"
+    page = lambda i: (f"<body><article><div>Daily desk</div><h1>T{i}</h1><h2>Summary</h2><p>{words(i, 0)}</p><p>Read more on our site</p><div>Between</div><ul><li>Salt<li>w{i}</ul>"
+                      f"<table><tr><th>Name</th><td>{i}</td></tr></table><h2>Conclusion</h2><p>{words(i, 1)}</p><div>x <a href='/'>All news</a></div><p>Serve warm.</p><div>By the desk</div></article></body>")
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)]
     rows += [(10 + i, f"http://h.example/copy/{i}", page(0)) for i in range(9)] + [(30, "http://alone.example/", page(30))]
     rows += [(40 + i, f"http://near.example/{i}", page(40).replace("T40", f"T{i}")) for i in range(4)]
+    rows += [(50 + i, None, f"<p>Same line</p><p>w{i}</p>") for i in range(6)]  # no host, no template
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, PAGES)).collect()}
     for i in range(6):
-        assert got[i] == f"T{i}\n\n{words(i, 0)}\n\n{words(i, 1)}"
+        assert got[i] == f"T{i}\n\nSummary\n\n{words(i, 0)}\n\nRead more on our site\n\nBetween\n\nSalt\n\nw{i}\n\nName\n\n{i}\n\nConclusion\n\n{words(i, 1)}\n\nx\n\nServe warm."
     assert {got[10 + i] for i in range(9)} == {got[0]}
-    assert "Read more on our site" in got[30] and all(words(40, 0) in got[40 + i] for i in range(4))
+    assert "Daily desk" in got[30] and got[30].endswith("By the desk") and all(words(40, 0) in got[40 + i] for i in range(4))
+    assert all(got[50 + i] == f"Same line\n\nw{i}" for i in range(6))
 
 
 def test_copies_of_an_article_stay_whole(spark):

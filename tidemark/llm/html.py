@@ -43,7 +43,9 @@ _BOXES = frozenset(
 _HEADER = frozenset(("header", "masthead", "topbar"))
 _CONTENT_MARKS = frozenset("articlebody content maincontent article post entry story".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|[^<]+|<(?![A-Za-z/])", re.S)
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre blockquote figcaption summary".split())
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</(?![A-Za-z])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|[^<]+|<(?![A-Za-z/])", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
@@ -60,6 +62,8 @@ class Node:
     dropped: bool  # inside an element that never holds the article
     inside: frozenset  # which of article, main, content it stands in
     doubtful: frozenset = frozenset()  # elements around it, in an article, of whose names only a part tells of boilerplate
+    held: bool = False  # inside a heading, paragraph, list item, table cell or other element of prose
+    linked: bool = False
 
 
 @dataclass
@@ -76,38 +80,42 @@ def _marks(at: dict[str, str]) -> set[str]:
     return {p.lower() for p in _PART.split(f"{at.get('class', '')} {at.get('id', '')}") if p}
 
 
-def _known(at: dict[str, str]) -> bool:
+def _known(at: dict[str, str], marks: frozenset) -> bool:
     """Whether a class or the id is a boilerplate name as a whole: marks, numbers and words for boxes."""
     for name in f"{at.get('class', '')} {at.get('id', '')}".split():
         parts = {p.rstrip("0123456789") for p in _marks({"class": name})} - {""}
-        if parts & _MARKS and parts <= _MARKS | _BOXES:
+        if parts & marks and parts <= marks | _BOXES:
             return True
     return False
 
 
-def _drops(tag: str, at: dict[str, str], inside: frozenset) -> bool:
+_KEPT, _FORM, _GONE = 0, 1, 2  # an element's text: stays, goes unless an article follows inside, goes
+
+
+def _drops(tag: str, at: dict[str, str], inside: frozenset) -> int:
+    """What an element does to its text. Names count as a whole, so that a layout with a sidebar is no sidebar."""
     if tag in _DROPPED:
-        return True
+        return _FORM if tag == "form" else _GONE
     if tag in ("html", "body", "article", "main"):
-        return False
+        return _KEPT
     in_article = bool(inside & {"article", "main"})
     if tag == "header" and not in_article:
-        return True
+        return _GONE
     if not at:
-        return False
+        return _KEPT
     style = at.get("style", "").replace(" ", "").lower()
     if "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-        return True
+        return _GONE
     if at.get("role", "").lower() in _ROLES:
-        return True
-    return _known(at) if in_article else bool(_marks(at) & (_MARKS | _HEADER))
+        return _GONE
+    return _GONE if _known(at, _MARKS if in_article else _MARKS | _HEADER) else _KEPT
 
 
 def parse(source: str | None) -> Page:
     """Texts and tag tokens of a page. Unclosed, crossed and stray tags are met as browsers meet them."""
     page, block = Page(), 0
-    # open elements: name, path hash, dropped, inside, doubtful
-    stack: list[tuple[str, int, bool, frozenset, frozenset]] = [("", 0, False, frozenset(), frozenset())]
+    # open elements: name, path hash, dropped, inside, doubtful, held, linked
+    stack: list[tuple[str, int, int, frozenset, frozenset, bool, bool]] = [("", 0, _KEPT, frozenset(), frozenset(), False, False)]
     text, digest = source or "", xxhash.xxh64_intdigest
     at, end = 0, len(text)
     while at < end:
@@ -117,14 +125,14 @@ def parse(source: str | None) -> Page:
         at = m.end()
         tag = m[2]
         if tag is None:
-            if text.startswith(("<!", "<?"), m.start()):
+            if text.startswith(("<!", "<?", "</"), m.start()):  # comments, as browsers take an end tag without a name for one
                 continue
-            _, path, dropped, inside, doubtful = stack[-1]
+            _, path, dropped, inside, doubtful, held, linked = stack[-1]
             words = _SPACE.sub(" ", unescape(m[0]))
             token = digest(words.strip().encode("utf-8", "surrogatepass"), path)
             if words != " ":
                 page.tokens.append(token)
-            page.nodes.append(Node(block, words, token, len(page.tokens), dropped, inside, doubtful))
+            page.nodes.append(Node(block, words, token, len(page.tokens), dropped > 0, inside, doubtful, held, linked))
             continue
         tag = tag.lower()
         if m[1]:
@@ -144,12 +152,12 @@ def parse(source: str | None) -> Page:
                 break
         if tag in _BLOCK:
             block += 1
-        _, path, dropped, inside, doubtful = stack[-1]
+        _, path, dropped, inside, doubtful, held, linked = stack[-1]
         attributes = _attributes(m[3])
         key = digest(f"{tag} {attributes.get('class', '')} {attributes.get('id', '')}".encode("utf-8", "surrogatepass"), path)
         page.tokens.append(key)
         if tag == "br":
-            page.nodes.append(Node(block, " ", 0, len(page.tokens), dropped, inside, doubtful))
+            page.nodes.append(Node(block, " ", 0, len(page.tokens), dropped > 0, inside, doubtful, held, linked))
         if tag in _VOID or m[3].rstrip().endswith("/"):
             continue
         if attributes and inside & {"article", "main"} and tag not in ("article", "main") and _marks(attributes) & _MARKS:
@@ -158,7 +166,10 @@ def parse(source: str | None) -> Page:
             inside = inside | {"article" if tag == "article" else "main"}
         elif attributes and ("articleBody" in attributes.get("itemprop", "") or {"".join(_marks({"class": c})) for c in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()} & _CONTENT_MARKS):
             inside = inside | {"content"}
-        stack.append((tag, key, dropped or _drops(tag, attributes, stack[-1][3]), inside, doubtful))
+        before = stack[-1][3]
+        if dropped == _FORM and inside != before and not before:
+            dropped = _KEPT  # a form around the whole page is its frame
+        stack.append((tag, key, max(dropped, _drops(tag, attributes, before)), inside, doubtful, held or tag in _PROSE, linked or tag == "a"))
         if tag in _RAW:
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
             at = stop.start() if stop else end
@@ -228,26 +239,24 @@ def template_tokens(page: Page, outer: list[EquivalenceClass]) -> set[int]:
     return found
 
 
-def _length(nodes: list[Node]) -> int:
-    return sum(len(n.text.strip()) for n in nodes)
-
-
 def main_text(page: Page, template: set[int]) -> str:
     """Blocks of the article, white space in one space, joined by an empty line.
 
-    Content is what stands in the slots of the article (a main element, a content element), or on a page without such an
-    element in all slots outside dropped elements; text of the template itself is none. An article of which the template
-    holds half the text or more is a near copy of others and stays whole. An element in an article of whose
-    class or id only a part tells of boilerplate ("related-work") goes only if the template holds it.
+    Content is the article (a main element, a content element), or on a page without such an element what stands in the
+    template's slots outside dropped elements. In an article the template takes away only what is neither prose (a
+    heading, paragraph, list item, cell: such text recurs in articles too) nor between prose: text of other elements
+    at the article's edge, or in links; and elements of whose class or id only a part tells of boilerplate
+    ("related-teasers").
     """
     nodes = [n for n in page.nodes if not n.dropped and n.doubtful.isdisjoint(template)]
     words = lambda some: any(n.text.strip() for n in some)
     inner = [n for n in nodes if {"article", "main"} <= n.inside]
     for chosen in (inner, [n for n in nodes if "article" in n.inside], [n for n in nodes if "main" in n.inside], [n for n in nodes if "content" in n.inside]):
         if words(chosen):
-            own = [n for n in chosen if n.token not in template]
-            if 2 * _length(own) > _length(chosen):
-                chosen = own
+            loose = [n.token in template and not n.held or not n.text.strip() for n in chosen]
+            first = next((i for i, x in enumerate(loose) if not x), len(chosen))
+            last = next((i for i in range(len(chosen) - 1, -1, -1) if not loose[i]), -1)
+            chosen = [n for i, n in enumerate(chosen) if not (loose[i] and n.text.strip() and (n.linked or first <= last and not first < i < last))]
             break
     else:
         chosen = [n for n in nodes if n.token not in template]
@@ -302,7 +311,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", sh
     Pages of equal text count as one, so copies of an article are no template. A token's occurrence vector over the
     host's pages is kept as the xor of a hash of text and count; a hot host is dealt by token and text.
     """
-    counted = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter(F.col("html").isNotNull())
+    counted = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter(F.col("html").isNotNull() & (F.col("host") != ""))
     seen = counted.mapInPandas(tidy(_occurrences), "host string, token long, article long, part long, spot long")
     once = seen.groupBy("host", "token", "article").agg(F.min("part").alias("part"), F.min("spot").alias("spot"))
     tokens = once.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.bit_xor("part").alias("vector"), F.avg("spot").alias("spot"))
@@ -320,7 +329,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     within an article too.
     Menus, page headers, footers, sidebars, notices, adverts, forms, scripts and reader comments are told by element,
     role, class and id. Null html gives an empty text; null ids and repeated rows are kept; pages without host (null
-    url) share the host "". Other columns are ignored, whatever their names.
+    url) have no template, as nothing says that they belong together. Other columns are ignored, whatever their names.
 
     The templates are stored and join on host without a hint: while their files are below Spark's threshold they are
     broadcast and no page moves, else both sides are dealt by host and AQE splits a hot one.
