@@ -1,7 +1,7 @@
 """Price-bar features: one row per (ticker, date), known before that day's open.
 
-All windows share the spec (ticker, date), so a whole family costs one shuffle
-on ticker and one sort. A ticker's partition is bounded by the calendar because
+All windows of the family share the order (block, date) within a ticker, so it costs
+one shuffle on ticker and two sorts. A ticker's partition is bounded by the calendar because
 bars hold one row per (ticker, date).
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.maths import TRADING_DAYS_PER_YEAR, by, full, pct_change, rolling_corr, rows, safe_div
+from tidemark.functions.maths import TRADING_DAYS_PER_YEAR, by, full, pct_change, rolling_corr, safe_div
 
 ANNUAL = float(TRADING_DAYS_PER_YEAR) ** 0.5
 
@@ -23,15 +23,54 @@ MARKET_FEATURES = [
     "spy_return_1d", "spy_return_5d", "stock_vs_spy_return_5d", "beta_60d",
 ]
 
-# One block of the recursive average. The weight a value keeps after a full block
-# is (25/27)**1024, far below double precision, so one earlier block is enough.
-EMA_BLOCK = 1024
+# One block of rows. The weight a value keeps in a recursive average after a full block
+# is (25/27)**1024, far below double precision, so one earlier block is enough; and a
+# rolling frame of up to so many rows touches two blocks.
+BLOCK = 1024
 
 
 def w_ticker() -> WindowSpec:
     return by("ticker", order="date")
 
 
+def with_blocks(df: DataFrame, key: str = "ticker") -> DataFrame:
+    """Number the rows of a key from 0 (`_n`) and their blocks (`_b`).
+
+    Windows over (key; _b, date) and over (key, _b; date) then share one sort.
+    """
+    return df.withColumn("_n", F.row_number().over(by(key, order="date")) - 1).withColumn("_b", F.floor(F.col("_n") / BLOCK))
+
+
+def w_blocks(key: str = "ticker") -> WindowSpec:
+    return by(key, order=["_b", "date"])
+
+
+def block_sums(df: DataFrame, inputs: dict[str, Column], lengths: dict[str, list[int]], key: str = "ticker") -> DataFrame:
+    """`{name}_sum{n}`: sum of the last n rows (at most BLOCK) of each input, null unless all n are there and not null.
+
+    Two levels: sums within blocks and block totals. A frame is the difference of two running sums of a block, plus the
+    rest of the block before, so that it costs a constant number of additions, and what cancels is a block, not a history.
+    """
+    in_block = by(key, "_b", order="date")
+    running, whole = in_block.rowsBetween(Window.unboundedPreceding, 0), in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.select("*", *[c.alias(f"_x_{name}") for name, c in inputs.items()])
+    parts = []
+    for name in inputs:
+        x = F.col(f"_x_{name}")
+        for kind, value in (("v", F.coalesce(x, F.lit(0.0))), ("m", x.isNull().cast("int"))):
+            parts += [F.sum(value).over(running).alias(f"_{kind}run_{name}"), F.sum(value).over(whole).alias(f"_{kind}all_{name}")]
+    kept = [c for c in df.columns if not c.startswith("_x_")]
+    df = df.select(*kept, *parts)
+    pos, w = F.col("_n") - F.col("_b") * BLOCK, w_blocks(key)
+
+    def frame(kind: str, name: str, n: int) -> Column:
+        run, before = F.col(f"_{kind}run_{name}"), F.lag(f"_{kind}run_{name}", n).over(w)
+        rest = F.when(pos < n, F.lag(f"_{kind}all_{name}", n).over(w)).otherwise(0)
+        return F.when(F.col("_n") == n - 1, run).when(F.col("_n") >= n, run + rest - before)
+
+    return df.select(*kept, *[F.when(frame("m", name, n) == 0, frame("v", name, n)).alias(f"{name}_sum{n}") for name, ns in lengths.items() for n in ns])
+
+
 def lag_guard(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """Shift the feature row one bar down, so that day T sees bars before T only."""
     spec = by(*(keys or ["ticker"]), order="date")
@@ -42,13 +81,13 @@ def lag_guard(df: DataFrame, columns: list[str], keys: list[str] | None = None)
 def ema_columns(df: DataFrame, specs: dict[str, tuple[str, int]], key: str = "ticker") -> DataFrame:
     """Recursive exponential averages (first value as seed): {output: (input, span)}.
 
-    Within a block of rows the recurrence unrolls to a running sum of x_i / d**i,
+    `df` may be numbered already (`with_blocks`). Within a block of rows the recurrence unrolls to a running sum of x_i / d**i,
     scaled back by d**t; the previous block adds its own end value. Everything
     stays in built-in window sums. Inputs must be non-null.
     """
-    order = Window.partitionBy(key).orderBy("date")
-    df = df.withColumn("_n", F.row_number().over(order) - 1).withColumn("_b", F.floor(F.col("_n") / EMA_BLOCK))
-    pos = F.col("_n") - F.col("_b") * EMA_BLOCK
+    numbered = "_n" in df.columns
+    df = df if numbered else with_blocks(df, key)
+    pos = F.col("_n") - F.col("_b") * BLOCK
     in_block = Window.partitionBy(key, "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     prev_block = Window.partitionBy(key).orderBy("_b").rangeBetween(-1, -1)
     for name, (source, span) in specs.items():
@@ -65,7 +104,7 @@ def ema_columns(df: DataFrame, specs: dict[str, tuple[str, int]], key: str = "ti
         d = 1.0 - 2.0 / (span + 1.0)
         carried = F.coalesce(F.col(f"_t_{name}"), F.lit(0.0)) * F.pow(F.lit(d), pos + 1)
         df = df.withColumn(name, F.col(f"_s_{name}") + carried)
-    return df.drop("_n", "_b", *[f"_s_{n}" for n in specs], *[f"_t_{n}" for n in specs])
+    return df.drop(*[] if numbered else ["_n", "_b"], *[f"_s_{n}" for n in specs], *[f"_t_{n}" for n in specs])
 
 
 def macd_histogram(df: DataFrame, source: str = "adj_close", key: str = "ticker") -> DataFrame:
@@ -76,9 +115,9 @@ def macd_histogram(df: DataFrame, source: str = "adj_close", key: str = "ticker"
     return df.withColumn("macd_signal", F.col("_line") - F.col("_sig")).drop("_ema12", "_ema26", "_line", "_sig")
 
 
-def rsi(delta: Column, n: int) -> Column:
+def rsi(delta: Column, n: int, spec: WindowSpec | None = None) -> Column:
     """Strength index from simple means; no losses gives 100, a flat window null."""
-    spec = w_ticker()
+    spec = spec or w_ticker()
     gain = F.when(delta.isNotNull(), F.greatest(delta, F.lit(0.0)))
     loss = F.when(delta.isNotNull(), F.greatest(-delta, F.lit(0.0)))
     up, down = full(F.avg(gain), gain, spec, n), full(F.avg(loss), loss, spec, n)
@@ -89,9 +128,9 @@ def rsi(delta: Column, n: int) -> Column:
     )
 
 
-def true_range() -> Column:
+def true_range(spec: WindowSpec | None = None) -> Column:
     """Largest of the day's range and the two gaps to the previous raw close."""
-    prev = F.lag("close", 1).over(w_ticker())
+    prev = F.lag("close", 1).over(spec or w_ticker())
     return F.greatest(F.abs(F.col("high") - F.col("low")), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
 
 
@@ -104,9 +143,12 @@ def with_benchmark(bars: DataFrame, benchmark: DataFrame | None) -> DataFrame:
 
 
 def unguarded_market_features(bars: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
-    """All market features before the one-bar shift."""
-    w = w_ticker()
-    df = with_benchmark(bars, benchmark)
+    """All market features before the one-bar shift, and the row numbers `_n` and `_b`.
+
+    Frames of up to 21 rows are summed row by row, longer ones from block sums.
+    """
+    w = w_blocks()
+    df = with_blocks(with_benchmark(bars, benchmark))
     df = df.select(
         "*",
         pct_change("adj_close", 1, w).alias("returns_1d"),
@@ -115,30 +157,31 @@ def unguarded_market_features(bars: DataFrame, benchmark: DataFrame | None = Non
         pct_change("adj_close", 63, w).alias("returns_63d"),
         (safe_div(F.lag("adj_close", 1).over(w), F.lag("adj_close", 22).over(w)) - 1.0).alias("momentum_21"),
         (F.col("adj_close") - F.lag("adj_close", 1).over(w)).alias("_delta"),
-        true_range().alias("_tr"),
+        true_range(w).alias("_tr"),
         pct_change("volume", 1, w).alias("_vol_chg"),
         (safe_div("open", F.lag("close", 1).over(w)) - 1.0).alias("overnight_gap"),
         pct_change("bench_close", 1, w).alias("spy_return_1d"),
         pct_change("bench_close", 5, w).alias("spy_return_5d"),
         full(F.avg("adj_close"), "adj_close", w, 20).alias("_sma20"),
-        full(F.avg("adj_close"), "adj_close", w, 50).alias("_sma50"),
-        full(F.avg("adj_close"), "adj_close", w, 200).alias("_sma200"),
         full(F.avg("volume"), "volume", w, 20).alias("_vavg"),
     )
-    pair = F.col("returns_1d").isNotNull() & F.col("spy_return_1d").isNotNull()
-    px, py = F.when(pair, F.col("returns_1d")), F.when(pair, F.col("spy_return_1d"))
-    f60 = rows(w, 60)
     df = df.select(
         "*",
         (full(F.stddev_samp("returns_1d"), "returns_1d", w, 5) * ANNUAL).alias("realized_vol_5d"),
         (full(F.stddev_samp("returns_1d"), "returns_1d", w, 21) * ANNUAL).alias("realized_vol_21d"),
         full(F.avg("_tr"), "_tr", w, 14).alias("atr_14"),
-        rsi(F.col("_delta"), 14).alias("rsi_14"),
+        rsi(F.col("_delta"), 14, w).alias("rsi_14"),
         rolling_corr("returns_1d", "_vol_chg", w, 10).alias("price_volume_corr_10"),
-        F.when(F.count(px).over(f60) == 60, F.covar_samp(px, py).over(f60)).alias("_cov60"),
-        full(F.var_samp("spy_return_1d"), "spy_return_1d", w, 60).alias("_var60"),
+        (F.col("spy_return_1d") != F.lag("spy_return_1d", 1).over(w)).cast("double").alias("_moved"),
     )
-    df = macd_histogram(df)
+    x, y = F.col("returns_1d"), F.col("spy_return_1d")
+    pair = F.when(x.isNotNull(), y)
+    df = block_sums(df, {"_close": F.col("adj_close"), "_bx": F.when(pair.isNotNull(), x), "_by": pair, "_bxy": x * y, "_byy": F.when(x.isNotNull(), y * y), "_moves": F.col("_moved")},
+                    {"_close": [50, 200], "_bx": [60], "_by": [60], "_bxy": [60], "_byy": [60], "_moves": [59]})
+    # a benchmark that stands still has no variance, whatever rounding leaves of the sums
+    var60 = F.when(F.col("_moves_sum59") > 0, F.col("_byy_sum60") - F.col("_by_sum60") * F.col("_by_sum60") / 60)
+    df = macd_histogram(df.select("*", (F.col("_close_sum50") / 50).alias("_sma50"), (F.col("_close_sum200") / 200).alias("_sma200"),
+                                  (F.col("_bxy_sum60") - F.col("_bx_sum60") * F.col("_by_sum60") / 60).alias("_cov60"), var60.alias("_var60")))
     return df.select(
         "date", "ticker",
         "returns_1d", "returns_5d", "returns_21d", "returns_63d", "momentum_21",
@@ -152,14 +195,15 @@ def unguarded_market_features(bars: DataFrame, benchmark: DataFrame | None = Non
         safe_div("volume", "_vavg").alias("volume_ratio_20"),
         "price_volume_corr_10", "overnight_gap", "spy_return_1d", "spy_return_5d",
         (F.col("returns_5d") - F.col("spy_return_5d")).alias("stock_vs_spy_return_5d"),
-        safe_div("_cov60", "_var60").alias("beta_60d"),
+        safe_div("_cov60", "_var60").alias("beta_60d"), "_n", "_b",
     )
 
 
 def market_features(bars: DataFrame, benchmark: DataFrame | None = None, *, guard: bool = True) -> DataFrame:
     """The 21 market features of every (ticker, date)."""
     df = unguarded_market_features(bars, benchmark)
-    return lag_guard(df, MARKET_FEATURES) if guard else df
+    w = w_blocks()
+    return df.select("date", "ticker", *[(F.lag(c, 1).over(w) if guard else F.col(c)).alias(c) for c in MARKET_FEATURES])
 
 
 def split_like_jumps(bars: DataFrame, *, threshold: float = 1.8) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.bits import WORD, bit, longest_run, low_bits
 from tidemark.functions.maths import by, safe_div
-from tidemark.operators.asof import asof_join
-from tidemark.operators.fundamentals import shares_asof
+from tidemark.operators.asof import Look, Span, asof_join, asof_many
 from tidemark.operators.sessions import business_day_index, is_weekday
 
 
@@ -40,39 +41,68 @@ def latest_bar_asof(panel: DataFrame, bars: DataFrame, window: int = 20) -> Data
                      take=["bar_date", "close", "volume", "avg_dollar_volume", "move"])
 
 
+def _seen_words(window: int, look: int) -> tuple[list[Span], Callable[[DataFrame, Column], DataFrame]]:
+    """Spans that note the business days with a bar, and the step from them to the longest run without one.
+
+    A business day is a bit of a 64-day block. A range frame of calendar days holds the window; its blocks go round a
+    ring of words, one more than a window can touch. Each row then reads its own blocks, oldest first, and counts the
+    days outside the window as present.
+    """
+    days = (window + 4) // 5 * 7 + 2
+    blocks = (days // 7 * 5 + 10) // WORD + 2
+    block, place = (lambda i: F.floor(i / WORD).cast("int")), (lambda i: F.pmod(i, F.lit(WORD)))
+    spans = [Span(f"_ring{r}", look, lambda p, r=r: F.bit_or(F.when(F.pmod(block(p["_i"]), F.lit(blocks)) == r, bit(place(p["_i"])))), days) for r in range(blocks)]
+
+    def streak(df: DataFrame, day: Column) -> DataFrame:
+        rings = [s.name for s in spans]
+        df = df.withColumn("_day", day)
+        missing = []
+        for back in reversed(range(blocks)):
+            own = block(F.col("_day")) - back
+            seen = F.coalesce(*[F.when(F.pmod(own, F.lit(blocks)) == r, F.col(name)) for r, name in enumerate(rings)], F.lit(0).cast("long"))
+            inside = low_bits(F.col("_day") + 1 - own * WORD).bitwiseAND(F.bitwise_not(low_bits(F.col("_day") + 1 - window - own * WORD)))
+            missing.append(F.bitwise_not(seen).bitwiseAND(inside).alias(f"_missing{back}"))
+        df = df.select(*[c for c in df.columns if c not in rings and c != "_day"], *missing)
+        return longest_run(df, [f"_missing{back}" for back in reversed(range(blocks))], "missing_streak")
+
+    return spans, streak
+
+
 def missing_streak(panel: DataFrame, bars: DataFrame, window: int = 20) -> DataFrame:
-    """Longest run of business days without a bar among the last `window` (63 at most).
+    """Longest run of business days without a bar among the last `window`, of any length.
 
-    Days are numbered by business-day index. The bars of a range frame are or-ed into one word, a bit per day, and
-    the longest run of zero bits is the answer: no array is built or sorted per row.
+    The window of a weekend day ends on the Friday before. Repeated bars and bars on weekends don't matter.
     """
-    day = business_day_index("date")
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64)).cast("int"))
-    left = panel.select("ticker", "date").distinct().select("ticker", day.alias("i"), F.lit(None).cast("long").alias("b"), "date")
-    have = bars.where(is_weekday("date")).select("ticker", day.alias("i"), F.lit(None).cast("date").alias("date")).withColumn("b", bit(F.col("i")))
-    frame = Window.partitionBy("ticker").orderBy("i").rangeBetween(-(window - 1), 0)
-    df = left.unionByName(have).select("ticker", "date", "i", F.coalesce(F.bit_or("b").over(frame), F.lit(0).cast("long")).alias("seen")).where(F.col("date").isNotNull())
-    zero = F.lit(0)
+    spans, streak = _seen_words(window, 0)
+    have = bars.where(is_weekday("date")).select("ticker", "date", business_day_index("date").alias("_i"))
+    left = panel.select("ticker", "date").distinct()
+    return streak(asof_many(left, [Look(have, "date", held=("_i",))], on=["ticker"], left_time="date", spans=tuple(spans)), business_day_index("date"))
+
 
-    def step(s: Column, k: Column) -> Column:
-        run = F.when(F.col("seen").bitwiseAND(bit(F.col("i") - k)) == 0, s["run"] + 1).otherwise(zero)
-        return F.struct(run.alias("run"), F.greatest(s["best"], run).alias("best"))
+def bar_history(universe: DataFrame, bars: DataFrame, window: int = 20, shares: DataFrame | None = None) -> DataFrame:
+    """J5, J4 and W24 in one pass: each day's latest bar and share count, and its longest run of missing days.
 
-    longest = F.aggregate(F.sequence(F.lit(0), F.lit(window - 1)), F.struct(zero.alias("run"), zero.alias("best")), step, lambda s: s["best"])
-    return df.select("ticker", "date", longest.alias("missing_streak"))
+    Bars, share counts and universe rows meet in one union that is dealt by ticker once; as-of looks and the words of
+    present days are windows over the same order.
+    """
+    stats = bar_statistics(bars, window).select("*", F.col("date").alias("bar_date"), F.when(is_weekday("date"), business_day_index("date")).alias("_i"))
+    looks = [Look(stats, "date", before={c: c for c in ("bar_date", "close", "volume", "avg_dollar_volume", "move")}, held=("_i",))]
+    if shares is not None:
+        looks.append(Look(shares, "availability_date", before={"shares_outstanding": "shares_outstanding"}))
+    spans, streak = _seen_words(window, 0)
+    return streak(asof_many(universe, looks, on=["ticker"], left_time="date", spans=tuple(spans)), business_day_index("date"))
 
 
 def quality_flags(universe: DataFrame, bars: DataFrame, limits: QualityLimits = QualityLimits(), shares: DataFrame | None = None) -> DataFrame:
     """Q1: liquid, data_quality_ok, halted and reason of every (date, ticker) row."""
-    u = universe.withColumn("ticker", F.upper("ticker"))
-    df = latest_bar_asof(u, bars, limits.rolling_window_days)
-    if limits.min_market_cap > 0:
-        df = shares_asof(df, shares) if shares is not None else df.withColumn("shares_outstanding", F.lit(None).cast("double"))
-    df = df.join(missing_streak(u, bars, limits.rolling_window_days), ["ticker", "date"])
+    capped = limits.min_market_cap > 0
+    df = bar_history(universe.withColumn("ticker", F.upper("ticker")), bars, limits.rolling_window_days, shares if capped else None)
+    if capped and shares is None:
+        df = df.withColumn("shares_outstanding", F.lit(None).cast("double"))
     has = F.col("bar_date").isNotNull()
     no_bars, thin = ~has, has & (F.col("avg_dollar_volume") < limits.min_average_dollar_volume)
     cheap = has & (F.col("close") < limits.min_close_price)
-    if limits.min_market_cap > 0:
+    if capped:
         cap_none = has & F.col("shares_outstanding").isNull()
         cap_low = has & F.coalesce(F.col("close") * F.col("shares_outstanding") < limits.min_market_cap, F.lit(False))
     else:
