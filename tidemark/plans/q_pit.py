@@ -330,7 +330,7 @@ def j9(spark, sf):
 
 
 view("v_strength", """
-SELECT ticker, date, CASE WHEN ok AND count(CASE WHEN ok THEN 1 END) OVER g >= 2 THEN
+SELECT ticker, date, stock_return_1d, sector_etf_ret, sector_momentum, CASE WHEN ok AND count(CASE WHEN ok THEN 1 END) OVER g >= 2 THEN
        (rank() OVER (PARTITION BY date, sector_key, ok ORDER BY stock_return_63d) + (count(*) OVER (PARTITION BY date, sector_key, ok, stock_return_63d) - 1) / 2.0::DOUBLE) / count(CASE WHEN ok THEN 1 END) OVER g END AS strength
 FROM (SELECT *, sector_key IS NOT NULL AND stock_return_63d IS NOT NULL AS ok FROM v_sector_joined) WINDOW g AS (PARTITION BY date, sector_key)""")
 
@@ -343,7 +343,7 @@ def w19(spark, sf):
 
 view("v_sector_features", """
 SELECT ticker, date, sector_etf_ret, stock_return_1d - sector_etf_ret AS stock_vs_sector, sector_momentum, strength AS sector_relative_strength
-FROM v_sector_joined JOIN v_strength USING (ticker, date)""")
+FROM v_strength""")
 
 
 @query("c4_sector_features", "SELECT ticker, date, " + ", ".join(f"round({c}, 6) AS {c}" for c in SE.SECTOR_FEATURES) + " FROM v_sector_features")

@@ -357,7 +357,7 @@ def a6(spark, sf):
     return rounded(SE.source_summary(prepared(spark, sf)))
 
 
-@query("a3_sentiment", f"""
+view("v_sentiment", f"""
 SELECT b.*, coalesce(d.topic_count, 0) AS nlp_sentiment_topic_count, t.topic_id AS nlp_sentiment_dominant_topic_id, round(t.sentiment_score, 6) AS nlp_sentiment_dominant_topic_score, round(t.mean_topic_probability, 6) AS nlp_sentiment_dominant_topic_probability,
  coalesce(c.codes, '') AS reason_codes, coalesce(ts.l, '') AS topic_ids, ss.l AS sources,
  concat_ws(';', CASE WHEN nlp_missing_relevance_evidence_count > 0 THEN 'missing_relevance_evidence' END, CASE WHEN nlp_missing_source_count > 0 THEN 'missing_source_default_weight' END, CASE WHEN nlp_missing_topic_count > 0 THEN 'missing_topic_evidence' END) AS warnings
@@ -371,6 +371,9 @@ LEFT JOIN (SELECT * FROM v_topic_summary QUALIFY row_number() OVER (PARTITION BY
 LEFT JOIN (SELECT date, ticker, string_agg(DISTINCT c, ';' ORDER BY c) AS codes FROM (SELECT bucket AS date, ticker, unnest(reason_codes) AS c FROM v_prep) GROUP BY 1, 2) c USING (date, ticker)
 LEFT JOIN (SELECT date, ticker, string_agg(topic_id || ':' || sentence_count || ':' || article_count, ';' ORDER BY round(weight, 9) DESC, topic_id) AS l FROM v_topic_summary GROUP BY 1, 2) ts USING (date, ticker)
 LEFT JOIN (SELECT date, ticker, string_agg(coalesce(source, '?') || ':' || sentence_count || ':' || article_count, ';' ORDER BY source NULLS LAST) AS l FROM v_source_summary GROUP BY 1, 2) ss USING (date, ticker)""")
+
+
+@query("a3_sentiment", "SELECT * FROM v_sentiment")
 def a3(spark, sf):
     f = SE.ticker_day_features(prepared(spark, sf))
     arr = lambda c: F.array_join(F.from_json(c, "array<string>"), ";")
@@ -390,12 +393,19 @@ def a3b(spark, sf):
 view("v_vec_topics", "SELECT DATE '2000-01-03' + CAST(vec_id % 20 AS INTEGER) AS date, 'S' || (vec_id % 3) AS ticker, CASE WHEN label = 0 THEN -1 ELSE label END AS topic_id, (vec_id % 10) / 10.0::DOUBLE AS p, vec_id % 6 + 1 AS n FROM embeddings")
 
 
-@query("a7_topic_features", """
+view("v_topic_features", """
 SELECT date, ticker, count(*) AS nlp_article_count, sum(n)::BIGINT AS nlp_sentence_count, count(DISTINCT CASE WHEN topic_id >= 0 THEN topic_id END) AS nlp_topic_count, max(dom)::INTEGER AS nlp_dominant_topic_id,
- round(avg(CASE WHEN topic_id = dom THEN p END), 6) AS nlp_dominant_topic_probability, round(avg(p), 6) AS nlp_mean_topic_probability
+ avg(CASE WHEN topic_id = dom THEN p END) AS nlp_dominant_topic_probability, avg(p) AS nlp_mean_topic_probability
 FROM v_vec_topics LEFT JOIN (SELECT date, ticker, topic_id AS dom FROM (SELECT date, ticker, topic_id, count(*) AS c FROM v_vec_topics WHERE topic_id >= 0 GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY date, ticker ORDER BY c DESC, topic_id) = 1) USING (date, ticker) GROUP BY 1, 2""")
-def a7(spark, sf):
+
+
+def vector_topics(spark, sf):
+    """Topic label rows from embedding labels."""
     e = T.table(spark, sf, "embeddings")
-    labels = e.select(F.date_add(F.lit("2000-01-03").cast("date"), (F.col("vec_id") % 20).cast("int")).alias("date"), F.concat(F.lit("S"), F.col("vec_id") % 3).alias("ticker"),
-                      F.when(F.col("label") == 0, -1).otherwise(F.col("label")).alias("topic_id"), ((F.col("vec_id") % 10) / F.lit(10.0)).alias("topic_probability"), (F.col("vec_id") % 6 + 1).alias("article_sentence_count"))
-    return rounded(TP.topic_features(labels))
+    return e.select(F.date_add(F.lit("2000-01-03").cast("date"), (F.col("vec_id") % 20).cast("int")).alias("date"), F.concat(F.lit("S"), F.col("vec_id") % 3).alias("ticker"),
+                    F.when(F.col("label") == 0, -1).otherwise(F.col("label")).alias("topic_id"), ((F.col("vec_id") % 10) / F.lit(10.0)).alias("topic_probability"), (F.col("vec_id") % 6 + 1).alias("article_sentence_count"))
+
+
+@query("a7_topic_features", "SELECT * REPLACE (round(nlp_dominant_topic_probability, 6) AS nlp_dominant_topic_probability, round(nlp_mean_topic_probability, 6) AS nlp_mean_topic_probability) FROM v_topic_features")
+def a7(spark, sf):
+    return rounded(TP.topic_features(vector_topics(spark, sf)))
