@@ -57,18 +57,26 @@ def null_mask(columns: list[str]) -> Column:
 def active_columns(rows: DataFrame, columns: list[str], *, min_rows: int, keys: list[str] | None = None) -> DataFrame:
     """The largest column subset with enough complete rows, by most rows, then column order.
 
-    Rows shrink to counts per missing-value pattern first; every pattern is then
-    expanded to the subsets it leaves complete, so the search never sees a row.
-    Falls back to the subset with the most rows (the first usable column on a tie with it).
+    Rows shrink to counts per missing-value pattern first. Then sums over the lattice of patterns: one pass a column adds
+    to each pattern with that column missing the count of the one without, after which a pattern holds the rows that miss
+    nothing outside it, that is, those complete in all other columns. That is k passes over at most 2**k counters per
+    key, all in one stage, as keys are dealt once. Falls back to the subset with the most rows (the first usable column
+    on a tie with it).
     """
     keys = keys or []
     k = len(columns)
-    patterns = rows.groupBy(*keys, null_mask(columns).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
-    subsets = patterns.select(*keys, "mask", "n", F.explode(F.sequence(F.lit(1), F.lit(2**k - 1))).alias("subset"))
-    ok = subsets.where(F.col("mask").bitwiseAND(F.col("subset")) == 0).groupBy(*keys, "subset").agg(F.sum("n").alias("complete_rows"))
+    every = 2**k - 1
+    dealt = keys or ["_all"]
+    rows = rows if keys else rows.withColumn("_all", F.lit(0))
+    sums = rows.groupBy(*dealt, null_mask(columns).alias("mask")).agg(F.count(F.lit(1)).alias("n")).repartition(*dealt)
+    for i in range(k):
+        bit = 1 << i
+        both = F.when(F.col("mask").bitwiseAND(bit) == 0, F.array("mask", F.col("mask").bitwiseOR(bit))).otherwise(F.array("mask"))
+        sums = sums.select(*dealt, F.explode(both).alias("mask"), "n").groupBy(*dealt, "mask").agg(F.sum("n").alias("n"))
+    ok = sums.select(*dealt, (F.lit(every) - F.col("mask")).alias("subset"), F.col("n").alias("complete_rows")).where("subset > 0")
     size = F.bit_count("subset")
     # columns without any value never appear in a complete pattern, hence not in `ok`
-    best = ok.groupBy(*keys).agg(
+    best = ok.groupBy(*dealt).agg(
         F.max_by(F.struct("subset", "complete_rows"), F.when(F.col("complete_rows") >= min_rows, F.struct(size.alias("s"), "complete_rows", "subset"))).alias("good"),
         F.max_by(F.struct("subset", "complete_rows"), F.struct("complete_rows", size.alias("s"), "subset")).alias("most"),
         F.max_by(F.struct("subset", "complete_rows"), F.when(size == 1, F.col("subset"))).alias("first"),

@@ -331,19 +331,21 @@ view("v_holey", "SELECT * REPLACE (CASE WHEN day(date) % 3 <> 0 THEN high_yield_
 _MASK = " + ".join(f"CASE WHEN {c} IS NULL THEN {2 ** (10 - i)} ELSE 0 END" for i, c in enumerate(COLS))
 view("v_subsets", f"""
 SELECT s AS subset, sum(n) AS complete_rows, bit_count(s) AS size FROM (SELECT {_MASK} AS mask, count(*) AS n FROM v_holey WHERE date < '1998-01-01' GROUP BY 1), (SELECT unnest(generate_series(1, 2047)) AS s) WHERE mask & s = 0 GROUP BY 1""")
+view("v_all_subsets", f"""
+SELECT s AS subset, sum(n) AS complete_rows, bit_count(s) AS size FROM (SELECT {_MASK} AS mask, count(*) AS n FROM v_holey GROUP BY 1), (SELECT unnest(generate_series(1, 2047)) AS s) WHERE mask & s = 0 GROUP BY 1""")
 _NAMES = "concat_ws(';', " + ", ".join(f"CASE WHEN subset & {2 ** (10 - i)} <> 0 THEN '{c}' END" for i, c in enumerate(COLS)) + ")"
 
 
-@query("a30_active_columns", f"SELECT columns, complete_rows FROM (SELECT {_NAMES} AS columns, complete_rows::BIGINT AS complete_rows, row_number() OVER (ORDER BY size DESC, complete_rows DESC, subset DESC) AS n FROM v_subsets WHERE complete_rows >= 400) WHERE n = 1")
+@query("a30_active_columns", f"SELECT columns, complete_rows FROM (SELECT {_NAMES} AS columns, complete_rows::BIGINT AS complete_rows, row_number() OVER (ORDER BY size DESC, complete_rows DESC, subset DESC) AS n FROM v_all_subsets WHERE complete_rows >= 400) WHERE n = 1")
 def a30(spark, sf):
-    rows = _holey(_frame(spark, sf)).where(F.col("date") < F.lit("1998-01-01").cast("date"))
-    return G.active_columns(rows, COLS, min_rows=400).select(F.array_join("columns", ";").alias("columns"), "complete_rows")
+    return G.active_columns(_holey(_frame(spark, sf)), COLS, min_rows=400).select(F.array_join("columns", ";").alias("columns"), "complete_rows")
 
 
 @query("a31_readiness", f"""
 SELECT (SELECT count(*) FROM v_holey WHERE date < '1998-01-01') AS training_rows, complete_rows, columns, concat_ws(';', {", ".join(f"CASE WHEN subset & {2 ** (10 - i)} = 0 THEN '{c}' END" for i, c in enumerate(COLS))}) AS dropped, complete_rows >= 400 AS ready
 FROM (SELECT subset, {_NAMES} AS columns, complete_rows::BIGINT AS complete_rows, row_number() OVER (ORDER BY size DESC, complete_rows DESC, subset DESC) AS n FROM v_subsets WHERE complete_rows >= 400) WHERE n = 1""")
 def a31(spark, sf):
+    """The training window, dates before its end, is what this report is about."""
     r = G.readiness(_holey(_frame(spark, sf)), "1998-01-01", min_rows=400)
     return r.withColumn("columns", F.array_join("columns", ";")).withColumn("dropped", F.array_join("dropped", ";"))
 
