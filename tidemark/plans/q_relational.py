@@ -390,7 +390,7 @@ FEATS = ["returns_1d", "returns_5d", "atr_14"]
 
 def _store(spark, sf):
     path = A.scratch(spark, "features")
-    f = M.market_features(T.bars(spark, sf)).where(F.col("date").between(F.lit("1998-01-01").cast("date"), F.lit("1998-02-28").cast("date")))
+    f = M.market_features(T.bars(spark, sf))
     A.write_features(f.select("date", "ticker", *FEATS), path)
     return path, f
 
@@ -436,11 +436,14 @@ def sc8b(spark, sf):
 
 
 @query("sk1_feature_store", """
-SELECT date, ticker, round(CASE WHEN date >= '1998-02-01' THEN -1.0::DOUBLE ELSE returns_1d END, 6) AS returns_1d FROM v_market_guarded WHERE date BETWEEN '1998-01-01' AND '1998-02-28'""")
+SELECT date, ticker, round(CASE WHEN date >= '1998-02-10' AND CAST(substring(ticker, 2) AS INTEGER) % 3 = 1 THEN -1.0::DOUBLE ELSE returns_1d END, 6) AS returns_1d, CASE WHEN date >= '1998-02-10' AND CAST(substring(ticker, 2) AS INTEGER) % 3 = 1 THEN 2 END AS revision FROM v_market_guarded""")
 def sk1(spark, sf):
+    """The whole feature table; a second write replaces a third of the tickers from one day on and adds a column."""
     path, f = _store(spark, sf)
-    A.write_features(f.where(F.col("date") >= F.lit("1998-02-01").cast("date")).select("date", "ticker", F.lit(-1.0).alias("returns_1d"), "returns_5d", "atr_14"), path)
-    return rounded(A.read_features(spark, path).select("date", "ticker", "returns_1d"))
+    part = f.where((F.col("date") >= F.lit("1998-02-10").cast("date")) & (F.substring("ticker", 2, 9).cast("int") % 3 == 1))
+    A.write_features(part.select("date", "ticker", F.lit(-1.0).alias("returns_1d"), "returns_5d", "atr_14", F.lit(2).alias("revision")), path)
+    # the first months were written without the column
+    return rounded(spark.read.option("mergeSchema", True).parquet(path).select("date", "ticker", "returns_1d", "revision"))
 
 
 @query("sk2_json_round_trip", "SELECT date, ticker, round(returns_1d, 6) AS returns_1d, round(atr_14, 6) AS atr_14, '{\"atr_14\":' AS head FROM v_market_guarded")
@@ -451,12 +454,11 @@ def sk2(spark, sf):
     return rounded(back.select("date", "ticker", "returns_1d", "atr_14", "head"))
 
 
-@query("sk3_label_store", "SELECT date, ticker, round(forward_return_5d, 6) AS forward_return_5d FROM v_labels WHERE date BETWEEN '1998-01-01' AND '1998-01-31'")
+@query("sk3_label_store", "SELECT date, ticker, round(forward_return_5d, 6) AS forward_return_5d FROM v_labels")
 def sk3(spark, sf):
     from tidemark.operators.labels import forward_return_labels
     path = A.scratch(spark, "labels")
-    labels = forward_return_labels(T.bars(spark, sf)).where(F.col("date").between(F.lit("1998-01-01").cast("date"), F.lit("1998-01-31").cast("date")))
-    A.write_labels(labels, path)
+    A.write_labels(forward_return_labels(T.bars(spark, sf)), path)
     return rounded(A.read_features(spark, path).select("date", "ticker", "forward_return_5d"))
 
 

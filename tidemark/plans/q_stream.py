@@ -35,6 +35,39 @@ def st2(spark, sf):
     return spark.read.schema("article_key string").parquet(out)
 
 
+def _drops(spark, sf):
+    """Two landings of articles: days 0 to 9, then days 8 to 12 with copies of earlier ones and rows from before."""
+    day = F.col("doc_id") % 10
+    d = T.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.concat(F.lit("u"), F.col("doc_id")).alias("url"), F.col("source").alias("headline"), F.lit("").alias("content"),
+                                               F.timestamp_seconds(F.lit(946857600) + day * 86400).alias("published_at"))
+    again = d.where(day >= 8)
+    late = d.where(F.col("doc_id") % 10 == 3).withColumn("id", F.concat("id", F.lit("-late")))
+    later = d.where(F.col("doc_id") % 4 == 1).withColumn("id", F.concat("id", F.lit("-new"))).withColumn("published_at", F.timestamp_seconds(F.lit(946857600) + (10 + F.col("doc_id") % 3) * 86400))
+    return d.drop("doc_id"), again.unionByName(late).unionByName(later).drop("doc_id")
+
+
+def _landed(spark, sf):
+    land, store, chk = (scratch(spark, n) for n in ("land", "articles", "chk"))
+    for drop in _drops(spark, sf):
+        drop.write.mode("append").parquet(land)
+        stream = spark.readStream.schema(drop.schema).parquet(land)
+        ST.first_articles(stream, store, chk).awaitTermination()
+    return store
+
+
+@query("st2_first_articles", """
+SELECT 'd' || doc_id AS article_key, DATE '2000-01-03' + CAST(doc_id % 10 AS INTEGER) AS day FROM documents
+UNION ALL SELECT 'd' || doc_id || '-new', DATE '2000-01-13' + CAST(doc_id % 3 AS INTEGER) FROM documents WHERE doc_id % 4 = 1""")
+def st2_kept(spark, sf):
+    """Copies inside the delay are dropped, rows past it set aside, new ones kept."""
+    return spark.read.parquet(f"{_landed(spark, sf)}/kept").select("article_key", "day")
+
+
+@query("st2_late_rows", "SELECT 'd' || doc_id || '-late' AS article_key, TIMESTAMP '2000-01-06 00:00:00' AS published_at FROM documents WHERE doc_id % 10 = 3")
+def st2_late(spark, sf):
+    return spark.read.parquet(f"{_landed(spark, sf)}/late").select("article_key", "published_at")
+
+
 @query("st3_order_book", """
 SELECT date, ticker, round(l2_bid_ask_spread, 6) AS l2_bid_ask_spread, round(l2_quoted_spread_bps, 6) AS l2_quoted_spread_bps, round(l2_book_imbalance, 6) AS l2_book_imbalance, l2_snapshot_count FROM v_book_features WHERE l2_snapshot_count > 0""")
 def st3(spark, sf):

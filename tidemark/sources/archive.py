@@ -1,7 +1,8 @@
 """Scans and sinks of the dated archive.
 
-Layout: Parquet (or JSON/CSV where noted) partitioned by date, so a date window
-prunes partitions and an upsert rewrites only the dates it touches.
+Layout: Parquet (or JSON/CSV where noted) partitioned by date, feature and label
+stores by month with files sorted by date, so a date window prunes folders and an
+upsert rewrites only those it touches.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.maths import first_per_key, latest_per_key
-from tidemark.session import cut, scratch  # noqa: F401
+from tidemark.session import cut, path_exists, scratch  # noqa: F401
+
+MONTH = "month"  # partition column of feature and label stores: the first day of the month
 
 BAR_SCHEMA = ("date date, ticker string, open double, high double, low double, close double, volume bigint, adj_close double, dollar_volume double")
 ARTICLE_SCHEMA = ("id string, headline string, summary string, content string, author string, source string, url string, created_at string, updated_at string, "
@@ -67,8 +70,17 @@ def scan_universe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str, *, tickers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """SC7: feature rows of the tickers inside the closed date window."""
+    """SC7: feature rows of the tickers inside the closed date window.
+
+    The window picks month folders; inside them files and row groups are sorted by date, so that their statistics skip
+    the other days.
+    """
     df = spark.read.parquet(path).where(_between(start, end))
+    if start:
+        df = df.where(F.col(MONTH) >= F.trunc(F.lit(start).cast("date"), "month"))
+    if end:
+        df = df.where(F.col(MONTH) <= F.lit(end).cast("date"))
+    df = df.drop(MONTH)
     return df.where(F.col("ticker").isin(tickers)) if tickers else df
 
 
@@ -100,16 +112,25 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_features(df: DataFrame, path: str) -> None:
-    """SK1: replace the dates present in `df`; duplicate (date, ticker) rows abort before anything is written.
+    """SK1: upsert by (date, ticker); duplicate keys abort before anything is written.
 
-    The rebalance hint clusters rows by date and lets AQE split a heavy date over
-    several writers and join light ones.
+    The store has a folder a month. Rows are dealt to writers by ranges of dates and sorted, so a month is a few files
+    that don't overlap, whatever the number of days; a heavy date is split only between tickers. A write reads and
+    rewrites the months it brings and no others; their list, bounded by the calendar, is all that reaches the driver.
+    New columns are added to the store, rows without them hold null.
     """
     df = cut(df, "features")
-    if not duplicate_rows(df, ["date", "ticker"]).isEmpty():
+    keys = ["date", "ticker"]
+    if not duplicate_rows(df, keys).isEmpty():
         raise ValueError("duplicate (date, ticker) rows")
-    (df.hint("rebalance", "date").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
+    new = df.withColumn(MONTH, F.trunc("date", "month"))
+    if path_exists(df.sparkSession, path):
+        months = [r[0] for r in new.select(MONTH).distinct().collect()]
+        old = df.sparkSession.read.parquet(path).where(F.col(MONTH).isin(months))
+        # stored before the folders it comes from are replaced
+        new = cut(old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True), "merged")
+    (new.repartitionByRange("date", "ticker").sortWithinPartitions(MONTH, "date", "ticker").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path))
 
 
 def to_json_rows(df: DataFrame, keys: list[str]) -> DataFrame:
