@@ -79,7 +79,7 @@ def test_rows_nulls_ties_and_clashing_columns(spark):
         by.setdefault(r.doc_id, set()).add((r.fingerprint, r.component_id))
     assert {c for _, c in by[5]} == {c for _, c in by[3]} == {c for _, c in by[9]} == {3}
     assert by[1] == by[2] == {("0" * 16, 1)} and {c for _, c in by[None]} == {3, None}
-    kept = S.keep_one(clash(docs(spark, rows), "fp", "key", "__x"))
+    kept = S.keep_one(clash(docs(spark, rows), "fp", "key", "__x", "__n", "__id", "__fp"))
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.select("doc_id").collect()) == [(False, 1), (False, 3), (False, 7), (True, None)]
     assert kept.columns[:2] == ["doc_id", "text"]
     empty = docs(spark, [])

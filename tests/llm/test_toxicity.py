@@ -29,8 +29,8 @@ def test_held_out_accuracy(spark):
     want = {i: bool(y[3]) for (i, _), y in both[500:]}
     wrong = sum(got[i] != want[i] for i in want)
     assert wrong <= 0.01 * len(want)
-    kept = T.drop_toxic(clash(df, "toxicity", "label"), model)
-    assert {r.doc_id for r in kept.collect()} == {i for i, bad in got.items() if not bad} and kept.columns == ["doc_id", "text", "toxicity", "label"]
+    kept = T.drop_toxic(clash(df, "toxicity", "label", "__p"), model)
+    assert {r.doc_id for r in kept.collect()} == {i for i, bad in got.items() if not bad} and kept.columns == ["doc_id", "text", "toxicity", "label", "__p"]
 
 
 def test_chain_feeds_out_of_fold_probabilities(monkeypatch):

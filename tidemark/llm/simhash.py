@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import small_batches, table, tidy
+from tidemark.llm.common import fresh, small_batches, table, tidy
 from tidemark.llm.components import connected_components
 from tidemark.session import cut
 
@@ -172,13 +172,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     whatever their names.
     """
     groups = _groups(docs, id_col, text_col, max_bits, blocks)
-    kept = groups.filter("id = component_id").groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    key, times, mark = (fresh(docs, n) for n in ("__id", "__n", "__fp"))
+    kept = groups.filter("id = component_id").groupBy(F.col("id").alias(key)).agg(F.count(F.lit(1)).alias(times))
     # the ids are the small side, hashed; so the texts are dealt once and not sorted, but for those of repeated ids
-    joined = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["__id"])
-    named = joined.filter("__n = 1").select(*docs.columns).unionByName(joined.filter("__n > 1").select(*docs.columns).dropDuplicates([id_col]))
-    bare = groups.filter("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("__fp")).select("__fp")
-    loose = docs.filter(docs[id_col].isNull()).withColumn("__fp", fingerprint_column(F.col(text_col)))
-    return named.unionByName(loose.join(bare, "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp"))
+    joined = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept[key])
+    named = joined.filter(F.col(times) == 1).select(*docs.columns).unionByName(joined.filter(F.col(times) > 1).select(*docs.columns).dropDuplicates([id_col]))
+    bare = groups.filter("component_id IS NULL").groupBy("root").agg(F.min("fp").alias(mark)).select(mark)
+    loose = docs.filter(docs[id_col].isNull()).withColumn(mark, fingerprint_column(F.col(text_col)))
+    return named.unionByName(loose.join(bare, mark, "left_semi").dropDuplicates([mark]).drop(mark))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.llm.common import WORD, Memo, small_batches, table, tidy
+from tidemark.llm.common import WORD, Memo, fresh, small_batches, table, tidy
 from tidemark.session import cut
 
 #: Order of the chain. Every label column is 0 or 1; later models see the probabilities of the earlier ones.
@@ -149,14 +149,16 @@ class Chain:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: tuple[str, ...] = CHAIN, sample: int = SAMPLE) -> Chain:
     """Fit the chain on at most `sample` labelled documents; `labels` has the id and a 0/1 column per category.
 
-    Rows with a null id or label don't take part; an id with several label rows counts once, with their largest values.
+    Rows with a null id or label don't take part; an id with several label rows counts once, with their largest values, and
+    one with several texts by the first of them in order.
     Without labelled documents the model gives probability zero. The driver holds `sample` sparse rows of at most
     FEATURES places, and the weights.
     """
     small_batches(docs.sparkSession)
     usable = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(c) for c in chain]).dropna()
     chosen = usable.groupBy("id").agg(*[F.max(c).alias(c) for c in chain]).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "h", *chain).agg(F.min("text").alias("text"))
     rows = cut(texts.select("text", *chain, F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
     totals = rows.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in chain]).first()
     counts = rows.mapInPandas(_count(chain), "feature string, n long, " + ", ".join(f"p{i} long" for i in range(len(chain))))
@@ -203,8 +205,12 @@ def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` below the threshold in the chain's last category, columns unchanged."""
-    return docs.withColumn("__p", scores_column(model, text_col)[model.names[-1]]).filter(F.col("__p") < threshold).drop("__p")
+    """The rows of `docs` below the threshold in the chain's last category, columns unchanged, whatever their names.
+
+    Null texts count as empty; null ids and repeated rows are judged like any other.
+    """
+    p = fresh(docs, "__p")
+    return docs.withColumn(p, scores_column(model, text_col)[model.names[-1]]).filter(F.col(p) < threshold).drop(p)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
