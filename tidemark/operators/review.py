@@ -8,23 +8,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.maths import warnings_array
-from tidemark.functions.text import contains_term, normalize_headline, optional_text
+from tidemark.functions.text import contains_term, digest, evidence_snippets, normalize_headline, optional_text
 from tidemark.operators.regime import REGIME_OUTPUT
 
 ARTICLE = ["date", "article_id"]
 
 
+def with_article_ids(rows: DataFrame) -> DataFrame:
+    """Rows without an article id get one from day, headline, time and url, the same in every run."""
+    parts = [F.col("date"), normalize_headline(F.col("headline")), *[F.col(c) for c in ("published_at", "url") if c in rows.columns]]
+    return rows.withColumn("article_id", F.coalesce(optional_text(F.col("article_id")), F.concat(F.lit("article-"), F.substring(digest(*parts), 1, 16))))
+
+
 def article_groups(rows: DataFrame, *, ticker: str, terms: list[str], threshold: float = 0.5) -> DataFrame:
-    """One row per (date, article): sentence counts, headline reuse, term hits, relevance, flags, status."""
-    low = F.lower(F.concat_ws(" ", "headline", "text"))
+    """One row per (date, article): sentence counts, headline reuse, term hits, snippets, relevance, flags, status.
+
+    Rows without an id are grouped by `with_article_ids`. Snippets are the sentences of headline and text that hold a
+    term, each once, in sentence order: an article's own sentences bound them.
+    """
+    rows = with_article_ids(rows)
+    both = F.trim(F.concat_ws(" ", "headline", "text"))
+    low = F.lower(both)
     hits = F.array_compact(F.array(*[F.when(contains_term(low, t), F.lit(t)) for t in terms]))
+    rows = rows.withColumn("_snippets", evidence_snippets(both, terms))
     r = rows.withColumn("_si", F.coalesce("sentence_index", F.lit(-1))).withColumn("_hits", hits)
     order = F.struct("_si", F.col("text"))
     have = lambda c: F.when(F.col(c).isNotNull(), order)
     hit_flags = [F.bool_or(F.array_contains("_hits", t)).alias(f"_h{i}") for i, t in enumerate(terms)]
     g = r.groupBy(*ARTICLE).agg(
         F.count(F.lit(1)).alias("row_count"), F.count_distinct("_si").alias("unique_sentences"), F.min_by("headline", have("headline")).alias("headline"),
-        F.min_by("ticker", have("ticker")).alias("ticker"), F.min_by("relevance_score", have("relevance_score")).alias("relevance_score"), *hit_flags)
+        F.min_by("ticker", have("ticker")).alias("ticker"), F.min_by("relevance_score", have("relevance_score")).alias("relevance_score"),
+        F.sort_array(F.collect_set(F.when(F.size("_snippets") > 0, F.struct("_si", F.coalesce("text", F.lit("")).alias("t"), "_snippets")))).alias("_found"), *hit_flags)
+    g = g.withColumn("evidence_snippets", F.array_distinct(F.flatten(F.transform("_found", lambda x: x["_snippets"])))).drop("_found")
     term_hits = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"_h{i}"), F.lit(t)) for i, t in enumerate(terms)])))
     g = g.withColumn("term_hits", term_hits).withColumn("normalized_headline", normalize_headline(F.col("headline"))).drop(*[f"_h{i}" for i in range(len(terms))])
     # how many articles share a headline: counted over distinct pairs, so a reused headline is one row per article
@@ -37,6 +52,15 @@ def article_groups(rows: DataFrame, *, ticker: str, terms: list[str], threshold:
     return g.withColumn("flags", flags).withColumn("status", F.when(F.size("flags") == 0, "accepted").otherwise("flagged"))
 
 
+def run_summary(articles: DataFrame) -> DataFrame:
+    """One row over all articles; without any, counts of zero."""
+    weak = F.arrays_overlap("flags", F.array(F.lit("low_relevance_score"), F.lit("missing_relevance_score")))
+    rows = F.coalesce(F.sum("row_count"), F.lit(0))
+    return articles.agg(rows.alias("row_count"), F.count(F.lit(1)).alias("article_count"), F.count_if(F.col("status") == "accepted").alias("accepted_article_count"),
+                        F.count_if(F.col("status") != "accepted").alias("flagged_article_count"), F.count_if(F.col("row_count") > 1).alias("duplicate_article_count"),
+                        F.count_if(F.col("headline_articles") > 1).alias("repeated_headline_count"), F.count_if(weak).alias("weak_article_count"), rows.alias("sentence_count"))
+
+
 def date_rollup(articles: DataFrame) -> DataFrame:
     """Article and sentence counts per date."""
     return articles.groupBy("date").agg(F.count(F.lit(1)).alias("articles"), F.count_if(F.col("status") == "accepted").alias("accepted"),
@@ -127,6 +151,28 @@ def embedding_evidence(rows: DataFrame, column: str = "embedding_json") -> DataF
     return rows.select(*ARTICLE, "embedding_cache_key", F.coalesce(F.size(v), F.lit(0)).alias("embedding_dimension"))
 
 
+def _requested(rows: DataFrame, ticker: str, stage: str, columns: dict[str, str]) -> DataFrame:
+    """Rows of a ticker, or of none, with the named columns (null where the table lacks them) and their stage."""
+    own = F.upper(optional_text(F.col("ticker")))
+    values = [(F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind)).alias(c) for c, kind in columns.items()]
+    return rows.where(own.isNull() | (own == ticker)).select("date", F.lit(ticker).alias("ticker"), "article_id", *values, F.lit(stage).alias("stage"))
+
+
+def topic_label_evidence(rows: DataFrame, ticker: str) -> DataFrame:
+    """Topic label rows of the requested ticker, and of rows that name none."""
+    return _requested(rows, ticker, "article_topic_labels", {
+        "normalized_headline": "string", "article_sentence_count": "bigint", "embedding_cache_key": "string", "topic_model": "string", "topic_model_version": "string",
+        "topic_id": "int", "topic_probability": "double", "topic_label": "string", "topic_keywords": "array<string>", "artifact_key": "string"})
+
+
+def gate_evidence(rows: DataFrame, ticker: str) -> DataFrame:
+    """Relevance gate rows of the requested ticker, and of rows that name none."""
+    return _requested(rows, ticker, "pre_finbert_relevance_gate", {
+        "sentence_index": "int", "chunk_index": "int", "headline": "string", "text": "string", "source": "string", "published_at": "timestamp", "relevance_decision": "string",
+        "relevance_score": "double", "ticker_relevance_score": "double", "financial_relevance_score": "double", "topic_relevance_score": "double", "reason_codes": "array<string>",
+        "ticker_evidence": "string", "entity_evidence": "string", "topic_id": "int", "topic_probability": "double", "embedding_cache_key": "string", "has_embedding": "boolean", "artifact_key": "string"})
+
+
 def decoded_features(rows: DataFrame, ticker: str, names: list[str]) -> DataFrame:
     """Chosen values of a ticker's stored feature objects."""
     m = F.from_json("features_json", "map<string,string>")

@@ -42,7 +42,10 @@ def apply_rules(proposals: DataFrame, limits: RiskLimits = RiskLimits(), *, keys
     rejected = p.where(F.size("rules") > 0)
     alive = p.where(F.size("rules") == 0).drop("rules")
     row = F.struct(F.abs("target_dollars").alias("size"), F.col("equity"), F.when(F.col("sector") != "", F.col("sector")).alias("named"), F.struct(*alive.columns).alias("row"))
-    ordered = alive.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.abs("target_dollars")).alias("k"), F.col(ident).alias("i"), row.alias("x")))).alias("l"))
+    # a group whose whole exposure is below both limits needs no walk: whatever the order, every sum in it is smaller
+    share = safe_div(F.sum(F.abs("target_dollars")), F.min("equity"))
+    free = (share <= min(limits.max_gross_exposure, limits.max_sector_pct) * (1 - 1e-9)).alias("free")
+    ordered = alive.groupBy(*keys).agg(free, F.array_sort(F.collect_list(F.struct((-F.abs("target_dollars")).alias("k"), F.col(ident).alias("i"), row.alias("x")))).alias("l"))
 
     def step(state: Column, item: Column) -> Column:
         x = item["x"]
@@ -59,7 +62,9 @@ def apply_rules(proposals: DataFrame, limits: RiskLimits = RiskLimits(), *, keys
             F.concat(state["fired"], F.array(fired)).alias("fired"))
 
     empty = F.struct(F.lit(0.0).alias("gross"), F.create_map().cast("map<string,double>").alias("sectors"), F.array().cast("array<array<string>>").alias("fired"))
-    walked = ordered.select(F.explode(F.arrays_zip(F.col("l"), F.aggregate("l", empty, step, lambda s: s["fired"]).alias("fired"))).alias("z"))
+    none = F.transform("l", lambda _: F.array().cast("array<string>"))
+    fired = F.when(F.col("free"), none).otherwise(F.aggregate("l", empty, step, lambda s: s["fired"]))
+    walked = ordered.select(F.explode(F.arrays_zip(F.col("l"), fired.alias("fired"))).alias("z"))
     walked = walked.select("z.l.x.row.*", F.col("z.fired").alias("rules"))
     return with_action(walked.unionByName(rejected))
 

@@ -457,30 +457,44 @@ def a33b(spark, sf):
 
 
 def _review_rows(spark, sf):
+    """All scored rows, those without an article id included; some without text."""
     s = T.scored_news(spark, sf)
     n = F.length("text")
-    return s.where(F.col("article_id").isNotNull()).withColumn("headline", F.concat(F.lit("Head "), F.substring("article_id", -1, 1))).withColumn(
-        "text", F.when(n % 9 == 4, F.lit(None)).otherwise(F.regexp_replace("text", r"[^\x00-\x7F]", "e"))).withColumn("sentence_index", F.when(F.col("sentence_index") == 3, 2).otherwise(F.col("sentence_index")))
+    return s.withColumn("headline", F.concat(F.lit("Head "), F.coalesce(F.substring("article_id", -1, 1), F.lit("none")))).withColumn(
+        "text", F.when(n % 9 == 4, F.lit(None)).otherwise(F.col("text"))).withColumn("sentence_index", F.when(F.col("sentence_index") == 3, 2).otherwise(F.col("sentence_index")))
 
 
 view("v_review", """
-SELECT * REPLACE (CASE WHEN length(text) % 9 = 4 THEN NULL ELSE regexp_replace(text, '[^\\x00-\\x7F]', 'e', 'g') END AS text, CASE WHEN sentence_index = 3 THEN 2 ELSE sentence_index END AS sentence_index), 'Head ' || substring(article_id, -1, 1) AS headline FROM v_scored WHERE article_id IS NOT NULL""")
+SELECT *, coalesce(article_id, 'article-' || substring(sha256(date || '|' || lower(headline) || '|' || published_at), 1, 16)) AS aid FROM (
+ SELECT * REPLACE (CASE WHEN length(text) % 9 = 4 THEN NULL ELSE text END AS text, CASE WHEN sentence_index = 3 THEN 2 ELSE sentence_index END AS sentence_index), 'Head ' || coalesce(substring(article_id, -1, 1), 'none') AS headline FROM v_scored)""")
+_THAN = "regexp_matches({}, '(^|[^\\p{{L}}\\p{{N}}_])than($|[^\\p{{L}}\\p{{N}}_])')"
+view("v_snippets", f"""
+SELECT date, aid, string_agg(s, ' | ' ORDER BY p) AS snippets FROM (SELECT date, aid, s, min(p) AS p FROM (
+ SELECT date, aid, trim(unnest(l)) AS s, row(coalesce(sentence_index, -1), coalesce(text, ''), generate_subscripts(l, 1)) AS p FROM (
+  SELECT *, list_filter(string_split(regexp_replace(trim(headline || coalesce(' ' || text, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: contains(lower(x), 'of the') OR {_THAN.format('lower(x)')}) AS l FROM v_review)) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 view("v_articles_reviewed", """
 SELECT *, list_filter([CASE WHEN ticker <> 'S1' THEN 'ticker_mismatch' END, CASE WHEN hits = '' THEN 'no_requested_ticker_evidence' END, CASE WHEN relevance_score < 0.5::DOUBLE THEN 'low_relevance_score' END, CASE WHEN relevance_score IS NULL THEN 'missing_relevance_score' END, CASE WHEN headline_articles > 1 THEN 'duplicate_normalized_headline' END,
  CASE WHEN row_count > unique_sentences THEN 'duplicate_sentence_rows' END], lambda x: x IS NOT NULL) AS flags
-FROM (SELECT date, article_id, count(*) AS row_count, count(DISTINCT coalesce(sentence_index, -1)) AS unique_sentences, min(headline) AS headline, min(ticker) AS ticker, arg_min(relevance_score, row(sentence_index, text)) FILTER (relevance_score IS NOT NULL) AS relevance_score,
-  concat_ws(';', CASE WHEN bool_or(contains(lower(headline || ' ' || coalesce(text, '')), 'of the')) THEN 'of the' END, CASE WHEN bool_or(regexp_matches(lower(headline || ' ' || coalesce(text, '')), '\\bthan\\b')) THEN 'than' END) AS hits FROM v_review GROUP BY 1, 2) g
-JOIN (SELECT headline, count(DISTINCT article_id) AS headline_articles FROM v_review GROUP BY 1) USING (headline)""")
+FROM (SELECT date, aid AS article_id, count(*) AS row_count, count(DISTINCT coalesce(sentence_index, -1)) AS unique_sentences, min(headline) AS headline, min(ticker) AS ticker, arg_min(relevance_score, row(sentence_index, coalesce(text, ''))) FILTER (relevance_score IS NOT NULL) AS relevance_score,
+  concat_ws(';', CASE WHEN bool_or(contains(lower(headline || ' ' || coalesce(text, '')), 'of the')) THEN 'of the' END, CASE WHEN bool_or(""" + _THAN.format("lower(headline || ' ' || coalesce(text, ''))") + """) THEN 'than' END) AS hits FROM v_review GROUP BY 1, 2) g
+JOIN (SELECT headline, count(DISTINCT aid) AS headline_articles FROM v_review GROUP BY 1) USING (headline)""")
 
 
 def _reviewed(spark, sf):
     return RV.article_groups(_review_rows(spark, sf), ticker="S1", terms=["than", "of the"])
 
 
-@query("a23_article_review", "SELECT date, article_id, row_count, unique_sentences, relevance_score, hits AS term_hits, headline_articles, array_to_string(flags, ';') AS flags, CASE WHEN len(flags) = 0 THEN 'accepted' ELSE 'flagged' END AS status FROM v_articles_reviewed")
+@query("a23_article_review", "SELECT date, article_id, row_count, unique_sentences, relevance_score, hits AS term_hits, headline_articles, array_to_string(flags, ';') AS flags, CASE WHEN len(flags) = 0 THEN 'accepted' ELSE 'flagged' END AS status, coalesce(s.snippets, '') AS evidence_snippets FROM v_articles_reviewed r LEFT JOIN (SELECT date AS d, aid, snippets FROM v_snippets) s ON s.d = r.date AND s.aid = r.article_id")
 def a23(spark, sf):
     a = _reviewed(spark, sf)
-    return a.select("date", "article_id", "row_count", "unique_sentences", "relevance_score", F.array_join("term_hits", ";").alias("term_hits"), "headline_articles", F.array_join("flags", ";").alias("flags"), "status")
+    return a.select("date", "article_id", "row_count", "unique_sentences", "relevance_score", F.array_join("term_hits", ";").alias("term_hits"), "headline_articles", F.array_join("flags", ";").alias("flags"), "status", F.array_join("evidence_snippets", " | ").alias("evidence_snippets"))
+
+
+@query("a23_run_summary", """
+SELECT sum(row_count)::BIGINT AS row_count, count(*) AS article_count, count(*) FILTER (len(flags) = 0) AS accepted_article_count, count(*) FILTER (len(flags) > 0) AS flagged_article_count, count(*) FILTER (row_count > 1) AS duplicate_article_count,
+ count(*) FILTER (headline_articles > 1) AS repeated_headline_count, count(*) FILTER (relevance_score IS NULL OR relevance_score < 0.5::DOUBLE) AS weak_article_count, sum(row_count)::BIGINT AS sentence_count FROM v_articles_reviewed""")
+def a23b(spark, sf):
+    return RV.run_summary(_reviewed(spark, sf))
 
 
 @query("a24_date_rollup", "SELECT date, count(*) AS articles, count(*) FILTER (len(flags) = 0) AS accepted, count(*) FILTER (len(flags) > 0) AS flagged, sum(row_count)::BIGINT AS sentences FROM v_articles_reviewed GROUP BY 1")
@@ -500,9 +514,9 @@ def a25(spark, sf):
 
 def _topic_review(spark, sf):
     a = _reviewed(spark, sf).select("date", "article_id", "relevance_score")
-    ident = F.substring("article_id", 2, 9).cast("int")
+    ident = F.coalesce(F.substring("article_id", 2, 9).try_cast("int"), F.lit(0))
     g = T.relevance_gate(spark, sf).withColumn("relevance_score", F.when(ident % 5 == 0, 1.0)).withColumn("topic_relevance_score", (ident % 3) / F.lit(2.0)).withColumn("ticker_relevance_score", (ident % 4) / F.lit(4.0))
-    m = _review_rows(spark, sf).select("date", "article_id", F.when(ident % 6 == 0, F.array(F.lit("S1"))).otherwise(F.array().cast("array<string>")).alias("ticker_mentions"), F.when(ident % 2 == 0, F.array(F.lit("E"))).otherwise(F.array().cast("array<string>")).alias("entity_mentions"))
+    m = RV.with_article_ids(_review_rows(spark, sf)).select("date", "article_id", F.when(ident % 6 == 0, F.array(F.lit("S1"))).otherwise(F.array().cast("array<string>")).alias("ticker_mentions"), F.when(ident % 2 == 0, F.array(F.lit("E"))).otherwise(F.array().cast("array<string>")).alias("entity_mentions"))
     return RV.topic_relevance_review(a, a.where(ident % 7 != 0), T.topic_labels(spark, sf), g, m)
 
 
@@ -510,7 +524,7 @@ view("v_topic_review", """
 SELECT date, article_id, score, list_filter([CASE WHEN NOT hg THEN 'missing_relevance_gate' END, CASE WHEN NOT tick THEN 'missing_ticker_evidence' END, CASE WHEN NOT ent THEN 'missing_entity_evidence' END, CASE WHEN NOT emb THEN 'missing_embedding' END, CASE WHEN NOT ht THEN 'missing_topic_label' END, CASE WHEN rej THEN 'rejected_by_relevance_gate' END, CASE WHEN bor THEN 'borderline_relevance_gate' END,
   CASE WHEN def THEN 'default_relevance_without_supporting_evidence' END], lambda x: x IS NOT NULL) AS flags, CASE WHEN def OR NOT emb OR NOT ht THEN 'missing_or_default' WHEN rej THEN 'rejected' WHEN bor THEN 'borderline' WHEN acc THEN 'accepted' WHEN NOT hg THEN 'missing_or_default' ELSE 'borderline' END AS status
 FROM (SELECT *, coalesce(score = 1, false) AND (NOT tick OR NOT ent OR NOT (emb AND ht AND (NOT hg OR i % 3 > 0)) OR rej) AS def FROM (SELECT a.date, a.article_id, i, CASE WHEN g.article_id IS NOT NULL AND i % 5 = 0 THEN 1.0::DOUBLE ELSE relevance_score END AS score, g.article_id IS NOT NULL AS hg, coalesce(rej, false) AS rej, coalesce(bor, false) AS bor, coalesce(acc, false) AS acc, i % 7 <> 0 AS emb, t.article_id IS NOT NULL AS ht,
-   i % 6 = 0 OR (g.article_id IS NOT NULL AND i % 4 > 0) AS tick, i % 2 = 0 AS ent FROM (SELECT *, CAST(substring(article_id, 2) AS INTEGER) AS i FROM v_articles_reviewed) a
+   i % 6 = 0 OR (g.article_id IS NOT NULL AND i % 4 > 0) AS tick, i % 2 = 0 AS ent FROM (SELECT *, coalesce(TRY_CAST(substring(article_id, 2) AS INTEGER), 0) AS i FROM v_articles_reviewed) a
   LEFT JOIN (SELECT DISTINCT date, article_id FROM v_topics) t ON t.date = a.date AND t.article_id = a.article_id
   LEFT JOIN (SELECT date, article_id, bool_or(relevance_decision = 'rejected') AS rej, bool_or(relevance_decision = 'borderline') AS bor, bool_or(relevance_decision = 'accepted') AS acc FROM v_gate GROUP BY 1, 2) g ON g.date = a.date AND g.article_id = a.article_id))""")
 
@@ -568,6 +582,19 @@ def a34c(spark, sf):
     return rounded(RV.decoded_features(to_json_rows(_market(spark, sf), ["date", "ticker"]), "S7", ["returns_1d", "atr_14"]))
 
 
+@query("a34_topic_label_evidence", "SELECT date, 'S1' AS ticker, article_id, topic_id, topic_probability, NULL::VARCHAR AS topic_label, 'article_topic_labels' AS stage FROM v_topics WHERE ticker = 'S1' OR topic_id = 2")
+def a34d(spark, sf):
+    """The rows of one topic name no ticker."""
+    labels = T.topic_labels(spark, sf).withColumn("ticker", F.when(F.col("topic_id") == 2, " ").otherwise(F.col("ticker")))
+    return RV.topic_label_evidence(labels, "S1").select("date", "ticker", "article_id", "topic_id", "topic_probability", "topic_label", "stage")
+
+
+@query("a34_gate_evidence", "SELECT date, 'S1' AS ticker, article_id, sentence_index, chunk_index, relevance_decision, array_to_string(reason_codes, ';') AS reason_codes, 'pre_finbert_relevance_gate' AS stage FROM v_gate WHERE ticker = 'S1'")
+def a34e(spark, sf):
+    g = RV.gate_evidence(T.relevance_gate(spark, sf), "S1")
+    return g.select("date", "ticker", "article_id", "sentence_index", "chunk_index", "relevance_decision", F.array_join("reason_codes", ";").alias("reason_codes"), "stage")
+
+
 @query("r5_market_regime_rows", """
 SELECT d.date, concat_ws(';', CASE WHEN b.date IS NULL THEN 'missing_price' END, CASE WHEN r.date IS NULL THEN 'missing_hmm_regime' END, CASE WHEN r.date IS NOT NULL AND n = 0 THEN 'all_null_hmm_regime' END, CASE WHEN r.date IS NOT NULL AND k % 5 = 0 THEN 'missing_hmm_manifest' END, CASE WHEN k % 3 = 0 THEN 'incomplete_hmm_feature_set' END) AS warnings
 FROM v_dates d LEFT JOIN (SELECT date FROM v_bars WHERE ticker = 'S1') b ON b.date = d.date LEFT JOIN (SELECT date, o_orderkey AS k, n FROM v_regime_errors QUALIFY row_number() OVER (PARTITION BY date ORDER BY o_orderkey DESC) = 1) r ON r.date = d.date""")

@@ -6,7 +6,7 @@ holds the same derivation as SQL for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.registry import view
@@ -292,6 +292,17 @@ SELECT doc_id, CASE WHEN doc_id % 12 = 5 THEN NULL ELSE 'd' || doc_id END AS id,
 FROM documents""")
 
 
+def _published() -> Column:
+    """Hour of a conversation: 25 of them a day, so days grow with the table."""
+    c = F.col("conv_id")
+    return F.timestamp_seconds(F.lit(946857600) + (F.floor(c / 25) * 24 + c % 24) * 3600)
+
+
+def _news_ticker(letter: str) -> Column:
+    """Five tickers for every thousand conversations."""
+    return F.concat(F.lit(letter), F.col("conv_id") % 5 + F.floor(F.col("conv_id") / 1000) * 5)
+
+
 def scored_news(spark: SparkSession, sf: str) -> DataFrame:
     """Scored sentence rows from conversation turns: turn = sentence, conversation = article.
 
@@ -302,8 +313,8 @@ def scored_news(spark: SparkSession, sf: str) -> DataFrame:
     a, b = n % 17, n % 13
     total = (a + b + 4).cast("double")
     return c.select(
-        F.to_date(F.timestamp_seconds(F.lit(946857600) + (F.col("conv_id") % 240) * 3600)).alias("date"),
-        F.concat(F.lit("S"), F.col("conv_id") % 5).alias("ticker"),
+        F.to_date(_published()).alias("date"),
+        _news_ticker("S").alias("ticker"),
         F.when(F.col("conv_id") % 10 == 7, F.lit(None)).otherwise(F.concat(F.lit("c"), F.col("conv_id"))).alias("article_id"),
         F.col("turn").cast("int").alias("sentence_index"),
         F.col("turn").cast("int").alias("chunk_index"),
@@ -311,7 +322,7 @@ def scored_news(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("conv_id") % 8 == 5, F.lit("  Dow   Jones "))
         .when(F.col("conv_id") % 8 == 6, F.lit("Reuters"))
         .otherwise(F.lit("SEC")).alias("source"),
-        F.timestamp_seconds(F.lit(946857600) + (F.col("conv_id") % 240) * 3600).alias("published_at"),
+        _published().alias("published_at"),
         "text",
         (a / total).alias("positive"),
         (b / total).alias("negative"),
@@ -322,14 +333,14 @@ def scored_news(spark: SparkSession, sf: str) -> DataFrame:
 
 
 view("v_scored", """
-SELECT CAST(published_at AS DATE) AS date, 'S' || (conv_id % 5) AS ticker,
+SELECT CAST(published_at AS DATE) AS date, 'S' || (conv_id % 5 + conv_id // 1000 * 5) AS ticker,
        CASE WHEN conv_id % 10 = 7 THEN NULL ELSE 'c' || conv_id END AS article_id,
        CAST(turn AS INTEGER) AS sentence_index, CAST(turn AS INTEGER) AS chunk_index,
        CASE WHEN conv_id % 8 = 3 THEN NULL WHEN conv_id % 8 = 5 THEN '  Dow   Jones ' WHEN conv_id % 8 = 6 THEN 'Reuters' ELSE 'SEC' END AS source,
        published_at, text, a / total AS positive, b / total AS negative, 4 / total AS neutral, a / total - b / total AS score,
        CASE WHEN n % 7 = 0 THEN NULL ELSE (n % 11 - 1) / 10.0::DOUBLE END AS relevance_score
 FROM (SELECT *, n % 17 AS a, n % 13 AS b, CAST(n % 17 + n % 13 + 4 AS DOUBLE) AS total,
-             TIMESTAMP '2000-01-03 00:00:00' + to_hours(CAST(conv_id % 240 AS INTEGER)) AS published_at
+             TIMESTAMP '2000-01-03 00:00:00' + to_hours(CAST(conv_id // 25 * 24 + conv_id % 24 AS INTEGER)) AS published_at
       FROM (SELECT *, length(text) AS n FROM conversations))""")
 
 
@@ -338,8 +349,8 @@ def topic_labels(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").where((F.col("conv_id") % 10 != 7) & (F.col("conv_id") % 4 != 1)).select("conv_id").distinct()
     label = F.col("conv_id") % 6
     return c.select(
-        F.to_date(F.timestamp_seconds(F.lit(946857600) + (F.col("conv_id") % 240) * 3600)).alias("date"),
-        F.concat(F.lit("s"), F.col("conv_id") % 5).alias("ticker"),
+        F.to_date(_published()).alias("date"),
+        _news_ticker("s").alias("ticker"),
         F.concat(F.lit("c"), F.col("conv_id")).alias("article_id"),
         F.when(label == 0, -1).otherwise(label).cast("int").alias("topic_id"),
         ((F.col("conv_id") % 9 + 1) / F.lit(10.0)).alias("topic_probability"),
@@ -347,8 +358,8 @@ def topic_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 view("v_topics", """
-SELECT CAST(TIMESTAMP '2000-01-03 00:00:00' + to_hours(CAST(conv_id % 240 AS INTEGER)) AS DATE) AS date,
-       'S' || (conv_id % 5) AS ticker, 'c' || conv_id AS article_id,
+SELECT CAST(TIMESTAMP '2000-01-03 00:00:00' + to_hours(CAST(conv_id // 25 * 24 + conv_id % 24 AS INTEGER)) AS DATE) AS date,
+       'S' || (conv_id % 5 + conv_id // 1000 * 5) AS ticker, 'c' || conv_id AS article_id,
        CAST(CASE WHEN conv_id % 6 = 0 THEN -1 ELSE conv_id % 6 END AS INTEGER) AS topic_id,
        (conv_id % 9 + 1) / 10.0::DOUBLE AS topic_probability
 FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 10 <> 7 AND conv_id % 4 <> 1)""")
@@ -359,8 +370,8 @@ def relevance_gate(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").where((F.col("conv_id") % 10 != 7) & (F.length("text") % 5 != 2))
     n = F.length("text")
     return c.select(
-        F.to_date(F.timestamp_seconds(F.lit(946857600) + (F.col("conv_id") % 240) * 3600)).alias("date"),
-        F.concat(F.lit("S"), F.col("conv_id") % 5).alias("ticker"),
+        F.to_date(_published()).alias("date"),
+        _news_ticker("S").alias("ticker"),
         F.concat(F.lit("c"), F.col("conv_id")).alias("article_id"),
         F.col("turn").cast("int").alias("sentence_index"),
         F.when(F.col("turn") % 3 == 2, F.lit(None)).otherwise(F.col("turn").cast("int")).alias("chunk_index"),
@@ -374,8 +385,8 @@ def relevance_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 view("v_gate", """
-SELECT CAST(TIMESTAMP '2000-01-03 00:00:00' + to_hours(CAST(conv_id % 240 AS INTEGER)) AS DATE) AS date,
-       'S' || (conv_id % 5) AS ticker, 'c' || conv_id AS article_id, CAST(turn AS INTEGER) AS sentence_index,
+SELECT CAST(TIMESTAMP '2000-01-03 00:00:00' + to_hours(CAST(conv_id // 25 * 24 + conv_id % 24 AS INTEGER)) AS DATE) AS date,
+       'S' || (conv_id % 5 + conv_id // 1000 * 5) AS ticker, 'c' || conv_id AS article_id, CAST(turn AS INTEGER) AS sentence_index,
        CASE WHEN turn % 3 = 2 THEN NULL ELSE CAST(turn AS INTEGER) END AS chunk_index,
        CASE WHEN n % 3 = 0 THEN 'accepted' WHEN n % 3 = 1 THEN 'borderline' ELSE 'rejected' END AS relevance_decision,
        [CASE WHEN n % 2 = 0 THEN 'direct_ticker_mention' ELSE 'source_ticker_tag_only' END,
