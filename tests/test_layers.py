@@ -258,3 +258,28 @@ def test_column_subsets_of_several_keys(spark):
     for k, m in data.items():
         want = G._usable_columns(np.isfinite(m), 20)
         assert got[k].columns == [cols[i] for i in want] and got[k].complete_rows == np.isfinite(m[:, want]).all(1).sum()
+
+
+def test_headline_matches_equal_those_of_headline_and_text_joined(spark):
+    """Mentions and terms found once per headline, per text and across the border, against a search of the joined text."""
+    from tidemark.functions import text as X
+    from tidemark.operators import news as N
+    rng = random.Random(12)
+    words = ["Apple", "Inc", "apple", "inc", "Federal", "Reserve", "federal", "reserve", "S&P", "500", "s&p", "x-Ray", "NEW", "YORK", "the", "cash", "flow", "stock", "É", "Meta", "a.", "b", "Wall", "street", "jp", "morgan", "$aapl"]
+    pick = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t"]) for _ in range(rng.randrange(n))).strip() or None
+    rows = [(i, pick(7), pick(6)) for i in range(700)]
+    df = spark.createDataFrame(rows, "i int, headline string, text string")
+    both = F.trim(F.concat_ws(" ", F.when(F.col("headline") != "", F.col("headline")), F.when(F.col("text") != "", F.col("text"))))
+    stop = F.array(*[F.lit(w) for w in N.ENTITY_STOP_WORDS])
+    named = F.array_distinct(F.array_compact(F.array(*[F.when(X.contains_term(F.lower(both), a), F.lit(e)) for a, e in N.ENTITY_ALIASES])))
+    kept = F.filter(F.regexp_extract_all(both, F.lit(X.ENTITY_PHRASE), 0), lambda p: F.size(F.array_except(F.split(F.lower(p), r"\s+"), stop)) > 0)
+    joined = F.when(F.size(named) > 0, named).otherwise(F.array_distinct(F.transform(kept, lambda p: F.trim(p))))
+    got = N.with_entity_mentions(df)
+    for r in got.withColumn("want", joined).collect():
+        assert r.entity_mentions == r.want, r
+    v = N.Vocabulary()
+    padded = F.concat(F.lit(" "), F.lower(X.squeeze(both)), F.lit(" "))
+    tokens = F.regexp_extract_all(padded, F.lit(X.WORD_TOKEN), 0)
+    plain = lambda terms: F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {t} ")) if " " in t else F.array_contains(tokens, t), F.lit(t)) for t in sorted(terms)]))
+    for r in N.text_evidence(got, v).select("_fin", "_broad", plain(v.financial).alias("f"), plain(v.broad).alias("b"), "headline", "text").collect():
+        assert r._fin == r.f and r._broad == r.b, r

@@ -56,7 +56,7 @@ COMPANY_NAMES = {
 }
 
 TEXT_FIELDS = ["headline", "summary", "content"]
-EVIDENCE = ["_text", "_tok", "_ent", "_known", "_fin", "_broad"]
+EVIDENCE = ["_text", "_tok", "_h_text", "_h_tok", "_ent", "_known", "_fin", "_broad"]
 
 
 @dataclass(frozen=True)
@@ -68,26 +68,55 @@ class Vocabulary:
     broad: list[str] = field(default_factory=lambda: BROAD_MARKET_TERMS)
 
 
+def _filled(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
+
+
+def _terms(v: Vocabulary) -> list[str]:
+    every = [*[n for ns in v.names.values() for n in ns], *v.financial, *v.broad]
+    return list(dict.fromkeys(" ".join(t.lower().split()) for t in every))
+
+
+def headline_evidence(df: DataFrame, v: Vocabulary) -> DataFrame:
+    """What `text_evidence` needs of the headline, for rows before they are repeated per sentence."""
+    terms = _terms(v)
+    df = df.withColumn("_h_text", F.lower(X.squeeze(_filled("headline"))))
+    df = df.withColumn("_h_tok", F.array_distinct(F.regexp_extract_all("_h_text", F.lit(X.WORD_TOKEN), 0)))
+    padded = F.concat(F.lit(" "), F.col("_h_text"), F.lit(" "))
+    has = F.array(*[F.contains(padded, F.lit(f" {t} ")) if " " in t else F.array_contains("_h_tok", t) for t in terms])
+    return df.select("*", has.alias("_h_has"), F.right(F.concat(F.lit(" "), "_h_text"), F.lit(max(map(len, terms), default=0) + 2)).alias("_h_last"))
+
+
 def text_evidence(df: DataFrame, v: Vocabulary) -> DataFrame:
-    """Everything of the gate that depends on a sentence only: tokens, entities, known companies, matched terms."""
-    df = df.withColumn("_text", F.lower(X.squeeze(F.concat_ws(" ", F.when(F.col("headline") != "", F.col("headline")), F.when(F.col("text") != "", F.col("text"))))))
+    """Everything of the gate that depends on a sentence only: tokens, entities, known companies, matched terms.
+
+    A term counts in the headline, in the sentence, or across their border. The headline's part is found once per
+    article; a sentence adds its own words and the few characters around the border.
+    """
+    if "_h_has" not in df.columns:
+        df = headline_evidence(df, v)
+    terms = _terms(v)
+    df = df.withColumn("_text", F.lower(X.squeeze(_filled("text"))))
     df = df.withColumn("_tok", F.array_distinct(F.regexp_extract_all("_text", F.lit(X.WORD_TOKEN), 0)))
     df = df.withColumn("_ent", F.transform(F.coalesce("entity_mentions", F.array().cast("array<string>")), lambda s: F.lower(X.squeeze(s))))
     df = df.withColumn("_pad", F.concat(F.lit(" "), F.col("_text"), F.lit(" ")))
+    df = df.withColumn("_seam", F.concat("_h_last", F.lit(" "), F.left(F.concat("_text", F.lit(" ")), F.lit(max(map(len, terms), default=0) + 2))))
 
     def has(phrase: str) -> Column:
         phrase = " ".join(phrase.lower().split())
-        return F.contains(F.col("_pad"), F.lit(f" {phrase} ")) if " " in phrase else F.array_contains("_tok", phrase)
+        spoken = F.lit(f" {phrase} ")
+        here = F.contains("_pad", spoken) | F.contains("_seam", spoken) if " " in phrase else F.array_contains("_tok", phrase)
+        return F.get("_h_has", F.lit(terms.index(phrase))) | here
 
-    def matched(terms: list[str]) -> Column:
-        return F.array_compact(F.array(*[F.when(has(t), F.lit(t)) for t in sorted(terms)]))
+    def matched(found: list[str]) -> Column:
+        return F.array_compact(F.array(*[F.when(has(t), F.lit(t)) for t in sorted(found)]))
 
     def any_of(conds: list[Column]) -> Column:
         return reduce(lambda a, b: a | b, conds, F.lit(False))
 
     known = [F.when(any_of([has(n) | F.array_contains("_ent", n) for n in ns]), F.lit(t)) for t, ns in v.names.items()]
     df = df.withColumn("_known", F.array_compact(F.array(*known)) if known else F.array().cast("array<string>"))
-    return df.withColumn("_fin", matched(v.financial)).withColumn("_broad", matched(v.broad)).drop("_pad")
+    return df.withColumn("_fin", matched(v.financial)).withColumn("_broad", matched(v.broad)).drop("_pad", "_seam", "_h_has", "_h_last")
 
 
 def with_chunks(articles: DataFrame, *, fields: list[str] | None = None, min_chars: int = 2) -> DataFrame:
@@ -129,20 +158,47 @@ def ticker_mentions(text: Column, article_tickers: Column, known_tokens: Column)
     return F.array_distinct(F.concat(article_tickers, inline))
 
 
+def _phrases(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(X.ENTITY_PHRASE), 0)
+
+
+def headline_mentions(df: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
+    """What `with_entity_mentions` needs of the headline, for rows before they are repeated per sentence.
+
+    No phrase holds a word without a capital letter, so none reaches from before the last such word into the sentence:
+    the phrases up to it are found here, the words after it are kept for the sentence.
+    """
+    rules = aliases or ENTITY_ALIASES
+    df = df.withColumn("_h_low", F.lower(_filled("headline")))
+    df = df.withColumn("_h_words", F.split(_filled("headline"), r"(?U)(?<=\s)(?=\S)"))
+    plain = F.array_position(F.transform(F.reverse("_h_words"), lambda w: w.rlike("[A-Z]")), F.lit(False))
+    tail = F.when(plain > 0, plain - 1).otherwise(F.size("_h_words")).cast("int")
+    df = df.withColumn("_h_cut", F.size("_h_words") - tail)
+    return df.select(
+        "*", F.array(*[X.contains_term(F.col("_h_low"), a) for a, _ in rules]).alias("_h_alias"), F.right("_h_low", F.lit(max(len(a) for a, _ in rules))).alias("_h_end"),
+        _phrases(F.array_join(F.slice("_h_words", F.lit(1), F.col("_h_cut")), "")).alias("_h_phrases"),
+        F.array_join(F.slice("_h_words", F.col("_h_cut") + 1, F.size("_h_words")), "").alias("_h_tail")).drop("_h_low", "_h_words", "_h_cut")
+
+
 def with_entity_mentions(df: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
-    """T4: alias matches in rule order, else capitalised phrases minus stop words.
+    """T4: alias matches of headline and text in rule order, else capitalised phrases minus stop words.
 
-    Shared intermediate texts are columns of their own, so each is computed once per row.
+    The headline's matches are found once per article (`headline_mentions`), here those of the text and across the border.
     """
+    rules = aliases or ENTITY_ALIASES
+    if "_h_alias" not in df.columns:
+        df = headline_mentions(df, rules)
     stop = F.array(*[F.lit(w) for w in ENTITY_STOP_WORDS])
-    combined = F.trim(F.concat_ws(" ", F.when(F.col("headline") != "", F.col("headline")), F.when(F.col("text") != "", F.col("text"))))
-    df = df.withColumn("_both", combined)
-    df = df.withColumn("_low", F.lower("_both"))
-    named = [F.when(X.contains_term(F.col("_low"), a), F.lit(e)) for a, e in (aliases or ENTITY_ALIASES)]
+    df = df.withColumn("_low", F.lower(_filled("text")))
+    df = df.withColumn("_seam", F.concat("_h_end", F.lit(" "), F.left("_low", F.lit(max(len(a) for a, _ in rules)))))
+    here = lambda a: X.contains_term(F.col("_low"), a) | X.contains_term(F.col("_seam"), a) if " " in a else X.contains_term(F.col("_low"), a)
+    named = [F.when(F.get("_h_alias", F.lit(i)) | here(a), F.lit(e)) for i, (a, e) in enumerate(rules)]
     df = df.withColumn("_named", F.array_distinct(F.array_compact(F.array(*named))))
-    kept = F.filter(F.regexp_extract_all("_both", F.lit(X.ENTITY_PHRASE), 0), lambda p: F.size(F.array_except(F.split(F.lower(p), r"\s+"), stop)) > 0)
+    found = F.concat("_h_phrases", _phrases(F.concat_ws(" ", "_h_tail", _filled("text"))))
+    kept = F.filter(found, lambda p: F.size(F.array_except(F.split(F.lower(p), r"\s+"), stop)) > 0)
     phrases = F.array_distinct(F.transform(kept, lambda p: F.trim(p)))
-    return df.withColumn("entity_mentions", F.when(F.size("_named") > 0, F.col("_named")).otherwise(phrases)).drop("_both", "_low", "_named")
+    mentions = F.when(F.size("_named") > 0, F.col("_named")).otherwise(phrases)
+    return df.withColumn("entity_mentions", mentions).drop("_low", "_seam", "_named", "_h_alias", "_h_end", "_h_phrases", "_h_tail")
 
 
 def preprocess(articles: DataFrame, universe: DataFrame | None = None, *, fields: list[str] | None = None, min_chars: int = 2,
@@ -161,6 +217,9 @@ def preprocess(articles: DataFrame, universe: DataFrame | None = None, *, fields
     base = a.select("date", "article_id", X.optional_text(F.col("headline")).alias("headline"), "summary", "content",
                     X.normalize_headline(X.optional_text(F.col("headline"))).alias("normalized_headline"),
                     X.optional_text(F.col("source")).alias("source"), X.optional_text(F.col("url")).alias("url"), "published_at")
+    base = headline_mentions(base, aliases)
+    if vocabulary is not None:
+        base = headline_evidence(base, vocabulary)
     rows = with_chunks(base, fields=fields, min_chars=min_chars).drop("summary", "content").join(tickers, "article_id")
     rows = rows.withColumn("chunk_tickers", ticker_mentions(F.col("text"), F.col("article_tickers"), F.col("known_tokens")))
     rows = with_entity_mentions(rows, aliases)
@@ -209,9 +268,9 @@ def relevance_gate(rows: DataFrame, topics: DataFrame | None = None, embeddings:
 
     if not evident:
         df = text_evidence(df, vocabulary)
-    text, tok, ent, low = F.col("_text"), F.col("_tok"), F.col("_ent"), F.lower("ticker")
+    ent, low = F.col("_ent"), F.lower("ticker")
 
-    direct = F.array_contains(tok, low) | F.contains(text, F.concat(F.lit("$"), low))
+    direct = reduce(lambda a, b: a | b, [F.array_contains(t, low) for t in ("_tok", "_h_tok")] + [F.contains(t, F.concat(F.lit("$"), low)) for t in ("_text", "_h_text")])
     target = F.array_contains(F.col("_known"), F.col("ticker")) | F.array_contains(ent, low)
     tagged = F.array_contains(F.transform("provenance.article_tickers", lambda s: F.upper(F.trim(s))), F.col("ticker"))
     df = df.withColumn("ticker_relevance_score", F.when(direct | target, 1.0).when(tagged, 0.45).otherwise(0.0))
