@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.maths import TRADING_DAYS_PER_YEAR, by, full, pct_change, rolling_corr, safe_div
+from tidemark.functions.maths import TRADING_DAYS_PER_YEAR, by, full, pct_change, rolling_corr, rows, safe_div
 
 ANNUAL = float(TRADING_DAYS_PER_YEAR) ** 0.5
 
@@ -145,7 +145,7 @@ def with_benchmark(bars: DataFrame, benchmark: DataFrame | None) -> DataFrame:
 def unguarded_market_features(bars: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
     """All market features before the one-bar shift, and the row numbers `_n` and `_b`.
 
-    Frames of up to 21 rows are summed row by row, longer ones from block sums.
+    The moving averages over 50 and 200 rows come from block sums, shorter frames and the 60-row moments are summed row by row.
     """
     w = w_blocks()
     df = with_blocks(with_benchmark(bars, benchmark))
@@ -165,6 +165,9 @@ def unguarded_market_features(bars: DataFrame, benchmark: DataFrame | None = Non
         full(F.avg("adj_close"), "adj_close", w, 20).alias("_sma20"),
         full(F.avg("volume"), "volume", w, 20).alias("_vavg"),
     )
+    pair = F.col("returns_1d").isNotNull() & F.col("spy_return_1d").isNotNull()
+    px, py = F.when(pair, F.col("returns_1d")), F.when(pair, F.col("spy_return_1d"))
+    f60 = rows(w, 60)
     df = df.select(
         "*",
         (full(F.stddev_samp("returns_1d"), "returns_1d", w, 5) * ANNUAL).alias("realized_vol_5d"),
@@ -172,16 +175,11 @@ def unguarded_market_features(bars: DataFrame, benchmark: DataFrame | None = Non
         full(F.avg("_tr"), "_tr", w, 14).alias("atr_14"),
         rsi(F.col("_delta"), 14, w).alias("rsi_14"),
         rolling_corr("returns_1d", "_vol_chg", w, 10).alias("price_volume_corr_10"),
-        (F.col("spy_return_1d") != F.lag("spy_return_1d", 1).over(w)).cast("double").alias("_moved"),
+        F.when(F.count(px).over(f60) == 60, F.covar_samp(px, py).over(f60)).alias("_cov60"),
+        full(F.var_samp("spy_return_1d"), "spy_return_1d", w, 60).alias("_var60"),
     )
-    x, y = F.col("returns_1d"), F.col("spy_return_1d")
-    pair = F.when(x.isNotNull(), y)
-    df = block_sums(df, {"_close": F.col("adj_close"), "_bx": F.when(pair.isNotNull(), x), "_by": pair, "_bxy": x * y, "_byy": F.when(x.isNotNull(), y * y), "_moves": F.col("_moved")},
-                    {"_close": [50, 200], "_bx": [60], "_by": [60], "_bxy": [60], "_byy": [60], "_moves": [59]})
-    # a benchmark that stands still has no variance, whatever rounding leaves of the sums
-    var60 = F.when(F.col("_moves_sum59") > 0, F.col("_byy_sum60") - F.col("_by_sum60") * F.col("_by_sum60") / 60)
-    df = macd_histogram(df.select("*", (F.col("_close_sum50") / 50).alias("_sma50"), (F.col("_close_sum200") / 200).alias("_sma200"),
-                                  (F.col("_bxy_sum60") - F.col("_bx_sum60") * F.col("_by_sum60") / 60).alias("_cov60"), var60.alias("_var60")))
+    df = block_sums(df, {"_close": F.col("adj_close")}, {"_close": [50, 200]})
+    df = macd_histogram(df.select("*", (F.col("_close_sum50") / 50).alias("_sma50"), (F.col("_close_sum200") / 200).alias("_sma200")))
     return df.select(
         "date", "ticker",
         "returns_1d", "returns_5d", "returns_21d", "returns_63d", "momentum_21",
