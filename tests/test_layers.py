@@ -283,3 +283,22 @@ def test_headline_matches_equal_those_of_headline_and_text_joined(spark):
     plain = lambda terms: F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {t} ")) if " " in t else F.array_contains(tokens, t), F.lit(t)) for t in sorted(terms)]))
     for r in N.text_evidence(got, v).select("_fin", "_broad", plain(v.financial).alias("f"), plain(v.broad).alias("b"), "headline", "text").collect():
         assert r._fin == r.f and r._broad == r.b, r
+
+
+def test_presence_of_keys_with_nulls_and_repeats_needs_no_join(spark):
+    from tidemark.operators import upsert as S
+    left = spark.createDataFrame([("A", 1), ("A", 1), ("B", 2), (None, 3)], "k string, n int")
+    right = spark.createDataFrame([("A", 1), ("C", 4), (None, 3), (None, 3)], "k string, n int")
+    out = S.presence(left, right, ["k", "n"])
+    assert sorted(tuple(r) for r in out.collect() if r.k) == [("B", 2, "missing"), ("C", 4, "unexpected")]
+    assert sorted(tuple(r)[1:] for r in out.collect() if not r.k) == [(3, "missing"), (3, "unexpected")]  # null equals no null
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spread_gives_a_small_table_tasks_by_its_raw_rows(spark):
+    from tidemark.plans import testbed as T
+    raw = spark.range(1000)
+    small = raw.groupBy((F.col("id") % 40).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    out = T.spread(small, "k", raw, rows=100)
+    assert out.rdd.getNumPartitions() == 10 and sorted(r.k for r in out.collect()) == list(range(40))
+    assert T.spread(small, "k", raw.limit(0)).rdd.getNumPartitions() == 1

@@ -426,6 +426,7 @@ def u4(spark, sf):
 def quality_panel(spark, sf, bars=None):
     """Every business day between a ticker's first and last bar, with some earlier and flagged rows."""
     b = (T.bars(spark, sf) if bars is None else bars).groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    b = T.spread(b, "ticker", T.table(spark, sf, "lineitem"))  # a row becomes thousands
     days = b.select("ticker", F.explode(F.sequence(F.date_sub("a", 3), "b")).alias("date")).where(D.is_weekday("date"))
     return days.select("date", "ticker", F.lit(True).alias("in_universe"), F.lit(True).alias("tradable"), F.lit(True).alias("liquid"),
                        F.lit(False).alias("halted"), F.lit(True).alias("data_quality_ok"),
