@@ -302,3 +302,29 @@ def test_spread_gives_a_small_table_tasks_by_its_raw_rows(spark):
     out = T.spread(small, "k", raw, rows=100)
     assert out.rdd.getNumPartitions() == 10 and sorted(r.k for r in out.collect()) == list(range(40))
     assert T.spread(small, "k", raw.limit(0)).rdd.getNumPartitions() == 1
+
+
+def test_spot_checks_move_no_gathered_bars(spark):
+    from tidemark.operators import audit as V
+    rng = random.Random(5)
+    price = [100 + rng.random() for _ in range(40)]
+    price[30] = None
+    bars = spark.createDataFrame([("A", days(i), p, 10 + i) for i, p in enumerate(price)] + [(None, days(3), 1.0, 1)], "ticker string, date date, adj_close double, volume long")
+    keys = [("A", days(25)), ("A", days(25)), ("A", days(1)), ("A", days(32)), ("A", days(99)), ("B", days(3)), (None, days(3)), ("A", None)]
+    stored = spark.createDataFrame([(t, d, 0.0, 0.0, 0.0, 0.0, 0.0) for t, d in keys], "ticker string, date date, " + ", ".join(f"{c} double" for c in V.SPOT_BARS))
+    out = V.spot_checks(bars, stored)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 40 and sum(r.ticker == "A" and r.date == days(25) for r in rows) == 10
+    got = {(r.ticker, r.date, r.feature): r for r in rows}
+    r = got["A", days(25), "returns_5d"]
+    assert r.expected == pytest.approx(price[24] / price[19] - 1, rel=1e-12) and [x.date for x in r.raw_inputs] == [days(i) for i in range(19, 25)] and r.bar_count == 6
+    moves = np.diff(price[3:25]) / np.array(price[3:24])
+    assert got["A", days(25), "realized_vol_21d"].expected == pytest.approx(moves.std(ddof=1) * 252 ** 0.5, rel=1e-9)
+    change = np.diff(price[10:25])
+    up, down = change.clip(0).mean(), (-change).clip(0).mean()
+    assert got["A", days(25), "rsi_14"].expected == pytest.approx(100 - 100 / (1 + up / down), rel=1e-9)
+    assert got["A", days(25), "volume_ratio_20"].expected == pytest.approx(34 / np.mean(range(15, 35)), rel=1e-12)
+    assert (got["A", days(1), "returns_1d"].reason, got["A", days(1), "returns_1d"].bar_count) == ("insufficient_history", 1)
+    assert got["A", days(32), "returns_5d"].reason == "invalid_input" and got["A", days(32), "volume_ratio_20"].reason is None
+    assert {got[k[0], k[1], "rsi_14"].reason for k in keys[4:]} == {"missing_bar"}

@@ -186,7 +186,7 @@ FROM b, {_SPOT} LEFT JOIN m ON m.ticker = b.ticker AND m.date = b.date AND m.fea
 SELECT ticker, date, feature, CASE WHEN expected IS NULL THEN 'warn' WHEN stored IS NULL OR abs(stored - expected) > 0.0005 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN n <= k THEN 'insufficient_history' WHEN expected IS NULL THEN 'undefined' END AS reason,
  CASE WHEN n > k THEN k ELSE n - 1 END::INTEGER AS bar_count, window_start, window_end, round(first_input, 6) AS first_input, round(last_input, 6) AS last_input, round(expected, 6) AS expected, round(stored, 6) AS stored, round(abs(stored - expected), 6) AS absolute_difference FROM v_spot""")
 def v5(spark, sf):
-    b = T.bars(spark, sf)
+    b = T.spread(T.bars(spark, sf), "ticker", T.table(spark, sf, "lineitem"))
     day = F.dayofmonth("date")
     m = M.market_features(b).select("date", "ticker", *[F.when(day == 14, None).when(day == 13, F.col(c) + 0.001).otherwise(F.col(c)).alias(c) for c in V.SPOT_BARS])
     first, last = F.try_element_at("raw_inputs", F.lit(1))["value"], F.try_element_at("raw_inputs", F.lit(-1))["value"]
