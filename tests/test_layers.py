@@ -328,3 +328,10 @@ def test_spot_checks_move_no_gathered_bars(spark):
     assert (got["A", days(1), "returns_1d"].reason, got["A", days(1), "returns_1d"].bar_count) == ("insufficient_history", 1)
     assert got["A", days(32), "returns_5d"].reason == "invalid_input" and got["A", days(32), "volume_ratio_20"].reason is None
     assert {got[k[0], k[1], "rsi_14"].reason for k in keys[4:]} == {"missing_bar"}
+
+
+def test_column_subsets_of_many_keys_are_dealt_to_so_many_tasks(spark):
+    df = spark.range(300).selectExpr("id % 50 as k", "if(id % 3 = 0, null, 1.0D) as a", "if(id % 5 = 0, null, 1.0D) as b")
+    out = G.active_columns(df, ["a", "b"], min_rows=3, keys=["k"], tasks=9)
+    assert out.rdd.getNumPartitions() == 9
+    assert sorted(map(str, out.collect())) == sorted(map(str, G.active_columns(df, ["a", "b"], min_rows=3, keys=["k"]).collect()))
