@@ -335,3 +335,14 @@ def test_column_subsets_of_many_keys_are_dealt_to_so_many_tasks(spark):
     out = G.active_columns(df, ["a", "b"], min_rows=3, keys=["k"], tasks=9)
     assert out.rdd.getNumPartitions() == 9
     assert sorted(map(str, out.collect())) == sorted(map(str, G.active_columns(df, ["a", "b"], min_rows=3, keys=["k"]).collect()))
+
+
+def test_rules_go_to_the_values(spark):
+    from tidemark.operators import audit as V
+    from tidemark.operators import catalog as CA
+    rules = CA.rules_table(spark, {"x": ("market", "number", True, False, 0.0, 1.0, None)})
+    out = V.check_rules(spark.range(40).selectExpr("date'2024-01-02' as date", "string(id) as ticker", "id / 20.0D as x", "1.0D as z"), rules)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    found = {(r.ticker, r.feature): r.message for r in out.collect()}
+    assert len(found) == 80 and found["30", "x"] == "above maximum" and found["3", "x"] is None and found["3", "z"] == "unknown feature"

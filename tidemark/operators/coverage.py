@@ -21,7 +21,7 @@ def feature_quality(checked: DataFrame, rules: DataFrame, features: DataFrame) -
 
     A required rule whose column `features` lacks is a required null of every row, and a failure unless it may be null.
     """
-    j = checked.join(rules.select("feature", "required"), "feature", "left")
+    j = checked.join(F.broadcast(rules.select("feature", "required")), "feature", "left")
     null = F.col("number").isNull() & F.col("text").isNull()
     req = F.coalesce("required", F.lit(False))
     seen = j.groupBy(F.coalesce("owner", F.lit("uncataloged")).alias("family")).agg(

@@ -26,7 +26,7 @@ FEATS = ["returns_1d", "returns_5d", "realized_vol_21d", "atr_14", "rsi_14", "go
 
 
 def _market(spark, sf):
-    return M.market_features(T.bars(spark, sf)).select("date", "ticker", *FEATS)
+    return M.market_features(T.spread(T.bars(spark, sf), "ticker", T.table(spark, sf, "lineitem"))).select("date", "ticker", *FEATS)
 
 
 def _number(c="ticker"):
