@@ -346,3 +346,12 @@ def test_rules_go_to_the_values(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     found = {(r.ticker, r.feature): r.message for r in out.collect()}
     assert len(found) == 80 and found["30", "x"] == "above maximum" and found["3", "x"] is None and found["3", "z"] == "unknown feature"
+
+
+def test_upsert_of_numbers_needs_no_sort(spark):
+    from tidemark.operators import upsert as S
+    old = spark.createDataFrame([("A", 1, 1.0, 5), ("B", 2, 2.0, 6), (None, 3, 3.0, 7)], "k string, n int, x double, v long")
+    new = spark.createDataFrame([("A", 1, None, 8), ("C", 4, 4.0, None), (None, 3, 9.0, 9)], "k string, n int, x double, v long")
+    out = S.upsert(old, new, ["k", "n"])
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [("A", 1, None, 8), ("B", 2, 2.0, 6), ("C", 4, 4.0, None), (None, 3, 9.0, 9)]))

@@ -46,6 +46,9 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list[Col
     """New rows replace existing ones of the same key; `order` breaks ties inside a side."""
     both = existing.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     values = [c for c in both.columns if c not in (*keys, "_side")]
+    if not order:
+        # without a struct, numbers are combined by hash; the columns of a row stay together, as one order picks them all
+        return both.groupBy(*keys).agg(*[F.max_by(c, "_side").alias(c) for c in values])
     return latest_per_key(both, keys, [F.col("_side"), *(order or [])], keep=values)
 
 

@@ -277,7 +277,7 @@ def s4b(spark, sf):
 @query("s5_feature_upsert", """
 SELECT ticker, date, round(CASE WHEN date >= '1999-01-01' THEN returns_1d ELSE returns_5d END, 6) AS value FROM v_market_guarded""")
 def s5(spark, sf):
-    f = M.market_features(T.bars(spark, sf)).select("ticker", "date", "returns_1d", "returns_5d")
+    f = M.market_features(T.spread(T.bars(spark, sf), "ticker", T.table(spark, sf, "lineitem"))).select("ticker", "date", "returns_1d", "returns_5d")
     new = f.where(F.col("date") >= F.lit("1999-01-01").cast("date")).select("ticker", "date", F.col("returns_1d").alias("value"))
     return rounded(S.upsert(f.select("ticker", "date", F.col("returns_5d").alias("value")), new, ["date", "ticker"]).select("ticker", "date", "value"))
 
