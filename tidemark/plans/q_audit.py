@@ -21,6 +21,7 @@ from tidemark.plans.q_eval import _regime_rows
 from tidemark.plans.q_market import SWEEP
 from tidemark.plans.q_pit import _dates, quality_panel
 from tidemark.registry import query, view
+from tidemark.session import cut
 
 FEATS = ["returns_1d", "returns_5d", "realized_vol_21d", "atr_14", "rsi_14", "golden_cross_50_200"]
 
@@ -72,7 +73,7 @@ def v4(spark, sf):
 
 def _stored(spark, sf):
     """A stored copy of the market features: some rows lost, some values drifted, some rows extra."""
-    m = _market(spark, sf)
+    m = cut(_market(spark, sf), "market")  # read twice
     day = F.dayofmonth("date")
     s = m.where(day != 13).withColumn("rsi_14", F.when((day == 7), F.col("rsi_14") + 0.001).otherwise(F.col("rsi_14") * (1 + 1e-12)))
     return s.unionByName(m.where(day == 20).withColumn("ticker", F.concat("ticker", F.lit("X"))))
