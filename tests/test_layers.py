@@ -355,3 +355,15 @@ def test_upsert_of_numbers_needs_no_sort(spark):
     out = S.upsert(old, new, ["k", "n"])
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [("A", 1, None, 8), ("B", 2, 2.0, 6), ("C", 4, 4.0, None), (None, 3, 9.0, 9)]))
+
+
+def test_trees_read_a_matrix_in_parts_of_bounded_size(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+    from tidemark.operators import ranker as R
+    monkeypatch.setattr(R, "TREE_ROWS", 50)
+    parts, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, x: (parts.append(x.rdd.getNumPartitions()), fit(self, x))[1])
+    rng = random.Random(8)
+    m = spark.createDataFrame([(days(i // 10), f"T{i % 10}", (x := rng.random()), x - 0.5) for i in range(320)], "date date, ticker string, a double, target double").coalesce(1)
+    ranker = R.Ranker(R.RankerParams(trees=2, depth=2)).fit(m)
+    assert parts == [7] and ranker.score(m.drop("target")).count() == 320
