@@ -109,6 +109,17 @@ def test_branch_audit_statuses(spark):
     assert empty.collect() == []
 
 
+def test_branch_audit_digests_a_branch_at_a_time(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(BA, "cut", lambda df, name: kept.append(df) or df)
+    names = [f"f{i}" for i in range(120)]
+    table = spark.range(20).selectExpr("date'2024-01-02' as date", "string(id) as ticker", *[f"double(id + {i}) as {n}" for i, n in enumerate(names)])
+    BA.audit_branches(table, {"one": table.select("date", "ticker", *names[:60]), "two": table.select("date", "ticker", *names[60:])})
+    assert len(kept) == 1 and "Generate" not in kept[0]._jdf.queryExecution().optimizedPlan().toString()
+    rows = kept[0].collect()
+    assert len(rows) == 40 and all(r.s_held and r.r_held and r.s_digest == r.r_digest for r in rows)
+
+
 def test_link_groups_against_plain_search(spark):
     rng = random.Random(7)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(500 + i, 501 + i) for i in range(40)] + [(9, 9)]
