@@ -88,3 +88,38 @@ def test_rows_without_an_article_id_are_counted_not_gathered(spark):
     rows = spark.createDataFrame([(day, "a", 0, "x"), (day, "a", 1, "y"), (day, "b", 0, None), (day, None, 0, "p"), (day, None, 1, "q")], "date date, article_id string, sentence_index int, text string")
     got = {r.article_id: (r.rows, r.rows_without_text, r.article_text) for r in RV.text_gaps(rows).collect()}
     assert got == {"a": (2, 0, "x y"), "b": (1, 1, None), None: (2, 0, None)}
+
+
+def _long_headline(spark):
+    """One article whose headline is as long as a text, with a repeated sentence, and a short one."""
+    head = " ".join(f"Word{i} Corp said" for i in range(300)) + " Apple"
+    text = " ".join(f"Line {i} ends here." for i in range(40)) + " Line 3 ends here. MSFT rose."
+    return articles(spark, [("1", head, text, ["AAPL", "MSFT"]), ("2", "Short", "Apple rose. $msft fell.", ["MSFT"])])
+
+
+def test_sentences_do_not_carry_the_headline(spark):
+    """Gate evidence of a row is small however long the headline; the gate decides as without it."""
+    a = _long_headline(spark)
+    rows = N.preprocess(a, vocabulary=N.Vocabulary())
+    assert set(N.EVIDENCE) <= set(rows.columns)
+    assert rows.select(F.max(F.length(F.to_json(F.struct(*N.EVIDENCE))))).first()[0] < 500
+    key = lambda g: sorted((r.article_id, r.ticker, r.chunk_index, r.relevance_decision, r.relevance_score, *r.reason_codes) for r in g.collect())
+    got = key(N.relevance_gate(rows))
+    assert got == key(N.relevance_gate(N.preprocess(a))) and len(got) == 2 * (1 + 42) + 2
+    plan = N.relevance_gate(rows).select("article_id", "relevance_score")._jdf.queryExecution().optimizedPlan().toString()
+    assert "provenance" not in plan and "entity_mentions" not in plan
+
+
+def test_article_documents_group_by_a_digest_of_the_headline(spark):
+    from tidemark.operators import topics as TP
+    rows = N.preprocess(_long_headline(spark))
+    docs = TP.article_documents(rows)
+    got = {r.article_id: r for r in docs.collect()}
+    assert got["2"].text == "Short Apple rose. $msft fell." and got["2"].tickers == ["MSFT"] and got["2"].article_sentence_count == 2
+    one = got["1"]
+    assert one.article_sentence_count == 1 + 40 + 1 and one.tickers == ["AAPL", "MSFT"]
+    assert one.text.startswith("Word0 Corp said") and one.text.endswith("Line 38 ends here. Line 39 ends here. MSFT rose.")
+    # nothing is grouped or joined by the headline itself, whose copies made the shuffle grow with its length
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    heads = [line for line in plan.splitlines() if "Aggregate [" in line and "chunk" in line.split("]")[0]]
+    assert heads and all("normalized_headline" not in line.split("]")[0] for line in heads)

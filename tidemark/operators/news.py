@@ -56,7 +56,7 @@ COMPANY_NAMES = {
 }
 
 TEXT_FIELDS = ["headline", "summary", "content"]
-EVIDENCE = ["_text", "_tok", "_h_text", "_h_tok", "_ent", "_known", "_fin", "_broad"]
+EVIDENCE = ["_tags", "_direct", "_target", "_known", "_fin", "_broad"]
 
 
 @dataclass(frozen=True)
@@ -77,28 +77,57 @@ def _terms(v: Vocabulary) -> list[str]:
     return list(dict.fromkeys(" ".join(t.lower().split()) for t in every))
 
 
-def headline_evidence(df: DataFrame, v: Vocabulary) -> DataFrame:
-    """What `text_evidence` needs of the headline, for rows before they are repeated per sentence."""
+def _names(v: Vocabulary) -> list[str]:
+    return list(dict.fromkeys(n for ns in v.names.values() for n in ns))
+
+
+def _entities_named(tickers: Column, entities: str) -> Column:
+    return F.filter(tickers, lambda t: F.array_contains(F.col(entities), F.lower(t)))
+
+
+def _named_in(tickers: Column, tokens: str, text: str) -> Column:
+    """The tickers that are a token of the text or stand in it behind a dollar sign."""
+    return F.filter(tickers, lambda t: F.array_contains(F.col(tokens), F.lower(t)) | F.contains(F.col(text), F.concat(F.lit("$"), F.lower(t))))
+
+
+def _entity_keys(mentions: Column) -> Column:
+    return F.transform(F.coalesce(mentions, F.array().cast("array<string>")), lambda s: F.lower(X.squeeze(s)))
+
+
+def headline_evidence(df: DataFrame, v: Vocabulary, tickers: Column) -> DataFrame:
+    """What `text_evidence` needs of the headline, for rows before they are repeated per sentence.
+
+    A headline may be as long as a text, so its words stay here: the sentences get the terms and tickers it names.
+    """
     terms = _terms(v)
+    if "_h_phrases" in df.columns:
+        df = df.withColumn("_h_ent", _entity_keys(F.col("_h_phrases")))
+        df = df.withColumn("_h_target", _entities_named(tickers, "_h_ent"))
+        df = df.withColumn("_h_known", F.array(*[F.array_contains("_h_ent", n) for n in _names(v)]).cast("array<boolean>")).drop("_h_ent")
     df = df.withColumn("_h_text", F.lower(X.squeeze(_filled("headline"))))
     df = df.withColumn("_h_tok", F.array_distinct(F.regexp_extract_all("_h_text", F.lit(X.WORD_TOKEN), 0)))
     padded = F.concat(F.lit(" "), F.col("_h_text"), F.lit(" "))
     has = F.array(*[F.contains(padded, F.lit(f" {t} ")) if " " in t else F.array_contains("_h_tok", t) for t in terms])
-    return df.select("*", has.alias("_h_has"), F.right(F.concat(F.lit(" "), "_h_text"), F.lit(max(map(len, terms), default=0) + 2)).alias("_h_last"))
+    return df.select("*", has.alias("_h_has"), _named_in(tickers, "_h_tok", "_h_text").alias("_h_direct"),
+                     F.right(F.concat(F.lit(" "), "_h_text"), F.lit(max(map(len, terms), default=0) + 2)).alias("_h_last")).drop("_h_text", "_h_tok")
 
 
-def text_evidence(df: DataFrame, v: Vocabulary) -> DataFrame:
-    """Everything of the gate that depends on a sentence only: tokens, entities, known companies, matched terms.
+def text_evidence(df: DataFrame, v: Vocabulary, tickers: Column | None = None) -> DataFrame:
+    """Everything of the gate that depends on a sentence only: which of the tickers it names, known companies, matched terms.
 
     A term counts in the headline, in the sentence, or across their border. The headline's part is found once per
     article; a sentence adds its own words and the few characters around the border.
     """
+    if tickers is None:
+        tickers = F.array("ticker") if "ticker" in df.columns else F.array().cast("array<string>")
     if "_h_has" not in df.columns:
-        df = headline_evidence(df, v)
-    terms = _terms(v)
+        df = headline_evidence(df, v, tickers)
+    terms, names = _terms(v), _names(v)
     df = df.withColumn("_text", F.lower(X.squeeze(_filled("text"))))
     df = df.withColumn("_tok", F.array_distinct(F.regexp_extract_all("_text", F.lit(X.WORD_TOKEN), 0)))
-    df = df.withColumn("_ent", F.transform(F.coalesce("entity_mentions", F.array().cast("array<string>")), lambda s: F.lower(X.squeeze(s))))
+    split = "_ent" in df.columns  # the headline's entities stand beside those of the sentence
+    if not split:
+        df = df.withColumn("_ent", _entity_keys(F.col("entity_mentions")))
     df = df.withColumn("_pad", F.concat(F.lit(" "), F.col("_text"), F.lit(" ")))
     df = df.withColumn("_seam", F.concat("_h_last", F.lit(" "), F.left(F.concat("_text", F.lit(" ")), F.lit(max(map(len, terms), default=0) + 2))))
 
@@ -108,15 +137,23 @@ def text_evidence(df: DataFrame, v: Vocabulary) -> DataFrame:
         here = F.contains("_pad", spoken) | F.contains("_seam", spoken) if " " in phrase else F.array_contains("_tok", phrase)
         return F.get("_h_has", F.lit(terms.index(phrase))) | here
 
+    def entity(name: str) -> Column:
+        here = F.array_contains("_ent", name)
+        return here | (F.col("_ent_head") & F.get("_h_known", F.lit(names.index(name)))) if split else here
+
     def matched(found: list[str]) -> Column:
         return F.array_compact(F.array(*[F.when(has(t), F.lit(t)) for t in sorted(found)]))
 
     def any_of(conds: list[Column]) -> Column:
         return reduce(lambda a, b: a | b, conds, F.lit(False))
 
-    known = [F.when(any_of([has(n) | F.array_contains("_ent", n) for n in ns]), F.lit(t)) for t, ns in v.names.items()]
+    known = [F.when(any_of([has(n) | entity(n) for n in ns]), F.lit(t)) for t, ns in v.names.items()]
     df = df.withColumn("_known", F.array_compact(F.array(*known)) if known else F.array().cast("array<string>"))
-    return df.withColumn("_fin", matched(v.financial)).withColumn("_broad", matched(v.broad)).drop("_pad", "_seam", "_h_has", "_h_last")
+    df = df.withColumn("_direct", F.array_union("_h_direct", _named_in(tickers, "_tok", "_text")))
+    target = _entities_named(tickers, "_ent")
+    df = df.withColumn("_target", F.when(F.col("_ent_head"), F.array_union("_h_target", target)).otherwise(target) if split else target)
+    df = df.withColumn("_fin", matched(v.financial)).withColumn("_broad", matched(v.broad))
+    return df.drop("_text", "_tok", "_ent", "_ent_head", "_pad", "_seam", "_h_has", "_h_direct", "_h_last", "_h_target", "_h_known")
 
 
 def with_chunks(articles: DataFrame, *, fields: list[str] | None = None, min_chars: int = 2) -> DataFrame:
@@ -162,6 +199,13 @@ def _phrases(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(X.ENTITY_PHRASE), 0)
 
 
+def _entities(phrases: Column) -> Column:
+    """The trimmed phrases that hold more than stop words."""
+    stop = F.array(*[F.lit(w) for w in ENTITY_STOP_WORDS])
+    kept = F.filter(phrases, lambda p: F.size(F.array_except(F.split(F.lower(p), r"\s+"), stop)) > 0)
+    return F.transform(kept, lambda p: F.trim(p))
+
+
 def headline_mentions(df: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
     """What `with_entity_mentions` needs of the headline, for rows before they are repeated per sentence.
 
@@ -176,7 +220,7 @@ def headline_mentions(df: DataFrame, aliases: list[tuple[str, str]] | None = Non
     df = df.withColumn("_h_cut", F.size("_h_words") - tail)
     return df.select(
         "*", F.array(*[X.contains_term(F.col("_h_low"), a) for a, _ in rules]).alias("_h_alias"), F.right("_h_low", F.lit(max(len(a) for a, _ in rules))).alias("_h_end"),
-        _phrases(F.array_join(F.slice("_h_words", F.lit(1), F.col("_h_cut")), "")).alias("_h_phrases"),
+        _entities(_phrases(F.array_join(F.slice("_h_words", F.lit(1), F.col("_h_cut")), ""))).alias("_h_phrases"),
         F.array_join(F.slice("_h_words", F.col("_h_cut") + 1, F.size("_h_words")), "").alias("_h_tail")).drop("_h_low", "_h_words", "_h_cut")
 
 
@@ -184,21 +228,22 @@ def with_entity_mentions(df: DataFrame, aliases: list[tuple[str, str]] | None =
     """T4: alias matches of headline and text in rule order, else capitalised phrases minus stop words.
 
     The headline's matches are found once per article (`headline_mentions`), here those of the text and across the border.
+    After `headline_evidence`, `_ent` holds those of the sentence as `text_evidence` compares them, and `_ent_head` says whether
+    the headline's phrases count beside them.
     """
     rules = aliases or ENTITY_ALIASES
     if "_h_alias" not in df.columns:
         df = headline_mentions(df, rules)
-    stop = F.array(*[F.lit(w) for w in ENTITY_STOP_WORDS])
     df = df.withColumn("_low", F.lower(_filled("text")))
     df = df.withColumn("_seam", F.concat("_h_end", F.lit(" "), F.left("_low", F.lit(max(len(a) for a, _ in rules)))))
     here = lambda a: X.contains_term(F.col("_low"), a) | X.contains_term(F.col("_seam"), a) if " " in a else X.contains_term(F.col("_low"), a)
     named = [F.when(F.get("_h_alias", F.lit(i)) | here(a), F.lit(e)) for i, (a, e) in enumerate(rules)]
     df = df.withColumn("_named", F.array_distinct(F.array_compact(F.array(*named))))
-    found = F.concat("_h_phrases", _phrases(F.concat_ws(" ", "_h_tail", _filled("text"))))
-    kept = F.filter(found, lambda p: F.size(F.array_except(F.split(F.lower(p), r"\s+"), stop)) > 0)
-    phrases = F.array_distinct(F.transform(kept, lambda p: F.trim(p)))
-    mentions = F.when(F.size("_named") > 0, F.col("_named")).otherwise(phrases)
-    return df.withColumn("entity_mentions", mentions).drop("_low", "_seam", "_named", "_h_alias", "_h_end", "_h_phrases", "_h_tail")
+    df = df.withColumn("_own", _entities(_phrases(F.concat_ws(" ", "_h_tail", _filled("text")))))
+    if "_h_known" in df.columns:
+        df = df.select("*", (F.size("_named") == 0).alias("_ent_head"), F.when(F.size("_named") > 0, _entity_keys(F.col("_named"))).otherwise(_entity_keys(F.col("_own"))).alias("_ent"))
+    mentions = F.when(F.size("_named") > 0, F.col("_named")).otherwise(F.array_distinct(F.concat("_h_phrases", "_own")))
+    return df.withColumn("entity_mentions", mentions).drop("_low", "_seam", "_named", "_own", "_h_alias", "_h_end", "_h_phrases", "_h_tail")
 
 
 def preprocess(articles: DataFrame, universe: DataFrame | None = None, *, fields: list[str] | None = None, min_chars: int = 2,
@@ -217,14 +262,16 @@ def preprocess(articles: DataFrame, universe: DataFrame | None = None, *, fields
     base = a.select("date", "article_id", X.optional_text(F.col("headline")).alias("headline"), "summary", "content",
                     X.normalize_headline(X.optional_text(F.col("headline"))).alias("normalized_headline"),
                     X.optional_text(F.col("source")).alias("source"), X.optional_text(F.col("url")).alias("url"), "published_at")
-    base = headline_mentions(base, aliases)
+    # tickers meet whole articles: joined to sentences, the headline would be sorted once for each of them
+    base = headline_mentions(base.join(tickers, "article_id"), aliases)
+    named = F.transform("article_tickers", lambda t: F.upper(F.trim(t)))
     if vocabulary is not None:
-        base = headline_evidence(base, vocabulary)
-    rows = with_chunks(base, fields=fields, min_chars=min_chars).drop("summary", "content").join(tickers, "article_id")
+        base = headline_evidence(base, vocabulary, named)
+    rows = with_chunks(base, fields=fields, min_chars=min_chars).drop("summary", "content")
     rows = rows.withColumn("chunk_tickers", ticker_mentions(F.col("text"), F.col("article_tickers"), F.col("known_tokens")))
     rows = with_entity_mentions(rows, aliases)
     if vocabulary is not None:
-        rows = text_evidence(rows, vocabulary)
+        rows = text_evidence(rows, vocabulary, named).withColumn("_tags", named)
     rows = rows.select("*", F.explode("article_tickers").alias("ticker"))
     return rows.select(
         "date", "ticker", "article_id", "headline", "normalized_headline", "text", F.col("chunk_index").alias("sentence_index"), "chunk_index", "source", "url",
@@ -267,12 +314,10 @@ def relevance_gate(rows: DataFrame, topics: DataFrame | None = None, embeddings:
         df = df.select("*", F.lit(None).cast("string").alias("embedding_cache_key"), F.lit(False).alias("has_embedding"))
 
     if not evident:
-        df = text_evidence(df, vocabulary)
-    ent, low = F.col("_ent"), F.lower("ticker")
-
-    direct = reduce(lambda a, b: a | b, [F.array_contains(t, low) for t in ("_tok", "_h_tok")] + [F.contains(t, F.concat(F.lit("$"), low)) for t in ("_text", "_h_text")])
-    target = F.array_contains(F.col("_known"), F.col("ticker")) | F.array_contains(ent, low)
-    tagged = F.array_contains(F.transform("provenance.article_tickers", lambda s: F.upper(F.trim(s))), F.col("ticker"))
+        df = text_evidence(df, vocabulary).withColumn("_tags", F.transform("provenance.article_tickers", lambda s: F.upper(F.trim(s))))
+    direct = F.array_contains("_direct", F.col("ticker"))
+    target = F.array_contains("_known", F.col("ticker")) | F.array_contains("_target", F.col("ticker"))
+    tagged = F.array_contains("_tags", F.col("ticker"))
     df = df.withColumn("ticker_relevance_score", F.when(direct | target, 1.0).when(tagged, 0.45).otherwise(0.0))
     ticker_reason = F.when(direct, "direct_ticker_mention").when(target, "target_entity_mention").when(tagged, "source_ticker_tag_only")
     nf, nb = F.size("_fin"), F.size("_broad")
