@@ -58,6 +58,20 @@ def test_missing_streak_of_any_window(spark, window):
         assert got[p] == want, p
 
 
+def test_streak_far_after_bars_before_them_and_without_any(spark):
+    bars = spark.createDataFrame([("A", days(0)), ("A", days(5)), ("A", days(5)), ("B", None), (None, days(0))], "ticker string, date date")  # 5 is a Saturday
+    panel = spark.createDataFrame([(t, days(n)) for t in ("A", "B", None) for n in (-3, 0, 4, 5, 7, 40, 400, 4000)], "ticker string, date date")
+    got = {(r.ticker, r.date): r.missing_streak for r in Q.missing_streak(panel, bars, 10, tasks=3).collect()}
+    assert [got["A", days(n)] for n in (-3, 0, 4, 5, 7, 40, 400, 4000)] == [10, 9, 5, 5, 5, 10, 10, 10]
+    assert {got["B", days(n)] for n in (-3, 0, 400)} == {10} and got[None, days(4)] == 5
+
+
+def test_panel_rows_are_in_no_range_frame(spark):
+    bars = spark.createDataFrame([("A", DAY)], "ticker string, date date")
+    plan = Q.missing_streak(bars, bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("RangeFrame")
+
+
 def test_block_sums_equal_plain_frames_over_block_borders(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 32)
     rng = np.random.default_rng(1)

@@ -10,7 +10,7 @@ from tidemark.operators import orderbook as OB
 from tidemark.operators import quality as Q
 from tidemark.operators import sessions as D
 from tidemark.operators import universe as U
-from tidemark.operators.asof import active_interval_join, asof_join
+from tidemark.operators.asof import Look, active_interval_join, asof_join, asof_many
 
 
 def d(s):
@@ -95,6 +95,25 @@ def test_quality_reasons(spark):
     assert r["NONE"].reason == "missing_ohlcv_window" and not r["NONE"].data_quality_ok
 
 
+def test_as_of_looks_are_dealt_to_the_tasks_asked_for(spark):
+    left = spark.createDataFrame([("A", d("2024-01-02")), ("A", d("2024-01-09")), ("B", d("2024-01-03")), (None, d("2024-01-03"))], "ticker string, date date")
+    right = spark.createDataFrame([("A", d("2024-01-02"), 1), ("A", d("2024-01-08"), 2), (None, d("2024-01-01"), 3)], "ticker string, day date, v int")
+    look = Look(right, "day", before={"v": "last"}, after={"v": "next"}, strict_before=True)
+    rows = lambda df: sorted(df.collect(), key=str)
+    plain, dealt = asof_many(left, [look], on=["ticker"], left_time="date"), asof_many(left, [look], on=["ticker"], left_time="date", tasks=7)
+    assert dealt.rdd.getNumPartitions() == 7 and rows(dealt) == rows(plain)
+    assert {(r.ticker, r.date.day): (r.last, r.next) for r in dealt.collect()} == {("A", 2): (None, 1), ("A", 9): (2, None), ("B", 3): (None, None), (None, 3): (3, None)}
+
+
+def test_reasons_of_earlier_steps_come_first_and_once(spark):
+    u = spark.createDataFrame([(d("2024-01-02"), t, True, True, True, False, True, r) for t, r in [("A", None), ("B", ""), ("C", " ; "), ("D", "manual;; missing_ohlcv_window")]],
+                              "date date, ticker string, in_universe boolean, tradable boolean, liquid boolean, halted boolean, data_quality_ok boolean, reason string")
+    none = spark.createDataFrame([], "ticker string, date date, close double, volume bigint, dollar_volume double")
+    got = {r.ticker: r.reason for r in Q.quality_flags(u, none, tasks=2).collect()}
+    new = "missing_ohlcv_window; consecutive_missing_bars_above_maximum"
+    assert got == {"A": new, "B": new, "C": new, "D": "manual; " + new}
+
+
 def test_missing_streak_counts_weekdays_only(spark):
     have = spark.createDataFrame([("A", d("2024-01-05")), ("A", d("2024-01-11"))], "ticker string, date date")
     panel = spark.createDataFrame([("A", d("2024-01-11")), ("A", d("2024-01-14"))], "ticker string, date date")

@@ -7,7 +7,6 @@ key's window is bounded by the calendar whatever the raw row count was.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -76,33 +75,23 @@ class Look:
     strict_before: bool = False
     strict_after: bool = False
     tie: tuple[str, ...] = ()
-    held: tuple[str, ...] = ()  # columns that spans use
 
 
-@dataclass(frozen=True)
-class Span:
-    """An aggregate over the rows of one look that lie in the last `days` days up to each left row's day, that day included."""
-
-    name: str
-    look: int
-    value: Callable[[Column], Column]  # from the look's struct to the aggregate
-    days: int
-
-
-def asof_many(left: DataFrame, looks: list[Look], *, on: list[str], left_time: str, spans: tuple[Span, ...] = ()) -> DataFrame:
+def asof_many(left: DataFrame, looks: list[Look], *, on: list[str], left_time: str, tasks: int | None = None) -> DataFrame:
     """Several as-of joins in one pass: all sides meet in one union that is dealt once, by `on`.
 
-    Backward looks share one running window, forward looks another; `spans` are range frames over the same order, so
-    they need no further sort. `left` must hold one row per (on, left_time), a date where spans are asked for.
+    Backward looks share one running window, forward looks another. `left` must hold one row per (on, left_time).
+    `tasks` is the number of tasks that the union is dealt to, for a caller who knows how many rows come: adaptive
+    execution goes by compressed bytes, and sorted runs of like rows are many to a byte.
     """
-    # range frames of days need the day as a number
-    time = (lambda c: F.unix_date(c).alias("_t")) if spans else (lambda c: F.col(c).alias("_t"))
-    both = left.select(*on, time(left_time), F.lit(1).alias("_s"), F.lit(1).alias("_f"), F.struct(*left.columns).alias("_l"))
+    both = left.select(*on, F.col(left_time).alias("_t"), F.lit(1).alias("_s"), F.lit(1).alias("_f"), F.struct(*left.columns).alias("_l"))
     for i, k in enumerate(looks):
-        names = list(dict.fromkeys([*k.before, *k.after, *k.held]))
+        names = list(dict.fromkeys([*k.before, *k.after]))
         reduced = k.right.where(F.col(k.time).isNotNull()).groupBy(*on, k.time).agg(F.max_by(F.struct(*names), F.struct(*(k.tie or names))).alias("_p"))
-        other = reduced.select(*on, time(k.time), F.lit(2 if k.strict_before else 0).alias("_s"), F.lit(2 if k.strict_after else 0).alias("_f"), F.col("_p").alias(f"_p{i}"))
+        other = reduced.select(*on, F.col(k.time).alias("_t"), F.lit(2 if k.strict_before else 0).alias("_s"), F.lit(2 if k.strict_after else 0).alias("_f"), F.col("_p").alias(f"_p{i}"))
         both = both.unionByName(other, allowMissingColumns=True)
+    if tasks is not None:
+        both = both.repartition(tasks, *on)
 
     def running(*order: Column) -> WindowSpec:
         return Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -110,9 +99,7 @@ def asof_many(left: DataFrame, looks: list[Look], *, on: list[str], left_time: s
     back, ahead = running(F.col("_t").asc(), F.col("_s").asc()), running(F.col("_t").desc(), F.col("_f").asc())
     seen = [F.last(f"_p{i}", ignorenulls=True).over(back).alias(f"_b{i}") for i, k in enumerate(looks) if k.before]
     seen += [F.last(f"_p{i}", ignorenulls=True).over(ahead).alias(f"_a{i}") for i, k in enumerate(looks) if k.after]
-    seen += [s.value(F.col(f"_p{s.look}")).over(Window.partitionBy(*on).orderBy("_t").rangeBetween(-s.days, 0)).alias(f"_s_{s.name}") for s in spans]
-    out = [F.col(f"_s_{s.name}").alias(s.name) for s in spans]
-    out += [F.col(f"_b{i}.{c}").alias(n) for i, k in enumerate(looks) for c, n in k.before.items()] + [F.col(f"_a{i}.{c}").alias(n) for i, k in enumerate(looks) for c, n in k.after.items()]
+    out = [F.col(f"_b{i}.{c}").alias(n) for i, k in enumerate(looks) for c, n in k.before.items()] + [F.col(f"_a{i}.{c}").alias(n) for i, k in enumerate(looks) for c, n in k.after.items()]
     return both.select("_l", *seen).where(F.col("_l").isNotNull()).select("_l.*", *out)
 
 

@@ -188,6 +188,7 @@ def _panel(spark, sf):
     return T.bars(spark, sf).select("ticker", "date")
 
 
+
 @query("a4_fiscal_periods", """
 SELECT ticker, fiscal_year, fiscal_period, report_date, availability_date, revenue, total_assets, eps, 8 AS value_count FROM v_filings""".replace("8 AS", "7 AS"))
 def a4(spark, sf):
@@ -422,11 +423,21 @@ def u4(spark, sf):
 
 # ---- quality -------------------------------------------------------------------
 
+PANEL_ROWS = 100_000  # raw rows of a task; the panel has a few rows for each
+
+
+def _dealt_bars(spark, sf):
+    return T.spread(T.bars(spark, sf), "ticker", T.table(spark, sf, "lineitem"), PANEL_ROWS)
+
+
+def _panel_tasks(spark, sf):
+    return T.tasks(T.table(spark, sf, "lineitem"), PANEL_ROWS)
+
 
 def quality_panel(spark, sf, bars=None):
     """Every business day between a ticker's first and last bar, with some earlier and flagged rows."""
     b = (T.bars(spark, sf) if bars is None else bars).groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    b = T.spread(b, "ticker", T.table(spark, sf, "lineitem"))  # a row becomes thousands
+    b = T.spread(b, "ticker", T.table(spark, sf, "lineitem"), PANEL_ROWS)  # a row becomes thousands
     days = b.select("ticker", F.explode(F.sequence(F.date_sub("a", 3), "b")).alias("date")).where(D.is_weekday("date"))
     return days.select("date", "ticker", F.lit(True).alias("in_universe"), F.lit(True).alias("tradable"), F.lit(True).alias("liquid"),
                        F.lit(False).alias("halted"), F.lit(True).alias("data_quality_ok"),
@@ -461,7 +472,7 @@ def w23(spark, sf):
 
 @query("w24_missing_streak", "SELECT ticker, date, missing_streak FROM v_streak")
 def w24(spark, sf):
-    return Q.missing_streak(quality_panel(spark, sf), T.bars(spark, sf))
+    return Q.missing_streak(quality_panel(spark, sf), _dealt_bars(spark, sf), tasks=_panel_tasks(spark, sf))
 
 
 @query("j5_latest_bar", "SELECT ticker, date, bar_date, round(close, 6) AS close, volume, round(avg_dollar_volume, 6) AS avg_dollar_volume, round(move, 6) AS move FROM v_bar_asof")
@@ -486,7 +497,7 @@ FROM v_quality""")
 
 @query("q1_quality_flags", "SELECT * FROM v_quality_rows")
 def q1(spark, sf):
-    return Q.quality_flags(quality_panel(spark, sf), T.bars(spark, sf), LIMITS, _shares(spark, sf))
+    return Q.quality_flags(quality_panel(spark, sf), _dealt_bars(spark, sf), LIMITS, _shares(spark, sf), tasks=_panel_tasks(spark, sf))
 
 
 def _shares(spark, sf):
@@ -496,4 +507,4 @@ def _shares(spark, sf):
 @query("a28_universe_mask", "SELECT * FROM v_quality_rows WHERE date = '1997-06-16'")
 def a28(spark, sf):
     day = F.lit("1997-06-16").cast("date")
-    return Q.quality_flags(quality_panel(spark, sf).where(F.col("date") == day), T.bars(spark, sf), LIMITS, _shares(spark, sf))
+    return Q.quality_flags(quality_panel(spark, sf).where(F.col("date") == day), _dealt_bars(spark, sf), LIMITS, _shares(spark, sf), tasks=_panel_tasks(spark, sf))
