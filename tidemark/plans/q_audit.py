@@ -48,7 +48,7 @@ FULL JOIN (SELECT x.date, x.ticker, CASE WHEN CAST(substring(x.ticker, 2) AS INT
 def j14(spark, sf):
     """Both branches lack some (date, ticker) keys of the whole table."""
     m = _market(spark, sf)
-    f = FU.fundamental_features(T.filings(spark, sf), T.bars(spark, sf)).select("date", "ticker", "pe_ratio")
+    f = FU.fundamental_features(T.filings(spark, sf), T.bars(spark, sf), tasks=T.tasks(T.table(spark, sf, "lineitem"))).select("date", "ticker", "pe_ratio")
     other = m.select("date", "ticker", F.when(_even(), F.col("atr_14")).otherwise(1.0).alias("atr_14")).join(f, ["date", "ticker"])
     a = AS.assemble({"market": m.select("date", "ticker", "returns_1d", "atr_14").where((F.dayofyear("date") + _number()) % 5 != 0),
                      "fundamentals": other.where((F.dayofyear("date") + _number()) % 7 != 0)})
