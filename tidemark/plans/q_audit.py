@@ -21,6 +21,7 @@ from tidemark.plans.q_eval import _regime_rows
 from tidemark.plans.q_market import SWEEP
 from tidemark.plans.q_pit import _dates, quality_panel
 from tidemark.registry import query, view
+from tidemark.session import cut
 
 FEATS = ["returns_1d", "returns_5d", "realized_vol_21d", "atr_14", "rsi_14", "golden_cross_50_200"]
 
@@ -47,8 +48,11 @@ FROM (SELECT date, ticker, returns_1d, atr_14 FROM v_market_guarded WHERE (dayof
 FULL JOIN (SELECT x.date, x.ticker, CASE WHEN CAST(substring(x.ticker, 2) AS INTEGER) % 2 = 0 THEN atr_14 ELSE 1.0::DOUBLE END AS atr_14, pe_ratio AS pe FROM v_market_guarded x JOIN v_fundamentals y ON x.date = y.date AND x.ticker = y.ticker WHERE (dayofyear(x.date) + CAST(substring(x.ticker, 2) AS INTEGER)) % 7 <> 0) f ON m.date = f.date AND m.ticker = f.ticker""")
 def j14(spark, sf):
     """Both branches lack some (date, ticker) keys of the whole table."""
-    m = _market(spark, sf)
-    f = FU.fundamental_features(T.filings(spark, sf), T.bars(spark, sf), tasks=T.tasks(T.table(spark, sf, "lineitem"))).select("date", "ticker", "pe_ratio")
+    lines = T.table(spark, sf, "lineitem")
+    bars = cut(T.bars(spark, sf), "bars")
+    # both branches read the market rows
+    m = cut(M.market_features(T.spread(bars, "ticker", lines)).select("date", "ticker", "returns_1d", "atr_14"), "market")
+    f = FU.fundamental_features(T.filings(spark, sf), bars, tasks=T.tasks(lines)).select("date", "ticker", "pe_ratio")
     other = m.select("date", "ticker", F.when(_even(), F.col("atr_14")).otherwise(1.0).alias("atr_14")).join(f, ["date", "ticker"])
     a = AS.assemble({"market": m.select("date", "ticker", "returns_1d", "atr_14").where((F.dayofyear("date") + _number()) % 5 != 0),
                      "fundamentals": other.where((F.dayofyear("date") + _number()) % 7 != 0)})
